@@ -9,8 +9,11 @@ from ..schema import NAME_SYMBOLS, WS_CLASS
 
 _WS_RUN = WS_CLASS + "+"
 _EDGE_WS = r"\A" + _WS_RUN + "|" + _WS_RUN + r"\z"
-# A trailing inch mark: a decimal digit (any script) right before a final quote.
-_INCH_MARK = r'\p{Nd}"\z'
+# Step 1: a leading quote; the rest, stripped, is kept ($1).
+_LEADING_QUOTE = r'(?s)\A"' + WS_CLASS + r'*(.*?)' + WS_CLASS + r'*\z'
+# Step 2: a final quote not preceded by a decimal digit of any script (an
+# inch mark such as 6" stays); the text before it, stripped, is kept ($1).
+_TRAILING_QUOTE = r'(?s)\A' + WS_CLASS + r'*(.*?)' + WS_CLASS + r'*(?<!\p{Nd})"\z'
 
 
 def _c(c) -> Column:
@@ -37,11 +40,14 @@ def clean_item_name(c) -> Column:
          (``6"`` is an inch mark), then stripped;
       3. the symbols ``®``, ``*`` and ``,`` are removed, then stripped;
       4. whitespace runs become one space, then stripped.
+
+    Each step reads its input once (a conditional "if it matches, rewrite"
+    is a single anchored regex), so the expression stays linear in size and
+    compiles into one small generated function.
     """
     s = _c(c)
-    s = F.when(s.startswith('"'), strip_ws(F.substring(s, 2, 1 << 30))).otherwise(s)
-    s = F.when(s.endswith('"') & ~s.rlike(_INCH_MARK),
-               strip_ws(s.substr(F.lit(1), F.length(s) - 1))).otherwise(s)
+    s = F.regexp_replace(s, _LEADING_QUOTE, "$1")
+    s = F.regexp_replace(s, _TRAILING_QUOTE, "$1")
     s = strip_ws(F.translate(s, NAME_SYMBOLS, ""))
     return collapse_ws(s)
 

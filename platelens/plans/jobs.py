@@ -9,10 +9,9 @@ from ..functions.numeric import coerce_numeric
 from ..functions.text import clean_item_name
 from ..operators import reports
 from ..operators.kmeans import classify
-from ..operators.nulls import drop_nulls
 from ..operators.pca import pca_scores
 from ..operators.translate import add_translation
-from ..schema import FEATURES, MENU_COLUMNS, NUMERIC_COLUMNS
+from ..schema import FEATURES, MENU_COLUMNS, NULL_TOKENS, NUMERIC_COLUMNS
 from ..sources.csv_io import READ_OPTIONS, read_csv_text, read_menu_csv, write_csv
 from ..sources.keys import with_file_order_ids
 from ..sources.tables import conform
@@ -20,24 +19,38 @@ from ..sources.tables import conform
 MENU_NAMES = [n for n, _ in MENU_COLUMNS]
 
 
-def clean_and_type(raw: DataFrame) -> DataFrame:
-    """Clean names, drop rows with any null menu cell, then type numbers.
+def complete_rows(raw: DataFrame, columns: list[str] = MENU_NAMES) -> DataFrame:
+    """Keep rows whose menu cells are all present: not null and not a null
+    token (a plain filter on the raw text, pushed into the scan)."""
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & F.col(c).isNotNull() & ~F.col(c).isin(NULL_TOKENS)
+    return raw.where(cond)
 
-    The order matters: a non-numeric cell is not null, so its row survives
-    the drop and only becomes null when typed (it is then not clustered).
-    Columns other than the menu ones are carried along.
+
+def clean_and_type(rows: DataFrame) -> DataFrame:
+    """Clean names and type numbers of complete rows.
+
+    Cleaning maps text to text, so dropping incomplete rows before it keeps
+    the same rows as dropping after it. Typing comes last: a non-numeric cell
+    is not null, so its row survives the drop and only becomes null when
+    typed (it is then not clustered). Other columns are carried along.
     """
-    x = raw.withColumn("item", clean_item_name("item"))
-    x = drop_nulls(x, subset=MENU_NAMES)
+    x = rows.withColumn("item", clean_item_name("item"))
     return x.select(*[coerce_numeric(c).alias(c) if c in NUMERIC_COLUMNS else F.col(c)
                       for c in x.columns])
 
 
 def load_items(spark: SparkSession, path: str) -> DataFrame:
     """CSV file(s) -> typed menu table with ids 1..N in file order over the
-    kept rows; item_gr and category are null."""
-    typed = clean_and_type(read_menu_csv(spark, path))
-    return conform(with_file_order_ids(typed, "id"))
+    kept rows; item_gr and category are null.
+
+    Ids are assigned right after the row filter and before the per-column
+    work, so the planner sees a narrow plan under the id join.
+    """
+    raw = read_menu_csv(spark, path, null_tokens=False)
+    kept = with_file_order_ids(complete_rows(raw), "id")
+    return conform(clean_and_type(kept))
 
 
 def add_category(items: DataFrame, method: str = "mllib", k: int = 3, **kw) -> DataFrame:

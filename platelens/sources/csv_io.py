@@ -26,7 +26,8 @@ WRITE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"',
 
 
 def read_csv_text(spark: SparkSession, path: str, schema: T.StructType,
-                  multiline: bool = False, tag_position: bool = False) -> DataFrame:
+                  multiline: bool = False, tag_position: bool = False,
+                  null_tokens: bool = True) -> DataFrame:
     """Scan CSV as text columns of ``schema`` and apply the null tokens.
 
     ``tag_position`` adds the file path / split start needed for file-order
@@ -37,12 +38,15 @@ def read_csv_text(spark: SparkSession, path: str, schema: T.StructType,
           .option("multiLine", str(multiline).lower()).csv(path))
     if tag_position:
         df = tag_file_position(df)
-    return null_tokens_to_null(df, [f.name for f in text_schema.fields])
+    return null_tokens_to_null(df, [f.name for f in text_schema.fields]) if null_tokens else df
 
 
-def read_menu_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Raw menu rows (all text, null tokens applied, file position tagged)."""
-    return read_csv_text(spark, path, RAW_MENU_SCHEMA, multiline, tag_position=True)
+def read_menu_csv(spark: SparkSession, path: str, multiline: bool = False,
+                  null_tokens: bool = True) -> DataFrame:
+    """Raw menu rows (all text, file position tagged; null tokens made null
+    unless ``null_tokens`` is False)."""
+    return read_csv_text(spark, path, RAW_MENU_SCHEMA, multiline, tag_position=True,
+                         null_tokens=null_tokens)
 
 
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,9 @@ checkpoint under the shared ``spark.checkpoint.dir``, so a restarted query
 neither loses nor repeats a file. There is no event time and no state: each
 micro-batch is independent, like one chunk of the batch load.
 
-Ids: a stream has no global file order, so ids are ``batch_id << 33 | row``
-sequence ids per micro-batch (unique and increasing, not dense). Use the
+Ids: a stream has no global file order, so ids are ``batch_id << 48`` plus
+the row's ``monotonically_increasing_id`` in its micro-batch (unique and
+increasing while a batch has fewer than 2^15 partitions, not dense). Use the
 batch loader for dense 1..N ids.
 """
 
@@ -22,23 +23,21 @@ from pyspark.sql import functions as F
 from ..schema import RAW_MENU_SCHEMA
 from ..session import ensure_checkpoint_dir
 from ..sources.csv_io import READ_OPTIONS
-from ..operators.nulls import null_tokens_to_null
 
 
 def start_menu_ingest(spark: SparkSession, source_dir: str, target_dir: str,
                       name: str = "menu_ingest", max_files_per_trigger: int = 16,
                       available_now: bool = True):
     """Start the ingest query; returns the ``StreamingQuery``."""
-    from ..plans.jobs import clean_and_type   # local import: plans depends on sources
+    from ..plans.jobs import clean_and_type, complete_rows   # plans depends on sources
 
     ckpt = os.path.join(ensure_checkpoint_dir(spark).rstrip("/"), "streams", name)
     raw = (spark.readStream.schema(RAW_MENU_SCHEMA).options(**READ_OPTIONS)
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir))
-    raw = null_tokens_to_null(raw, RAW_MENU_SCHEMA.fieldNames())
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        typed = clean_and_type(batch)
-        typed = typed.withColumn("id", (F.lit(batch_id).cast("long") * F.lit(1 << 33))
+        typed = clean_and_type(complete_rows(batch))
+        typed = typed.withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 48)
                                  + F.monotonically_increasing_id())
         typed.write.mode("append").parquet(target_dir)
 
