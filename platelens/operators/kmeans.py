@@ -38,21 +38,37 @@ class KMeansResult:
     names: dict[int, str] = field(default_factory=dict)
 
 
+def _num(v: float) -> str:
+    # repr() round-trips a double exactly; the D suffix makes it a double literal.
+    return f"({float(v)!r}D)"
+
+
+def _sq_dist_sql(zcols: list[str], c: list[float]) -> str:
+    return " + ".join(f"(`{z}` - {_num(v)}) * (`{z}` - {_num(v)})" for z, v in zip(zcols, c))
+
+
 def _sq_dist(zcols: list[str], c: list[float]) -> Column:
-    expr = None
-    for z, v in zip(zcols, c):
-        d = F.col(z) - F.lit(float(v))
-        term = d * d
-        expr = term if expr is None else expr + term
-    return expr
+    """Squared Euclidean distance to ``c`` (terms added left to right)."""
+    return F.expr(_sq_dist_sql(zcols, c))
 
 
 def nearest(zcols: list[str], centroids: list[list[float]]) -> Column:
-    """Index of the nearest centroid (lowest index on an exact tie)."""
-    cands = [F.struct(_sq_dist(zcols, c).alias("d"), F.lit(i).alias("c"))
-             for i, c in enumerate(centroids)]
-    best = cands[0] if len(cands) == 1 else F.least(*cands)
-    return best.getField("c")
+    """Index of the nearest centroid (lowest index on an exact tie).
+
+    Built as one SQL expression string: an iterative fit rebuilds it every
+    step, and one parse is much cheaper than hundreds of Column calls.
+    """
+    cands = [f"named_struct('d', {_sq_dist_sql(zcols, c)}, 'c', {i})" for i, c in enumerate(centroids)]
+    best = cands[0] if len(cands) == 1 else f"least({', '.join(cands)})"
+    return F.expr(f"({best}).c")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame that has fewer partitions than the cluster has
+    cores (a small table read from one file), so an iterative fit uses every
+    core. Frames that are already split are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def lloyd_fixed_start(z: DataFrame, zcols: list[str], k: int = 3, max_iter: int = 20,
@@ -62,7 +78,7 @@ def lloyd_fixed_start(z: DataFrame, zcols: list[str], k: int = 3, max_iter: int
     Stops when the centroids do not change (then further steps would not
     either) or after ``max_iter`` updates. An empty cluster keeps its centroid.
     """
-    pts = z.select(id_col, *zcols).persist(StorageLevel.MEMORY_AND_DISK)
+    pts = spread(z.select(id_col, *zcols)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         start = pts.orderBy(id_col).limit(k).collect()        # k rows
         cents = [[float(r[c]) for c in zcols] for r in start]
@@ -91,7 +107,7 @@ def mllib_kmeans(z: DataFrame, zcols: list[str], k: int = 3, seed: int = 0,
     from pyspark.ml.feature import VectorAssembler
 
     vec = VectorAssembler(inputCols=zcols, outputCol="_features", handleInvalid="skip")
-    data = vec.transform(z).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(vec.transform(z.select(*zcols))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
                        predictionCol="cluster").fit(data)
@@ -135,7 +151,13 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
 
     Rows whose features are not all valid numbers are not clustered; they are
     kept with a null cluster and category. Naming is by the final centroids.
+
+    The input is checkpointed once (reliable checkpoint in the shared
+    ``spark.checkpoint.dir``): the statistics pass, the fit and the final
+    assignment all read it instead of recomputing the upstream plan, and a
+    lost executor recomputes from the checkpoint, not from the sources.
     """
+    items = items.checkpoint(eager=True)
     valid = valid_feature_flag(features)
     fit_rows = items.where(valid)
     stats = feature_stats(fit_rows, features)

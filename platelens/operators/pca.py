@@ -30,8 +30,9 @@ class PCAResult:
 def fit_pca(z: DataFrame, zcols: list[str], n_components: int = 2):
     from pyspark.ml.feature import PCA, VectorAssembler
 
+    from .kmeans import spread
     data = VectorAssembler(inputCols=zcols, outputCol="_z").transform(z.select(*zcols))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = PCA(k=n_components, inputCol="_z", outputCol="_pc").fit(data)
         pc = model.pc.toArray()              # d x k
@@ -48,11 +49,8 @@ def fit_pca(z: DataFrame, zcols: list[str], n_components: int = 2):
 
 
 def score(zcols: list[str], loading: list[float]) -> Column:
-    expr = None
-    for z, w in zip(zcols, loading):
-        term = F.col(z) * F.lit(float(w))
-        expr = term if expr is None else expr + term
-    return expr
+    """sum_j loading_j * z_j as one native expression."""
+    return F.expr(" + ".join(f"`{z}` * ({float(w)!r}D)" for z, w in zip(zcols, loading)))
 
 
 def pca_scores(items: DataFrame, features: list[str] = FEATURES, n_components: int = 2,
@@ -60,7 +58,8 @@ def pca_scores(items: DataFrame, features: list[str] = FEATURES, n_components: i
     """Scores PC1..PCn for every item with valid features, plus ``keep``
     columns and the hover label ``item | item_gr`` when those exist."""
     keep = keep if keep is not None else [c for c in ("id", "item", "item_gr", "category") if c in items.columns]
-    rows = items.where(valid_feature_flag(features))
+    # One reliable checkpoint: statistics, fit and scoring all read it.
+    rows = items.where(valid_feature_flag(features)).select(*features, *keep).checkpoint(eager=True)
     stats = feature_stats(rows, features)
     z = standardize(rows, features, stats)
     zcols = ["z_" + f for f in features]
