@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import NAME_SYMBOLS, WS_CLASS
+from ..schema import NAME_SYMBOLS, WS_CHARS, WS_CLASS
 
 _WS_RUN = WS_CLASS + "+"
-_EDGE_WS = r"\A" + _WS_RUN + "|" + _WS_RUN + r"\z"
-# Step 1: a leading quote; the rest, stripped, is kept ($1).
-_LEADING_QUOTE = r'(?s)\A"' + WS_CLASS + r'*(.*?)' + WS_CLASS + r'*\z'
-# Step 2: a final quote not preceded by a decimal digit of any script (an
-# inch mark such as 6" stays); the text before it, stripped, is kept ($1).
-_TRAILING_QUOTE = r'(?s)\A' + WS_CLASS + r'*(.*?)' + WS_CLASS + r'*(?<!\p{Nd})"\z'
+_TO_SPACE = " " * len(WS_CHARS)
+# A trailing inch mark: a decimal digit (any script) right before a final quote.
+_INCH_MARK = r'\p{Nd}"\z'
 
 
 def _c(c) -> Column:
@@ -21,14 +18,20 @@ def _c(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Remove leading and trailing whitespace (the full Unicode set of WS_CLASS,
-    not only U+0020 as ``F.trim`` does)."""
-    return F.regexp_replace(_c(c), _EDGE_WS, "")
+    """Remove leading and trailing whitespace (all 29 characters of
+    WS_CHARS, not only U+0020 as plain ``F.trim`` does). Native trim, no
+    regex."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
+
+
+def _spaces_collapsed(t: Column) -> Column:
+    # t holds no whitespace but U+0020; most names have no double space.
+    return F.trim(F.when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t))
 
 
 def collapse_ws(c) -> Column:
     """Replace every whitespace run by one space, then strip."""
-    return strip_ws(F.regexp_replace(_c(c), _WS_RUN, " "))
+    return _spaces_collapsed(F.translate(_c(c), WS_CHARS, _TO_SPACE))
 
 
 def clean_item_name(c) -> Column:
@@ -41,20 +44,24 @@ def clean_item_name(c) -> Column:
       3. the symbols ``®``, ``*`` and ``,`` are removed, then stripped;
       4. whitespace runs become one space, then stripped.
 
-    Each step reads its input once (a conditional "if it matches, rewrite"
-    is a single anchored regex), so the expression stays linear in size and
-    compiles into one small generated function.
+    Steps 1-2 can only change a name that holds a quote, so other names skip
+    them. Steps 3-4 are one ``translate`` (whitespace -> space, symbols
+    deleted) and a space collapse: stripping after step 3 cannot change what
+    step 4 returns. All native expressions; the only regex runs on names with
+    a quote or a double space.
     """
     s = _c(c)
-    s = F.regexp_replace(s, _LEADING_QUOTE, "$1")
-    s = F.regexp_replace(s, _TRAILING_QUOTE, "$1")
-    s = strip_ws(F.translate(s, NAME_SYMBOLS, ""))
-    return collapse_ws(s)
+    q1 = F.when(s.startswith('"'), strip_ws(F.substring(s, 2, 1 << 30))).otherwise(s)
+    q2 = F.when(q1.endswith('"') & ~q1.rlike(_INCH_MARK),
+                strip_ws(q1.substr(F.lit(1), F.length(q1) - 1))).otherwise(q1)
+    s = F.when(s.contains('"'), q2).otherwise(s)
+    return _spaces_collapsed(F.translate(s, WS_CHARS + NAME_SYMBOLS, _TO_SPACE))
 
 
 def split_words(c) -> Column:
     """Split on whitespace runs; no empty words (``''`` -> empty array)."""
-    return F.filter(F.split(strip_ws(_c(c)), _WS_RUN), lambda w: w != "")
+    t = F.trim(F.translate(_c(c), WS_CHARS, _TO_SPACE))
+    return F.filter(F.split(t, " +"), lambda w: w != "")
 
 
 def join_words(c) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from platelens.functions.text import clean_item_name, collapse_ws, split_words, strip_ws
+from platelens.schema import WS_CHARS
 
 GOLDEN = [
     ("Chicken Sandwich®", "Chicken Sandwich"),
@@ -31,8 +32,8 @@ GOLDEN = [
     ('""Foo""', '"Foo"'),
 ]
 
-WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(
-    chr(c) for c in range(0x2000, 0x200B)) + "    　"
+
+
 
 
 def _run(spark, values, fn):
