@@ -127,3 +127,43 @@ def browse(df: DataFrame, sort: list[tuple[str, str]], limit: int | None = None,
     if limit is not None:
         out = out.limit(limit)
     return out
+
+
+# --- fact-scale variants ---------------------------------------------------------
+#
+# The same reports when every sales line is a menu row: lines (key, value,
+# carbs) reference items (key, restaurant, item). Lines are aggregated per
+# item key first (partial aggregation on the map side, one shuffle on the
+# key), and only those per-key partials are joined with the items; a key
+# holding a third of all lines becomes one row per task before any shuffle.
+
+def nutrition_stats_by_key(lines: DataFrame, items: DataFrame, key: str = "key") -> DataFrame:
+    """``nutrition_stats`` over ``lines`` (key, calories, total_carb) whose
+    restaurant comes from ``items`` (key, restaurant)."""
+    per_key = lines.groupBy(key).agg(
+        F.sum("calories").alias("_s"), F.count("calories").alias("_n"),
+        F.min("calories").alias("_mn"), F.max("calories").alias("_mx"),
+        F.sum("total_carb").alias("_sc"), F.count("total_carb").alias("_nc"))
+    j = per_key.join(items.select(key, "restaurant"), key)
+    return (j.groupBy("restaurant")
+            .agg((F.sum("_s") / F.sum("_n")).alias("avg_calories"),
+                 F.min("_mn").alias("min_calories"),
+                 F.max("_mx").alias("max_calories"),
+                 (F.sum("_sc") / F.sum("_nc")).alias("avg_carbohydrates"))
+            .orderBy(F.desc("avg_carbohydrates"), "restaurant"))
+
+
+def top_items_by_key(lines: DataFrame, items: DataFrame, key: str = "key", n: int = 5,
+                     restaurants: list[str] | None = None) -> DataFrame:
+    """``top_items`` (without translation) over ``lines`` (key, calories):
+    the maximum per key is taken before the join, then per (restaurant,
+    item), then the top ``n`` items per restaurant."""
+    it = _listed(items.select(key, "restaurant", "item"), restaurants)
+    per_key = lines.groupBy(key).agg(F.max("calories").alias("_mx"))
+    grouped = (per_key.join(it, key).groupBy("restaurant", "item")
+               .agg(F.max("_mx").alias("max_calories")))
+    w = Window.partitionBy("restaurant").orderBy(F.desc("max_calories"), "item")
+    ranked = grouped.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (ranked.select("restaurant", "item", "max_calories", "rank",
+                          label(F.col("item"), "<br>", "Calories: ", number_text("max_calories")).alias("label"))
+            .orderBy("restaurant", F.desc("max_calories"), "item"))

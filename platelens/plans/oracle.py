@@ -192,6 +192,25 @@ WHERE p_size NOT IN (1, 2, 50)
   AND {NOT_NULL(['total_fat', 'sugar', 'protein', 'calcium', 'fiber'])}"""
 
 
+FACTS = """
+facts AS (SELECT p.p_brand AS restaurant, p.p_name AS item, l.l_extendedprice AS calories,
+                 l.l_quantity AS total_carb
+          FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey)"""
+
+
+def _top_facts(listed: bool) -> str:
+    where = f"WHERE restaurant IN ({IN_LIST})" if listed else ""
+    return f"""WITH {FACTS}
+SELECT restaurant, item, max_calories, rank,
+       item || '<br>' || 'Calories: ' ||
+         CASE WHEN max_calories = floor(max_calories) THEN CAST(CAST(max_calories AS BIGINT) AS VARCHAR)
+              ELSE CAST(max_calories AS VARCHAR) END AS label
+FROM (SELECT restaurant, item, max(calories) AS max_calories,
+             row_number() OVER (PARTITION BY restaurant ORDER BY max(calories) DESC, item) AS rank
+      FROM facts {where} GROUP BY restaurant, item)
+WHERE rank <= 5"""
+
+
 def queries_sql() -> dict[str, str]:
     zc = ", ".join(f"{_r('z_' + f)} AS z_{f}" for f in FEATURES)
     feats_avg = ", ".join(f"{_r(f'avg({f})', 4)} AS avg_{f}" for f in FEATURES)
@@ -219,6 +238,12 @@ FROM (SELECT restaurant, label_short, sum(max_calories) AS value,
              CAST(GROUPING(restaurant, label_short) AS INTEGER) AS level
       FROM top GROUP BY ROLLUP (restaurant, label_short)),
      (SELECT sum(max_calories) AS total FROM top)""", extra=f",\ntop AS ({_top_items(False)})"),
+        "nutrition_stats_facts": f"""WITH {FACTS}
+SELECT restaurant, {_r('avg(calories)')} AS avg_calories, min(calories) AS min_calories,
+       max(calories) AS max_calories, {_r('avg(total_carb)')} AS avg_carbohydrates
+FROM facts GROUP BY restaurant""",
+        "top5_items_facts": _top_facts(False),
+        "top5_items_facts_listed": _top_facts(True),
         "clean_names": with_base(f"SELECT id, item AS raw_item, {clean('item')} AS item FROM raw"),
         "drop_nulls": with_base(f"""
 SELECT p_brand AS restaurant, {DIRTY} AS item, p_retailprice AS calories
@@ -231,6 +256,10 @@ SELECT p_partkey AS id, CASE WHEN p_size = 2 THEN NULL ELSE p_retailprice * 2 EN
        (p_size <> 3 AND {NOT_NULL(['total_fat', 'sugar', 'protein', 'calcium', 'fiber'])}) AS valid_features
 FROM pf"""),
         "load_items": with_base(_menu_typed()),
+        "csv_roundtrip": with_base(f"""
+SELECT p_partkey AS id, p_brand AS restaurant, CASE WHEN p_size = 1 THEN NULL ELSE {DIRTY} END AS item,
+       CASE WHEN p_size = 2 THEN NULL ELSE p_retailprice * 2 END AS sodium
+FROM pf"""),
         "surrogate_key": """
 SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS id,
        l_orderkey, l_linenumber, l_partkey, l_suppkey

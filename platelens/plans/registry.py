@@ -24,7 +24,7 @@ from ..operators.scaling import stats_frame, standardize
 from ..operators.translate import add_translation, dedupe_lookup
 from ..schema import FEATURES
 from ..session import scratch_path
-from ..sources.csv_io import read_lookup_csv, write_csv
+from ..sources.csv_io import read_csv_text, read_lookup_csv, write_csv
 from ..sources.keys import tag_file_position, with_file_order_ids
 from . import views
 from .jobs import browse_categories, export_categories, load_items, read_categories
@@ -77,6 +77,18 @@ def q_top5_items_rollup(spark, d):
     return _round(reports.hierarchy_rollup(top), ["value", "share_of_root"])
 
 
+def q_nutrition_stats_facts(spark, d):
+    r = reports.nutrition_stats_by_key(views.fact_lines(spark, d), views.fact_items(spark, d))
+    return _round(r, ["avg_calories", "avg_carbohydrates"])
+
+
+def _top_facts(listed):
+    def q(spark, d):
+        return reports.top_items_by_key(views.fact_lines(spark, d), views.fact_items(spark, d), "key", 5,
+                                        LISTED if listed else None)
+    return q
+
+
 # --- load: cleaning, nulls, coercion, CSV, ids ----------------------------------
 
 def q_clean_names(spark, d):
@@ -103,6 +115,18 @@ def q_load_items(spark, d):
     return load_items(spark, path)
 
 
+def q_csv_roundtrip(spark, d):
+    """Dirty names (quotes, commas, NBSP, tab, inch marks) and null tokens
+    through CSV write -> read: text comes back as written, tokens as null."""
+    from pyspark.sql import types as T
+    path = _fresh(spark, "raw_csv")
+    write_csv(views.menu_raw(spark, d, with_id=True).select("id", "restaurant", "item", "sodium"), path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "restaurant", "item", "sodium")])
+    back = read_csv_text(spark, path, schema)
+    return back.select(F.col("id").cast("bigint").alias("id"), "restaurant", "item",
+                       coerce_numeric("sodium").alias("sodium"))
+
+
 def q_surrogate_key(spark, d):
     path = _fresh(spark, "lineitem_sorted")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -211,10 +235,14 @@ QUERIES: dict[str, Query] = {
     "top5_items_label": _top(False),
     "top5_items_label_listed": _top(True),
     "top5_items_rollup": q_top5_items_rollup,
+    "nutrition_stats_facts": q_nutrition_stats_facts,
+    "top5_items_facts": _top_facts(False),
+    "top5_items_facts_listed": _top_facts(True),
     "clean_names": q_clean_names,
     "drop_nulls": q_drop_nulls,
     "coerce_numeric": q_coerce_numeric,
     "load_items": q_load_items,
+    "csv_roundtrip": q_csv_roundtrip,
     "surrogate_key": q_surrogate_key,
     "translate_lookup": q_translate_lookup,
     "translate_words": q_translate_words,

@@ -140,3 +140,19 @@ def menu_raw(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFra
         F.when(s == 50, F.lit("NA")).otherwise(txt(s * 2)).alias("vit_c"),
         F.when(s == 3, F.lit("trace")).otherwise(txt(F.col("calcium"))).alias("calcium"),
         F.lit("Other").alias("salad"))
+
+
+def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines as menu rows: key = l_partkey, calories = l_extendedprice,
+    total_carb = l_quantity (every line of lineitem)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_partkey").alias("key"), F.col("l_extendedprice").alias("calories"),
+                     F.col("l_quantity").alias("total_carb"))
+
+
+def fact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item each line refers to: key = p_partkey, restaurant = p_brand,
+    item = p_name."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("restaurant"),
+                    F.col("p_name").alias("item"))
