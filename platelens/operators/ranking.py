@@ -35,7 +35,9 @@ def sequence_ids(df: DataFrame, group_cols: list[str], id_col: str = "id",
     runs = x.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                       F.min("_mid").alias("_m0"))
     off = _offsets(runs, group_cols).select(*group_cols, "_off", "_m0")
-    out = x.join(off, group_cols, "inner")
+    # One row per run (file split): the same metadata the driver already holds
+    # for split planning, so broadcasting it is bounded; the rows never shuffle.
+    out = x.join(F.broadcast(off), group_cols, "inner")
     return (out.withColumn(id_col, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(start))
                .drop("_mid", "_off", "_m0"))
 

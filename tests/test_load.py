@@ -112,3 +112,27 @@ def test_table_ddl_reset_append(spark, tmp_dir):
     assert spark.table(name).where(F.col("category").isNull()).count() == 2
     tables.drop_table(spark, name)
     tables.drop_table(spark, name)                 # absent: no error
+
+
+def test_file_order_ids_across_many_splits(spark, tmp_dir):
+    """Dense ids in file order when every file is cut into many splits and
+    several files are packed per partition."""
+    from platelens.sources.keys import tag_file_position, with_file_order_ids
+    d = os.path.join(tmp_dir, "split")
+    n = 0
+    for f in range(3):
+        lines = ["k,v"] + [f"{f:02d}-{i:05d},{'x' * (i % 7)}" for i in range(1500)]
+        n += 1500
+        _write(os.path.join(d, f"part-{f:05d}.csv"), "\n".join(lines) + "\n")
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        raw = tag_file_position(spark.read.schema(schema).option("header", "true").csv(d))
+        assert raw.rdd.getNumPartitions() > 10
+        kept = raw.where(~F.col("k").endswith("3"))          # ids over kept rows only
+        got = [r.k for r in with_file_order_ids(kept).orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"{f:02d}-{i:05d}" for f in range(3) for i in range(1500) if not f"{i:05d}".endswith("3")]
+    assert got == want
