@@ -167,3 +167,27 @@ def top_items_by_key(lines: DataFrame, items: DataFrame, key: str = "key", n: in
     return (ranked.select("restaurant", "item", "max_calories", "rank",
                           label(F.col("item"), "<br>", "Calories: ", number_text("max_calories")).alias("label"))
             .orderBy("restaurant", F.desc("max_calories"), "item"))
+
+
+def max_calorie_items_by_key(lines: DataFrame, items: DataFrame, line_id: list[str], key: str = "key",
+                             restaurants: list[str] | None = None) -> DataFrame:
+    """``max_calorie_items`` over ``lines`` (key, calories, total_carb and the
+    ``line_id`` columns): per restaurant the item of the line with the most
+    calories (lowest line id on ties) and the average carbohydrates.
+
+    The arg-max is taken per item key first (one partial/final aggregate over
+    the lines), so only one candidate per key reaches the join with the items;
+    the restaurant arg-max then compares those candidates."""
+    order = F.struct(F.col("calories"), *[-F.col(c) for c in line_id])
+    per_key = lines.groupBy(key).agg(
+        F.max(order).alias("_best"),
+        F.sum("total_carb").alias("_sc"), F.count("total_carb").alias("_nc"))
+    it = _listed(items.select(key, "restaurant", "item"), restaurants)
+    j = per_key.join(it, key)
+    agg = (j.groupBy("restaurant")
+           .agg(F.max_by("item", "_best").alias("item"),
+                F.max("_best").alias("_best"),
+                (F.sum("_sc") / F.sum("_nc")).alias("avg_carbohydrates")))
+    return (agg.select("restaurant", "item", F.col("_best.calories").alias("max_calories"),
+                       "avg_carbohydrates")
+            .orderBy(F.desc("max_calories"), "restaurant"))

@@ -194,10 +194,22 @@ WHERE p_size NOT IN (1, 2, 50)
 
 FACTS = """
 facts AS (SELECT p.p_brand AS restaurant, p.p_name AS item, l.l_extendedprice AS calories,
-                 l.l_quantity AS total_carb
+                 l.l_quantity AS total_carb, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
           FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey)"""
 
 
+def _max_cal_facts(listed: bool) -> str:
+    where = f"WHERE restaurant IN ({IN_LIST})" if listed else ""
+    return f"""WITH {FACTS}
+SELECT restaurant, item, max_calories, {_r('avg_carbohydrates')} AS avg_carbohydrates FROM (
+  SELECT restaurant, item, calories AS max_calories,
+         avg(total_carb) OVER (PARTITION BY restaurant) AS avg_carbohydrates,
+         row_number() OVER (PARTITION BY restaurant
+                            ORDER BY calories DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn
+  FROM facts {where})
+WHERE rn = 1"""
+
+
 def _top_facts(listed: bool) -> str:
     where = f"WHERE restaurant IN ({IN_LIST})" if listed else ""
     return f"""WITH {FACTS}
@@ -243,6 +255,8 @@ SELECT restaurant, {_r('avg(calories)')} AS avg_calories, min(calories) AS min_c
        max(calories) AS max_calories, {_r('avg(total_carb)')} AS avg_carbohydrates
 FROM facts GROUP BY restaurant""",
         "top5_items_facts": _top_facts(False),
+        "max_calorie_items_facts": _max_cal_facts(False),
+        "max_calorie_items_facts_listed": _max_cal_facts(True),
         "top5_items_facts_listed": _top_facts(True),
         "clean_names": with_base(f"SELECT id, item AS raw_item, {clean('item')} AS item FROM raw"),
         "drop_nulls": with_base(f"""

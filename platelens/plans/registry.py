@@ -82,6 +82,14 @@ def q_nutrition_stats_facts(spark, d):
     return _round(r, ["avg_calories", "avg_carbohydrates"])
 
 
+def _max_cal_facts(listed):
+    def q(spark, d):
+        r = reports.max_calorie_items_by_key(views.fact_lines(spark, d), views.fact_items(spark, d),
+                                             views.LINE_ID, "key", LISTED if listed else None)
+        return _round(r, ["avg_carbohydrates"])
+    return q
+
+
 def _top_facts(listed):
     def q(spark, d):
         return reports.top_items_by_key(views.fact_lines(spark, d), views.fact_items(spark, d), "key", 5,
@@ -237,6 +245,8 @@ QUERIES: dict[str, Query] = {
     "top5_items_rollup": q_top5_items_rollup,
     "nutrition_stats_facts": q_nutrition_stats_facts,
     "top5_items_facts": _top_facts(False),
+    "max_calorie_items_facts": _max_cal_facts(False),
+    "max_calorie_items_facts_listed": _max_cal_facts(True),
     "top5_items_facts_listed": _top_facts(True),
     "clean_names": q_clean_names,
     "drop_nulls": q_drop_nulls,

@@ -142,12 +142,17 @@ def menu_raw(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFra
         F.lit("Other").alias("salad"))
 
 
+# A sales line is identified by these columns together (order and line number
+# alone repeat in the driver tables).
+LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines as menu rows: key = l_partkey, calories = l_extendedprice,
     total_carb = l_quantity (every line of lineitem)."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_partkey").alias("key"), F.col("l_extendedprice").alias("calories"),
-                     F.col("l_quantity").alias("total_carb"))
+                     F.col("l_quantity").alias("total_carb"), *LINE_ID)
 
 
 def fact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
