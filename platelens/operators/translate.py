@@ -45,6 +45,24 @@ def translate_words(names: DataFrame, lexicon: DataFrame, item: str = "item",
     return agg.select(item, F.when(F.col(item).isNotNull(), text).alias(out))
 
 
+def lexicon_from_function(names: DataFrame, translate_word, item: str = "item") -> DataFrame:
+    """Build a lexicon (word, word_tr) by applying ``translate_word`` - a
+    function from a pandas Series of words to a Series of translations - to
+    the distinct words of ``names[item]``.
+
+    The words are deduplicated by Spark first, then translated in Arrow
+    batches with ``mapInPandas``; each distinct word is translated once,
+    whatever the number of rows or names holding it.
+    """
+    words = names.select(F.explode(split_words(item)).alias("word")).distinct()
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(word_tr=translate_word(pdf["word"]))
+
+    return words.mapInPandas(run, "word string, word_tr string")
+
+
 def translation_table(names: DataFrame, lookup: DataFrame, lexicon: DataFrame,
                       item: str = "item", out: str = "item_gr") -> DataFrame:
     """(item, out) for every distinct name: dictionary hit, else fallback.
@@ -58,18 +76,25 @@ def translation_table(names: DataFrame, lookup: DataFrame, lexicon: DataFrame,
     return hits.unionByName(fallback)
 
 
-def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame,
-                    item: str = "item", out: str = "item_gr") -> DataFrame:
+def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | None = None,
+                    item: str = "item", out: str = "item_gr", translate_word=None) -> DataFrame:
     """Add (or replace) column ``out`` on ``items``; row count is unchanged.
 
     ``lookup`` is (item, item_gr[, pos]) and ``lexicon`` (word, word_tr); both
-    are deduplicated here. Join strategy is left to AQE: the translation table
-    has one row per distinct name, and becomes a broadcast when it is small.
+    are deduplicated here. Instead of a lexicon, ``translate_word`` (pandas
+    Series -> Series) may translate the words of the names the dictionary
+    misses (see ``lexicon_from_function``). Join strategy is left to AQE: the
+    translation table has one row per distinct name, and becomes a broadcast
+    when it is small.
     """
     if "pos" in lookup.columns:
         lookup = dedupe_lookup(lookup)
     else:  # no row order given: keys are expected unique; max keeps it deterministic
         lookup = lookup.groupBy("item").agg(F.max("item_gr").alias("item_gr"))
+    if translate_word is not None:
+        missing = items.select(item).distinct().join(
+            lookup.select(F.col("item").alias(item)), item, "left_anti")
+        lexicon = lexicon_from_function(missing, translate_word, item)
     lexicon = dedupe_lexicon(lexicon)
     table = translation_table(items.select(item), lookup, lexicon, item, out)
     base = items.drop(out) if out in items.columns else items

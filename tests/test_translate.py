@@ -44,3 +44,11 @@ def test_write_back(spark):
     upd = spark.createDataFrame([(1, "X"), (3, None)], "id long, item_gr string")
     got = sorted(tuple(r) for r in write_back(base, upd, "id", ["item_gr"]).collect())
     assert got == [(1, "a", "X"), (2, "b", "y"), (3, "c", None)]
+
+
+def test_word_translator_function(spark):
+    items = _items(spark, ["Big Mac", "hot dog", "hot  hot", ""])
+    lookup = spark.createDataFrame([(1, "Big Mac", "Μπιγκ Μακ")], "pos long, item string, item_gr string")
+    out = add_translation(items, lookup, translate_word=lambda s: s.str.upper())
+    got = sorted((r.id, r.item_gr) for r in out.collect())
+    assert got == [(1, "Μπιγκ Μακ"), (2, "HOT DOG"), (3, "HOT HOT"), (4, "")]
