@@ -64,7 +64,7 @@ def avg_carbs_share(items: DataFrame, restaurants: list[str] | None = None) -> D
     avgs = (_listed(items, restaurants).groupBy("restaurant")
             .agg(F.avg("total_carb").alias("avg_carbohydrates")))
     total = avgs.select(F.sum("avg_carbohydrates")).scalar()
-    return (avgs.withColumn("share", F.col("avg_carbohydrates") / total)
+    return (avgs.withColumn("share", F.try_divide(F.col("avg_carbohydrates"), total))
             .orderBy(F.desc("avg_carbohydrates"), "restaurant"))
 
 
@@ -107,7 +107,7 @@ def hierarchy_rollup(top: DataFrame, path: tuple[str, str] = ("restaurant", "lab
          .agg(F.sum(value).alias("value"), F.grouping_id().alias("level")))
     return r.select(F.col(parent), F.col(leaf), "value",
                     F.col("level").cast("int").alias("level"),
-                    (F.col("value") / total).alias("share_of_root"))
+                    F.try_divide(F.col("value"), total).alias("share_of_root"))
 
 
 def browse(df: DataFrame, sort: list[tuple[str, str]], limit: int | None = None,
@@ -146,10 +146,10 @@ def nutrition_stats_by_key(lines: DataFrame, items: DataFrame, key: str = "key")
         F.sum("total_carb").alias("_sc"), F.count("total_carb").alias("_nc"))
     j = per_key.join(items.select(key, "restaurant"), key)
     return (j.groupBy("restaurant")
-            .agg((F.sum("_s") / F.sum("_n")).alias("avg_calories"),
+            .agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("avg_calories"),
                  F.min("_mn").alias("min_calories"),
                  F.max("_mx").alias("max_calories"),
-                 (F.sum("_sc") / F.sum("_nc")).alias("avg_carbohydrates"))
+                 F.try_divide(F.sum("_sc"), F.sum("_nc")).alias("avg_carbohydrates"))
             .orderBy(F.desc("avg_carbohydrates"), "restaurant"))
 
 
@@ -187,7 +187,7 @@ def max_calorie_items_by_key(lines: DataFrame, items: DataFrame, line_id: list[s
     agg = (j.groupBy("restaurant")
            .agg(F.max_by("item", "_best").alias("item"),
                 F.max("_best").alias("_best"),
-                (F.sum("_sc") / F.sum("_nc")).alias("avg_carbohydrates")))
+                F.try_divide(F.sum("_sc"), F.sum("_nc")).alias("avg_carbohydrates")))
     return (agg.select("restaurant", "item", F.col("_best.calories").alias("max_calories"),
                        "avg_carbohydrates")
             .orderBy(F.desc("max_calories"), "restaurant"))

@@ -2,10 +2,13 @@
 
 New CSV files in ``source_dir`` are read as they arrive (bounded by
 ``max_files_per_trigger``), cleaned and null-dropped exactly as the batch
-load does, typed, and appended to a parquet folder. Progress is kept in a
-checkpoint under the shared ``spark.checkpoint.dir``, so a restarted query
-neither loses nor repeats a file. There is no event time and no state: each
-micro-batch is independent, like one chunk of the batch load.
+load does, typed, and written under ``target_dir/batch_id=<n>``. Each
+micro-batch overwrites its own folder, so a batch that is retried after a
+failure replaces its first attempt instead of adding duplicates; progress is
+kept in a checkpoint under the shared ``spark.checkpoint.dir``, so a
+restarted query neither loses nor repeats a file. Reading ``target_dir``
+gives every row plus its ``batch_id``. There is no event time and no state:
+each micro-batch is independent, like one chunk of the batch load.
 
 Ids: a stream has no global file order, so ids are ``batch_id << 48`` plus
 the row's ``monotonically_increasing_id`` in its micro-batch (unique and
@@ -39,7 +42,7 @@ def start_menu_ingest(spark: SparkSession, source_dir: str, target_dir: str,
         typed = clean_and_type(complete_rows(batch))
         typed = typed.withColumn("id", F.shiftleft(F.lit(batch_id).cast("long"), 48)
                                  + F.monotonically_increasing_id())
-        typed.write.mode("append").parquet(target_dir)
+        typed.write.mode("overwrite").parquet(os.path.join(target_dir, f"batch_id={batch_id}"))
 
     w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
