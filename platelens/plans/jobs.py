@@ -12,7 +12,7 @@ from ..operators.kmeans import classify
 from ..operators.pca import pca_scores
 from ..operators.translate import add_translation
 from ..schema import FEATURES, MENU_COLUMNS, NULL_TOKENS, NUMERIC_COLUMNS
-from ..sources.csv_io import READ_OPTIONS, read_csv_text, read_menu_csv, write_csv
+from ..sources.csv_io import read_csv_text, read_menu_csv, write_csv
 from ..sources.keys import with_file_order_ids
 from ..sources.tables import conform
 

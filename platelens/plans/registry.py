@@ -21,7 +21,7 @@ from ..operators.kmeans import classify
 from ..operators.nulls import drop_nulls, null_tokens_to_null, valid_feature_flag
 from ..operators.pca import correlation_matrix, pca_scores
 from ..operators.scaling import stats_frame, standardize
-from ..operators.translate import add_translation, dedupe_lookup
+from ..operators.translate import dedupe_lookup
 from ..schema import FEATURES
 from ..session import scratch_path
 from ..sources.csv_io import read_csv_text, read_lookup_csv, write_csv
