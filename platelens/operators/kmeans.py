@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FEATURES
+from ..schema import CATEGORY_BY_CLUSTER, FEATURES
 from .nulls import valid_feature_flag
 from .scaling import feature_stats, standardize
 
@@ -146,9 +146,14 @@ def category_column(names: dict[int, str], cluster: str = "cluster") -> Column:
 
 def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
              method: str = "mllib", max_iter: int | None = None, id_col: str = "id",
-             seed: int = 0) -> KMeansResult:
+             seed: int = 0, naming: str = "centroid") -> KMeansResult:
     """Add ``cluster`` and ``category`` to every item.
 
+    ``naming="centroid"`` (default) names clusters from their centroids (see
+    ``name_clusters``); ``naming="fixed"`` uses ``CATEGORY_BY_CLUSTER``
+    (cluster id -> name; ids outside the map get a null category), which is
+    only meaningful for one particular start.
+
     Rows whose features are not all valid numbers are not clustered; they are
     kept with a null cluster and category. Naming is by the final centroids.
 
@@ -167,7 +172,10 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
         res = lloyd_fixed_start(z, zcols, k, max_iter or 20, id_col)
     else:
         res = mllib_kmeans(z, zcols, k, seed, max_iter or 300)
-    names = name_clusters(centroid_profile(res.centroids, features), k)
+    if naming == "fixed":
+        names = {c: n for c, n in CATEGORY_BY_CLUSTER.items() if c < k}
+    else:
+        names = name_clusters(centroid_profile(res.centroids, features), k)
     zs = standardize(items, features, stats)
     cluster = F.when(valid, nearest(zcols, res.centroids))
     out = zs.withColumn("cluster", cluster).withColumn("category", category_column(names))

@@ -94,3 +94,18 @@ def test_correlation_matrix(spark):
     items = views.items(spark, SF001)
     cm = {(r.f1, r.f2): r.corr for r in correlation_matrix(items, FEATURES).collect()}
     assert len(cm) == 28 and all(math.isclose(cm[(f, f)], 1.0) for f in FEATURES)
+
+
+def test_fixed_naming_and_inertia(spark):
+    from platelens.operators.kmeans import inertia
+    items = views.items(spark, SF001)
+    res = classify(items, FEATURES, 4, "lloyd", max_iter=5, naming="fixed")
+    got = {r.cluster: r.category for r in res.assigned.select("cluster", "category").distinct().collect()}
+    assert got == {0: "Side", 1: "Dessert", 2: "Main", 3: None}      # id outside the map -> null
+    zc = ["z_" + f for f in FEATURES]
+    z = standardize(res.assigned, FEATURES)
+    cost = inertia(z, zc, res.centroids)
+    pts = z.select(*zc, "cluster").toPandas()
+    C = np.array(res.centroids)
+    brute = sum(((C[int(r.cluster)] - np.array([getattr(r, c) for c in zc])) ** 2).sum() for r in pts.itertuples())
+    assert math.isclose(cost, brute, rel_tol=1e-9)
