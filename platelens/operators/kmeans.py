@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORY_BY_CLUSTER, FEATURES
+from ..session import ensure_checkpoint_dir
 from .nulls import valid_feature_flag
 from .scaling import feature_stats, standardize
 
@@ -162,6 +163,7 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
     assignment all read it instead of recomputing the upstream plan, and a
     lost executor recomputes from the checkpoint, not from the sources.
     """
+    ensure_checkpoint_dir(items.sparkSession)
     items = items.checkpoint(eager=True)
     valid = valid_feature_flag(features)
     fit_rows = items.where(valid)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
+from ..session import ensure_checkpoint_dir
 from .nulls import valid_feature_flag
 from .scaling import feature_stats, standardize
 
@@ -59,6 +60,7 @@ def pca_scores(items: DataFrame, features: list[str] = FEATURES, n_components: i
     columns and the hover label ``item | item_gr`` when those exist."""
     keep = keep if keep is not None else [c for c in ("id", "item", "item_gr", "category") if c in items.columns]
     # One reliable checkpoint: statistics, fit and scoring all read it.
+    ensure_checkpoint_dir(items.sparkSession)
     rows = items.where(valid_feature_flag(features)).select(*features, *keep).checkpoint(eager=True)
     stats = feature_stats(rows, features)
     z = standardize(rows, features, stats)
