@@ -41,16 +41,45 @@ def clean_and_type(rows: DataFrame) -> DataFrame:
                       for c in x.columns])
 
 
-def load_items(spark: SparkSession, path: str) -> DataFrame:
+def load_items(spark: SparkSession, path: str, kept: DataFrame | None = None) -> DataFrame:
     """CSV file(s) -> typed menu table with ids 1..N in file order over the
     kept rows; item_gr and category are null.
 
     Ids are assigned right after the row filter and before the per-column
-    work, so the planner sees a narrow plan under the id join.
+    work, so the planner sees a narrow plan under the id join. Dense ids
+    need the row count of every file split first, so the kept rows are read
+    twice (counts, then rows); ``load_menu_table`` caches them to parse the
+    text once.
     """
-    raw = read_menu_csv(spark, path, null_tokens=False)
-    kept = with_file_order_ids(complete_rows(raw), "id")
-    return conform(clean_and_type(kept))
+    if kept is None:
+        kept = complete_rows(read_menu_csv(spark, path, null_tokens=False))
+    return conform(clean_and_type(with_file_order_ids(kept, "id")))
+
+
+def load_menu_table(spark: SparkSession, path: str, table: str, mode: str = "append") -> int:
+    """The whole load job: CSV -> clean -> drop incomplete rows -> ids ->
+    write to ``table`` (created with the menu schema if absent). Returns the
+    number of rows written.
+
+    The kept rows are persisted (memory, spilling to disk) for the two passes
+    the dense ids need, so the CSV is parsed once; a lost executor recomputes
+    its blocks from the files (the scan is deterministic). Ids continue after
+    the current maximum id when appending.
+    """
+    from pyspark import StorageLevel
+    from ..sources.tables import create_table
+
+    create_table(spark, table)
+    start = 1
+    if mode == "append":
+        start = (spark.table(table).agg(F.max("id")).first()[0] or 0) + 1
+    kept = complete_rows(read_menu_csv(spark, path, null_tokens=False)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = conform(clean_and_type(with_file_order_ids(kept, "id", start)))
+        out.write.mode(mode).insertInto(table, overwrite=(mode == "overwrite"))
+        return spark.table(table).where(F.col("id") >= start).count()
+    finally:
+        kept.unpersist()
 
 
 def add_category(items: DataFrame, method: str = "mllib", k: int = 3, **kw) -> DataFrame:

@@ -136,3 +136,19 @@ def test_file_order_ids_across_many_splits(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [f"{f:02d}-{i:05d}" for f in range(3) for i in range(1500) if not f"{i:05d}".endswith("3")]
     assert got == want
+
+
+def test_load_menu_table_appends_with_continuing_ids(spark, tmp_dir):
+    from platelens.plans.jobs import load_menu_table
+    d = os.path.join(tmp_dir, "menu2")
+    _write(os.path.join(d, "part-00000.csv"), _menu_csv([
+        _row("A", "x"), _row("A", "NA"), _row("B", "y *"), _row("C", "z")]))
+    name = "menu_load_tbl"
+    tables.drop_table(spark, name)
+    spark.sql(f"CREATE TABLE {name} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in MENU_SCHEMA.fields)}) "
+              f"USING parquet LOCATION '{os.path.join(tmp_dir, 'tbl2')}'")
+    assert load_menu_table(spark, d, name) == 3
+    assert load_menu_table(spark, d, name) == 3
+    rows = sorted((r.id, r.item) for r in spark.table(name).collect())
+    assert rows == [(1, "x"), (2, "y"), (3, "z"), (4, "x"), (5, "y"), (6, "z")]
+    tables.drop_table(spark, name)
