@@ -66,9 +66,14 @@ def _share(listed):
     return q
 
 
+def _rank_bigint(df: DataFrame) -> DataFrame:
+    # SQL's row_number() is BIGINT; Spark's is INT.
+    return df.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def _top(listed):
     def q(spark, d):
-        return reports.top_items(views.translated_items(spark, d), LISTED if listed else None, 5)
+        return _rank_bigint(reports.top_items(views.translated_items(spark, d), LISTED if listed else None, 5))
     return q
 
 
@@ -92,8 +97,8 @@ def _max_cal_facts(listed):
 
 def _top_facts(listed):
     def q(spark, d):
-        return reports.top_items_by_key(views.fact_lines(spark, d), views.fact_items(spark, d), "key", 5,
-                                        LISTED if listed else None)
+        return _rank_bigint(reports.top_items_by_key(views.fact_lines(spark, d), views.fact_items(spark, d),
+                                                     "key", 5, LISTED if listed else None))
     return q
 
 

@@ -31,12 +31,13 @@ def reset_table(spark: SparkSession, name: str, location: str | None = None,
 def conform(df: DataFrame, schema=MENU_SCHEMA) -> DataFrame:
     """Select into table order by column name; missing columns become null,
     types are coerced with try_cast (never raises)."""
-    cols = set(df.columns)
+    types = dict(df.dtypes)
+    cols = set(types)
     out = []
     for f in schema.fields:
         if f.name in cols:
             c = F.col(f.name)
-            out.append((c if dict(df.dtypes)[f.name] == f.dataType.simpleString()
+            out.append((c if types[f.name] == f.dataType.simpleString()
                         else c.try_cast(f.dataType)).alias(f.name))
         else:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
