@@ -56,5 +56,7 @@ def test_query_against_oracle(spark, con, name):
     rel = con.sql(sql)
     orows, ocols = rel.fetchall(), rel.columns
     assert sorted(df.columns) == sorted(ocols)
+    to_duck = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    assert {n: to_duck.get(t, t) for n, t in df.dtypes} == {n: str(t).upper() for n, t in zip(ocols, rel.types)}
     assert len(rows) == len(orows)
     assert _bag(rows, df.columns) == _bag(orows, ocols)
