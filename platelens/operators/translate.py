@@ -77,9 +77,15 @@ def translation_table(names: DataFrame, lookup: DataFrame, lexicon: DataFrame,
 
 
 def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | None = None,
-                    item: str = "item", out: str = "item_gr", translate_word=None) -> DataFrame:
+                    item: str = "item", out: str = "item_gr", translate_word=None,
+                    names: DataFrame | None = None) -> DataFrame:
     """Add (or replace) column ``out`` on ``items``; row count is unchanged.
 
+    ``names`` may give the names to translate more cheaply than ``items``
+    itself (any frame whose ``item`` column holds at least every name of
+    ``items``; extra names are harmless, since a translation depends only on
+    the name). By default the distinct names of ``items`` are used.
+
     ``lookup`` is (item, item_gr[, pos]) and ``lexicon`` (word, word_tr); both
     are deduplicated here. Instead of a lexicon, ``translate_word`` (pandas
     Series -> Series) may translate the words of the names the dictionary
@@ -91,11 +97,11 @@ def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | No
         lookup = dedupe_lookup(lookup)
     else:  # no row order given: keys are expected unique; max keeps it deterministic
         lookup = lookup.groupBy("item").agg(F.max("item_gr").alias("item_gr"))
+    names = (names if names is not None else items).select(item)
     if translate_word is not None:
-        missing = items.select(item).distinct().join(
-            lookup.select(F.col("item").alias(item)), item, "left_anti")
+        missing = names.distinct().join(lookup.select(F.col("item").alias(item)), item, "left_anti")
         lexicon = lexicon_from_function(missing, translate_word, item)
     lexicon = dedupe_lexicon(lexicon)
-    table = translation_table(items.select(item), lookup, lexicon, item, out)
+    table = translation_table(names, lookup, lexicon, item, out)
     base = items.drop(out) if out in items.columns else items
     return base.join(table, item, "left").select(*base.columns, out)

@@ -106,8 +106,20 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("word", F.upper(F.reverse("word")).alias("word_tr")))
 
 
+def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cleaned name a part can have: a superset of the names in
+    ``items`` (no feature join, no null drop), enough to build translations."""
+    p = table(spark, sf_dir, "part")
+    return p.select(clean_item_name(dirty_name(F.col("p_name"), F.col("p_partkey"),
+                                               F.col("p_size"))).alias("item"))
+
+
 def translated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_translation(items(spark, sf_dir), dictionary(spark, sf_dir), lexicon(spark, sf_dir))
+    """Items plus ``item_gr``. The names to translate come straight from
+    ``part`` (one narrow scan), so the items plan with its feature join is
+    evaluated once."""
+    return add_translation(items(spark, sf_dir), dictionary(spark, sf_dir), lexicon(spark, sf_dir),
+                           names=item_names(spark, sf_dir))
 
 
 def menu_raw(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
