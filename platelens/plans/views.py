@@ -21,6 +21,8 @@ lineitem, the views scan all of part.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,30 @@ from ..operators.nulls import drop_nulls
 from ..operators.translate import add_translation
 
 
+_READS: ContextVar[dict | None] = ContextVar("platelens_reads", default=None)
+
+
+@contextmanager
+def shared_reads():
+    """Within this block every driver table is read (and its files listed)
+    once: views that need ``part`` four times share one relation. Nothing is
+    kept after the block, so a later query sees new files."""
+    token = _READS.set({})
+    try:
+        yield
+    finally:
+        _READS.reset(token)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    reads = _READS.get()
+    if reads is None:
+        return spark.read.parquet(path)
+    key = (id(spark), path)
+    if key not in reads:
+        reads[key] = spark.read.parquet(path)
+    return reads[key]
 
 
 def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
