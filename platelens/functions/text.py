@@ -9,11 +9,9 @@ from ..schema import NAME_SYMBOLS, WS_CHARS, WS_CLASS
 
 _WS_RUN = WS_CLASS + "+"
 _TO_SPACE = " " * len(WS_CHARS)
-# Step 1: a leading quote; the rest, stripped, is kept ($1).
-_LEADING_QUOTE = r'(?s)\A"' + WS_CLASS + r'*(.*?)' + WS_CLASS + r'*\z'
 # Step 2: a final quote not preceded by a decimal digit of any script (an
-# inch mark such as 6" stays); the text before it, stripped, is kept ($1).
-_TRAILING_QUOTE = r'(?s)\A' + WS_CLASS + r'*(.*?)' + WS_CLASS + r'*(?<!\p{Nd})"\z'
+# inch mark such as 6" stays).
+_TRAILING_QUOTE = r'(?<!\p{Nd})"\z'
 
 
 def _c(c) -> Column:
@@ -48,15 +46,19 @@ def clean_item_name(c) -> Column:
       4. whitespace runs become one space, then stripped.
 
     Steps 1-2 can only change a name that holds a quote, so other names skip
-    them; each is one anchored regex that reads its input once. Steps 3-4 are
-    one ``translate`` (whitespace -> space, symbols deleted) and a space
-    collapse: stripping after step 3 cannot change what step 4 returns. The
-    input is referenced a few times only, so the expression stays small even
-    when the optimizer substitutes a computed column for it.
+    them. Step 1 is native (prefix test, substring, trim); step 2 removes one
+    final quote with a tiny anchored regex and trims. That trim also runs
+    when no quote was removed, which cannot change the result: steps 3-4
+    end with a trim, and trimming earlier never changes what they return.
+    Steps 3-4 are one ``translate`` (whitespace -> space, symbols deleted)
+    and a space collapse. The input is referenced five times, so the
+    expression stays small even if the optimizer substitutes a computed
+    column for it.
     """
     s = _c(c)
-    quoted = F.regexp_replace(F.regexp_replace(s, _LEADING_QUOTE, "$1"), _TRAILING_QUOTE, "$1")
-    s = F.when(s.contains('"'), quoted).otherwise(s)
+    q1 = F.when(s.startswith('"'), strip_ws(F.substring(s, 2, 1 << 30))).otherwise(s)
+    q2 = strip_ws(F.regexp_replace(q1, _TRAILING_QUOTE, ""))
+    s = F.when(s.contains('"'), q2).otherwise(s)
     return _spaces_collapsed(F.translate(s, WS_CHARS + NAME_SYMBOLS, _TO_SPACE))
 
 
