@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Generated-code cache (static; default 100 classes). One report query
+    # generates dozens of classes and every Lloyd step new ones, so the
+    # default evicts and recompiles on each run.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
