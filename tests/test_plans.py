@@ -28,3 +28,23 @@ def test_top_n_uses_partial_window_group_limit(spark):
 def test_no_cartesian_product(spark, name):
     s = _plan(E.queries()[name](spark, SF001))
     assert "CartesianProduct" not in s and "BroadcastNestedLoopJoin" not in s
+
+
+def _read_schemas(df):
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [line.split("ReadSchema: ", 1)[1] for line in text.splitlines() if "ReadSchema:" in line]
+
+
+def test_fact_scan_reads_only_needed_columns(spark):
+    df = E.queries()["top5_items_facts"](spark, SF001)
+    schemas = _read_schemas(df)
+    li = [s for s in schemas if "l_partkey" in s]
+    assert li and all(s == "struct<l_partkey:bigint,l_extendedprice:double>" for s in li)
+    pt = [s for s in schemas if "p_partkey" in s]
+    assert pt and all("p_type" not in s and "p_size" not in s for s in pt)
+
+
+@pytest.mark.parametrize("name", ["nutrition_stats_facts", "max_calorie_items_facts", "top5_items_facts_listed"])
+def test_fact_queries_no_cartesian(spark, name):
+    s = _plan(E.queries()[name](spark, SF001))
+    assert "CartesianProduct" not in s and "BroadcastNestedLoopJoin" not in s
