@@ -27,7 +27,7 @@ SAMPLE_PER_CLASS = 2000             # labelled texts of each class to learn from
 SAMPLE_BYTES = 16 << 10             # longer texts are not learned from (all are scored)
 EPOCHS, RATE, HIDDEN, GATE = 60, 0.01, 32, 16
 THRESHOLD = 0.3
-_SPAN = 4 << 20
+_SPAN = 1 << 20                      # bytes encoded at a time
 _SLOTS = 1024                       # hashed 4-byte strings told apart in a passage
 FEATURES = 16 * 16 + 2
 
@@ -78,6 +78,14 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return x, per
 
 
+def _encoded(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Features and passage counts of texts a to b, _SPAN bytes or one text at a
+    time: the arrays made on the way take some 60 bytes for each of text."""
+    data, off = text_buffers(col)
+    for a, b in runs_of(np.diff(off), _SPAN):
+        yield a, b, *passages(data[off[a]:off[b]], off[a:b + 1] - off[a])
+
+
 def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
@@ -136,8 +144,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS
         model.w["b"][0] = np.log((share + 1e-6) / (1 - share + 1e-6))
         return model
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    data, off = text_buffers(pa.array(texts, pa.string()))
-    x, per = passages(data, off)
+    parts = list(_encoded(pa.array(texts, pa.string())))
+    x, per = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    del parts
     first = np.r_[0, np.cumsum(per)]
     m = {k: np.zeros_like(v) for k, v in model.w.items()}
     v = {k: np.zeros_like(u) for k, u in model.w.items()}
@@ -165,10 +174,8 @@ def fit_tables(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0,
 
 def _scorer(model: Model):
     def scores(col: pa.Array) -> np.ndarray:
-        data, off = text_buffers(col)
         out = np.zeros(len(col))
-        for a, b in runs_of(np.diff(off), _SPAN):
-            x, per = passages(data[off[a]:off[b]], off[a:b + 1] - off[a])
+        for a, b, x, per in _encoded(col):
             out[a:b] = model.scores(x, per)
         return out
 
