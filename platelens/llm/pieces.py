@@ -9,8 +9,9 @@ The forward state of a prefix is, for unigram models, the best score and its las
 piece. For BPE models, whose result is that of greedy merges, the state is the one
 piece that the merges of this prefix end in: a split is the merges' result exactly
 if every piece is the result of its own characters and every neighbouring pair is
-the result of theirs, so a last piece is tested against the state before it. Either
-way the ids equal those of the sentencepiece library for the same model file.
+the result of theirs, so a last piece is tested against the state before it; the ids
+equal those of the sentencepiece library. Unigram ids are a split of the highest
+score in double precision.
 
 The model file is read by each task; its path is a parameter and must be one that
 all executors see. No shuffle: words are encoded where their texts are.

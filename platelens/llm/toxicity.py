@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, labelled_sample
 
-WINDOW, BUCKETS, DIM, GRAMS = 12, 1 << 17, 8, (3, 4, 5)
+WINDOW, BUCKETS, DIM, GRAMS = 6, 1 << 17, 8, (3, 4, 5)
 SAMPLE_PER_CLASS = 1000             # labelled texts of each class to learn from
 SAMPLE_BYTES = 8 << 10              # longer texts are not learned from (all are scored)
-EPOCHS, RATE, FLOOR, SCALE = 60, 0.5, 1e-3, 10.0   # gradients below FLOOR move a vector in proportion only
+EPOCHS, RATE, DECAY, SCALE = 60, 0.5, 0.08, 10.0
+FLOOR = 1e-3                        # gradients below it move a vector in proportion only
 MIN_SHARE = 1 / 30                  # n-grams of words in fewer of the training texts have no vector
 THRESHOLD = 0.3
 CACHE = 400_000
@@ -127,9 +128,9 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCHS) -> Model:
-    """Joint training by Adam over all passages at once: a clean text's passages
-    are all clean, a toxic text's worst passage (by the vectors so far; in the
-    first tenth of the steps every passage) is toxic. Without both classes every
+    """Joint training by Adam over all passages at once. A toxic text's passages
+    share its label by their softmax over the text, so it settles on the worst;
+    a clean text's count half that way, half evenly. Without both classes every
     score is the share of label 1 (one half if there are no labels)."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2 or not any(words_of(t) for t in texts):
@@ -169,6 +170,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
     first_text = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     per_text = np.diff(np.r_[first_text, len(text)])
     target = y[text]
+    even = np.repeat(1 / per_text, per_text)
     for step in range(1, epochs + 1):
         vec = np.zeros((len(ids), DIM), np.float32)
         if len(has):
@@ -177,11 +179,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
         bag = np.add.reduceat(vec[word], first_window, axis=0) / size[:, None]
         z = bag @ w["D"] + w["b"]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        top = z >= np.repeat(np.maximum.reduceat(z, first_text), per_text)
-        use = (target == 0) | top if step > epochs // 10 else np.ones(len(z), bool)
-        weight = np.where(target == 1, 0.5 / max(1, (use & (target == 1)).sum()), 0.5 / max(1, (use & (target == 0)).sum()))
-        # a clean text's worst passage weighs as much as all its others
-        weight = np.where((target == 0) & top, weight + 0.5 / max(1, ((target == 0) & top).sum()), weight) * use
+        share = np.exp(z - np.repeat(np.maximum.reduceat(z, first_text), per_text))
+        share /= np.repeat(np.add.reduceat(share, first_text), per_text)
+        weight = np.where(target == 1, share * (0.5 / y.sum()), (share + even) * (0.25 / (1 - y).sum()))
         d = ((p - target) * weight).astype(np.float32)
         dbag = d[:, None] * w["D"] / size[:, None]
         dvec = _sum_by(*by_word, dbag[window], len(ids)) / n_grams
@@ -190,6 +190,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
         for k in g:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            if k == "E":
+                w[k] *= 1 - DECAY
             rate = RATE if k == "E" else 0.1 * RATE
             w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + FLOOR)
     margins = np.zeros(BUCKETS, np.float32)
