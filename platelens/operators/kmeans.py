@@ -1,14 +1,16 @@
 """k-means clustering of menu items and naming of the clusters.
 
-Two fitters:
+Lloyd iterations until the centroids stand still. The start is drawn from the
+data alone, so the result depends neither on partitions nor on cores:
 
-* ``lloyd_fixed_start``: Lloyd iterations from a deterministic start (the k
-  rows with the smallest ids). Each iteration is one distributed aggregate
-  (cluster -> feature sums and counts) over a persisted feature frame; the k
-  centroids come back to the driver and are applied as literals in the next
-  assignment, so no join and no growing lineage. Same input -> same labels.
-* ``mllib_kmeans``: ``pyspark.ml.clustering.KMeans`` (k-means|| start, seed 0,
-  up to 300 iterations, tol 1e-4).
+* ``first``: the k rows with the smallest ids;
+* ``hash`` (default): the k rows with the smallest md5 of ``seed:id``.
+
+The id and features are written once as a narrow table; each step is one
+aggregate over it (cluster -> feature means) that returns k rows. The centroids
+are literals of the step; passing them as the value of a scalar subquery, which
+keeps the generated code the same, took twice as long a step. ``mllib_kmeans`` (k-means|| start) stays available;
+its result depends on the partition layout.
 
 Naming (``name_clusters``) is by centroid, not by cluster id, so it does not
 depend on the start: Dessert = highest mean (standardised) sugar; of the rest,
@@ -20,15 +22,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORY_BY_CLUSTER, FEATURES
-from ..session import ensure_checkpoint_dir
-from .nulls import valid_feature_flag
+from ..session import scratch_table
+from .nulls import coerce_features, valid_feature_flag
 from .scaling import feature_stats, standardize
 
+MAX_STEPS = 300
+MOVED = 1e-9
+
 
 @dataclass
 class KMeansResult:
@@ -45,12 +49,8 @@ def _num(v: float) -> str:
 
 
 def _sq_dist_sql(zcols: list[str], c: list[float]) -> str:
-    return " + ".join(f"(`{z}` - {_num(v)}) * (`{z}` - {_num(v)})" for z, v in zip(zcols, c))
-
-
-def _sq_dist(zcols: list[str], c: list[float]) -> Column:
     """Squared Euclidean distance to ``c`` (terms added left to right)."""
-    return F.expr(_sq_dist_sql(zcols, c))
+    return " + ".join(f"(`{z}` - {_num(v)}) * (`{z}` - {_num(v)})" for z, v in zip(zcols, c))
 
 
 def nearest(zcols: list[str], centroids: list[list[float]]) -> Column:
@@ -64,62 +64,50 @@ def nearest(zcols: list[str], centroids: list[list[float]]) -> Column:
     return F.expr(f"({best}).c")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer partitions than the cluster has
-    cores (a small table read from one file), so an iterative fit uses every
-    core. Frames that are already split are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def lloyd_fixed_start(z: DataFrame, zcols: list[str], k: int = 3, max_iter: int = 20,
-                      id_col: str = "id") -> KMeansResult:
-    """Lloyd's algorithm from the k rows with the smallest ``id_col``.
-
-    Stops when the centroids do not change (then further steps would not
-    either) or after ``max_iter`` updates. An empty cluster keeps its centroid.
-    """
-    pts = spread(z.select(id_col, *zcols)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        start = pts.orderBy(id_col).limit(k).collect()        # k rows
-        cents = [[float(r[c]) for c in zcols] for r in start]
-        it = 0
-        while it < max_iter:
-            a = pts.select(nearest(zcols, cents).alias("cluster"), *zcols)
-            rows = (a.groupBy("cluster")
-                    .agg(*[F.avg(c).alias(c) for c in zcols]).collect())   # k rows
-            new = [list(c) for c in cents]
-            for r in rows:
-                new[r["cluster"]] = [float(r[c]) for c in zcols]
-            it += 1
-            if new == cents:
-                break
-            cents = new
-    finally:
-        pts.unpersist()
-    assigned = z.withColumn("cluster", nearest(zcols, cents))
-    return KMeansResult(assigned, cents, it)
-
-
-def mllib_kmeans(z: DataFrame, zcols: list[str], k: int = 3, seed: int = 0,
-                 max_iter: int = 300, tol: float = 1e-4) -> KMeansResult:
-    """Spark ML k-means on the standardised columns."""
+def start_rows(pts: DataFrame, zcols: list[str], k: int, start: str, seed: int, id_col: str) -> list[list[float]]:
+    """The k starting centroids (see the module docstring)."""
+    if start == "first":
+        order = [F.col(id_col)]
+    else:
+        order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
+    return [[float(r[c]) for c in zcols] for r in pts.orderBy(*order).limit(k).collect()]     # k rows
+
+
+def lloyd(pts: DataFrame, zcols: list[str], k: int = 3, max_iter: int = MAX_STEPS, id_col: str = "id",
+          start: str = "hash", seed: int = 0) -> tuple[list[list[float]], int]:
+    """Lloyd's algorithm on the narrow table ``pts`` (id and standardised
+    features): (centroids, steps). Stops when no coordinate of a centroid moves by
+    more than MOVED, which only rounding does once no row changes its cluster;
+    raises if ``max_iter`` steps do not get there. An empty cluster keeps its
+    centroid; fewer rows than k give fewer clusters."""
+    cents = start_rows(pts, zcols, k, start, seed, id_col)
+    if not cents:
+        return [], 0
+    for it in range(1, max_iter + 1):
+        rows = (pts.select(nearest(zcols, cents).alias("cluster"), *zcols).groupBy("cluster")
+                .agg(*[F.avg(c).alias(c) for c in zcols]).collect())       # k rows
+        new = [list(c) for c in cents]
+        for r in rows:
+            new[r["cluster"]] = [float(r[c]) for c in zcols]
+        moved = max(abs(a - b) for x, y in zip(new, cents) for a, b in zip(x, y))
+        cents = new
+        if moved <= MOVED:
+            return cents, it
+    raise RuntimeError(f"k-means did not converge in {max_iter} steps")
+
+
+def mllib_kmeans(pts: DataFrame, zcols: list[str], k: int = 3, seed: int = 0,
+                 max_iter: int = MAX_STEPS, tol: float = 1e-4) -> tuple[list[list[float]], int, float]:
+    """Spark ML k-means on the standardised columns: (centroids, steps, cost)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vec = VectorAssembler(inputCols=zcols, outputCol="_features", handleInvalid="skip")
-    data = spread(vec.transform(z.select(*zcols))).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
-                       predictionCol="cluster").fit(data)
-        cents = [[float(v) for v in c] for c in model.clusterCenters()]
-        summary = model.summary
-        cost, iters = float(summary.trainingCost), int(summary.numIter)
-    finally:
-        data.unpersist()
-    # Assign with native expressions (same rule as the model: nearest centre).
-    assigned = z.withColumn("cluster", nearest(zcols, cents))
-    return KMeansResult(assigned, cents, iters, cost)
+    data = VectorAssembler(inputCols=zcols, outputCol="_features", handleInvalid="skip").transform(pts.select(*zcols))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features",
+                   predictionCol="cluster").fit(data)
+    summary = model.summary
+    return ([[float(v) for v in c] for c in model.clusterCenters()], int(summary.numIter),
+            float(summary.trainingCost))
 
 
 def name_clusters(profile: dict[int, dict[str, float]], k: int) -> dict[int, str]:
@@ -146,44 +134,45 @@ def category_column(names: dict[int, str], cluster: str = "cluster") -> Column:
 
 
 def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
-             method: str = "mllib", max_iter: int | None = None, id_col: str = "id",
-             seed: int = 0, naming: str = "centroid") -> KMeansResult:
+             method: str = "lloyd", max_iter: int = MAX_STEPS, id_col: str = "id",
+             seed: int = 0, naming: str = "centroid", start: str = "hash") -> KMeansResult:
     """Add ``cluster`` and ``category`` to every item.
 
+    Feature columns may be text or numbers; they are coerced to finite doubles
+    first. Rows whose features are not all finite numbers are not clustered;
+    they are kept with a null cluster and category.
+
     ``naming="centroid"`` (default) names clusters from their centroids (see
     ``name_clusters``); ``naming="fixed"`` uses ``CATEGORY_BY_CLUSTER``
     (cluster id -> name; ids outside the map get a null category), which is
     only meaningful for one particular start.
 
-    Rows whose features are not all valid numbers are not clustered; they are
-    kept with a null cluster and category. Naming is by the final centroids.
-
-    The input is checkpointed once (reliable checkpoint in the shared
-    ``spark.checkpoint.dir``): the statistics pass, the fit and the final
-    assignment all read it instead of recomputing the upstream plan, and a
-    lost executor recomputes from the checkpoint, not from the sources.
+    The fit reads a narrow table (id and features) written once under the
+    shared ``spark.checkpoint.dir`` and removed after the fit; the assignment is
+    an expression over the items themselves, without a join.
     """
-    ensure_checkpoint_dir(items.sparkSession)
-    items = items.checkpoint(eager=True)
+    items = coerce_features(items, features)
     valid = valid_feature_flag(features)
-    fit_rows = items.where(valid)
-    stats = feature_stats(fit_rows, features)
-    z = standardize(fit_rows, features, stats)
     zcols = ["z_" + f for f in features]
-    if method == "lloyd":
-        res = lloyd_fixed_start(z, zcols, k, max_iter or 20, id_col)
-    else:
-        res = mllib_kmeans(z, zcols, k, seed, max_iter or 300)
+    with scratch_table(items.where(valid).select(id_col, *features), "features") as fit_rows:
+        stats = feature_stats(fit_rows, features)
+        z = standardize(fit_rows, features, stats).select(id_col, *zcols)
+        cost = None
+        if method == "lloyd":
+            cents, steps = lloyd(z, zcols, k, max_iter, id_col, start, seed)
+        else:
+            cents, steps, cost = mllib_kmeans(z, zcols, k, seed, max_iter)
     if naming == "fixed":
         names = {c: n for c, n in CATEGORY_BY_CLUSTER.items() if c < k}
     else:
-        names = name_clusters(centroid_profile(res.centroids, features), k)
-    zs = standardize(items, features, stats)
-    cluster = F.when(valid, nearest(zcols, res.centroids))
-    out = zs.withColumn("cluster", cluster).withColumn("category", category_column(names))
-    res.assigned = out.drop(*zcols)
-    res.names = names
-    return res
+        names = name_clusters(centroid_profile(cents, features), k)
+    if cents:
+        out = (standardize(items, features, stats)
+               .withColumn("cluster", F.when(valid, nearest(zcols, cents)))
+               .withColumn("category", category_column(names)).drop(*zcols))
+    else:
+        out = items.withColumns({"cluster": F.lit(None).cast("int"), "category": F.lit(None).cast("string")})
+    return KMeansResult(out, cents, steps, cost, names)
 
 
 def inertia(assigned_z: DataFrame, zcols: list[str], centroids: list[list[float]],
@@ -191,6 +180,6 @@ def inertia(assigned_z: DataFrame, zcols: list[str], centroids: list[list[float]
     """Sum of squared distances to the assigned centroid."""
     d = None
     for i, c in enumerate(centroids):
-        term = F.when(F.col(cluster) == i, _sq_dist(zcols, c))
+        term = F.when(F.col(cluster) == i, F.expr(_sq_dist_sql(zcols, c)))
         d = term if d is None else F.coalesce(d, term)
     return float(assigned_z.agg(F.sum(d)).first()[0] or 0.0)

@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_table
 from .nulls import valid_feature_flag
 from .scaling import feature_stats, standardize
 
@@ -31,15 +30,10 @@ class PCAResult:
 def fit_pca(z: DataFrame, zcols: list[str], n_components: int = 2):
     from pyspark.ml.feature import PCA, VectorAssembler
 
-    from .kmeans import spread
     data = VectorAssembler(inputCols=zcols, outputCol="_z").transform(z.select(*zcols))
-    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = PCA(k=n_components, inputCol="_z", outputCol="_pc").fit(data)
-        pc = model.pc.toArray()              # d x k
-        ev = [float(v) for v in model.explainedVariance.toArray()]
-    finally:
-        data.unpersist()
+    model = PCA(k=n_components, inputCol="_z", outputCol="_pc").fit(data)
+    pc = model.pc.toArray()              # d x k
+    ev = [float(v) for v in model.explainedVariance.toArray()]
     loadings = []
     for j in range(n_components):
         col = [float(pc[i, j]) for i in range(len(zcols))]
@@ -59,13 +53,13 @@ def pca_scores(items: DataFrame, features: list[str] = FEATURES, n_components: i
     """Scores PC1..PCn for every item with valid features, plus ``keep``
     columns and the hover label ``item | item_gr`` when those exist."""
     keep = keep if keep is not None else [c for c in ("id", "item", "item_gr", "category") if c in items.columns]
-    # One reliable checkpoint: statistics, fit and scoring all read it.
-    ensure_checkpoint_dir(items.sparkSession)
-    rows = items.where(valid_feature_flag(features)).select(*features, *keep).checkpoint(eager=True)
-    stats = feature_stats(rows, features)
-    z = standardize(rows, features, stats)
+    rows = items.where(valid_feature_flag(features)).select(*features, *keep)
     zcols = ["z_" + f for f in features]
-    loadings, ev = fit_pca(z, zcols, n_components)
+    # statistics and fit read a narrow table of the features alone
+    with scratch_table(rows.select(*features), "pca") as fit_rows:
+        stats = feature_stats(fit_rows, features)
+        loadings, ev = fit_pca(standardize(fit_rows, features, stats), zcols, n_components)
+    z = standardize(rows, features, stats)
     cols = [score(zcols, l).alias(f"PC{j + 1}") for j, l in enumerate(loadings)]
     out = z.select(*cols, *keep)
     if "item" in keep and "item_gr" in keep:

@@ -43,12 +43,12 @@ def _assert_nearest(res):
 
 def test_lloyd_nearest_centroid_and_invariance(spark):
     items = views.items(spark, SF001).persist()
-    res = classify(items, FEATURES, 3, "lloyd", max_iter=20)
+    res = classify(items, FEATURES, 3, "lloyd")
     _assert_nearest(res)
     base = sorted((r.id, r.category) for r in res.assigned.collect())
     assert {c for _, c in base} == {"Main", "Side", "Dessert"}
     for n in (1, 4, 17):
-        again = classify(items.repartition(n), FEATURES, 3, "lloyd", max_iter=20)
+        again = classify(items.repartition(n), FEATURES, 3, "lloyd")
         assert sorted((r.id, r.category) for r in again.assigned.collect()) == base
     items.unpersist()
 
@@ -99,7 +99,7 @@ def test_correlation_matrix(spark):
 def test_fixed_naming_and_inertia(spark):
     from platelens.operators.kmeans import inertia
     items = views.items(spark, SF001)
-    res = classify(items, FEATURES, 4, "lloyd", max_iter=5, naming="fixed")
+    res = classify(items, FEATURES, 4, "lloyd", naming="fixed")
     got = {r.cluster: r.category for r in res.assigned.select("cluster", "category").distinct().collect()}
     assert got == {0: "Side", 1: "Dessert", 2: "Main", 3: None}      # id outside the map -> null
     zc = ["z_" + f for f in FEATURES]
@@ -109,3 +109,33 @@ def test_fixed_naming_and_inertia(spark):
     C = np.array(res.centroids)
     brute = sum(((C[int(r.cluster)] - np.array([getattr(r, c) for c in zc])) ** 2).sum() for r in pts.itertuples())
     assert math.isclose(cost, brute, rel_tol=1e-9)
+
+
+def test_default_start_does_not_depend_on_layout_and_convergence_is_required(spark):
+    import pytest
+    items = views.items(spark, SF001).persist()
+    base = None
+    for n in (1, 4, 17):
+        res = classify(items.repartition(n), FEATURES, 3)
+        got = sorted((r.id, r.cluster, r.category) for r in res.assigned.collect())
+        base = base or got
+        assert got == base
+    assert 1 < res.iterations < 300
+    with pytest.raises(RuntimeError, match="did not converge"):
+        classify(items, FEATURES, 3, max_iter=1)
+    items.unpersist()
+
+
+def test_infinite_and_text_features_are_kept_without_category(spark):
+    items = views.items(spark, SF001)
+    odd = items.withColumn("sugar", F.when(F.col("id") == 3, "1e400").when(F.col("id") == 4, "trace")
+                           .otherwise(F.col("sugar").cast("string")))
+    odd = odd.withColumn("fiber", F.when(F.col("id") == 5, float("inf")).otherwise(F.col("fiber")))
+    out = classify(odd, FEATURES, 3).assigned
+    assert out.count() == items.count()
+    assert sorted(r.id for r in out.where("category IS NULL").collect()) == [3, 4, 5]
+
+
+def test_no_rows_give_no_clusters(spark):
+    res = classify(views.items(spark, SF001).limit(0), FEATURES, 3)
+    assert res.centroids == [] and res.assigned.collect() == []
