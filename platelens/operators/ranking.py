@@ -1,19 +1,22 @@
 """Distributed row numbering and ranking without a single-partition window.
 
 Both helpers use the same idea: rows are numbered inside their partition (or
-file split) by ``monotonically_increasing_id``; a tiny table with one row per
+file split) by ``monotonically_increasing_id``; a table with one row per
 partition / split holds the row counts, and a running sum over it gives each
-partition its offset. Only that tiny table (one row per partition or split, a
-number fixed by the configuration, not by the data) is ordered in one task.
+partition its offset. Only that table is ordered in one task: one row per range
+partition (``spark.sql.shuffle.partitions``), or one per file split, which is the
+input's size over ``spark.sql.files.maxPartitionBytes`` (800,000 rows for 100 TB
+at 128 MB). Joins with it are left to the planner, which knows its size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row
-
+from ..session import scratch_path
 
 def _offsets(counts: DataFrame, order_cols: list[str]) -> DataFrame:
     w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -35,9 +38,7 @@ def sequence_ids(df: DataFrame, group_cols: list[str], id_col: str = "id",
     runs = x.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                       F.min("_mid").alias("_m0"))
     off = _offsets(runs, group_cols).select(*group_cols, "_off", "_m0")
-    # One row per run (file split): the same metadata the driver already holds
-    # for split planning, so broadcasting it is bounded; the rows never shuffle.
-    out = x.join(F.broadcast(off), group_cols, "inner")
+    out = x.join(off, group_cols, "inner")
     return (out.withColumn(id_col, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(start))
                .drop("_mid", "_off", "_m0"))
 
@@ -47,24 +48,27 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
     """SQL ``rank()`` over the whole frame (ties share the lowest position).
 
     ``order`` are sort expressions (``F.desc('x')`` ...); ``tie_cols`` names the
-    columns whose equality makes a tie (by default the ordered columns must be
-    given as names here). The frame is range-partitioned on the order, sorted
-    inside partitions and numbered via per-partition offsets, so no step puts
-    all rows in one task. With ``dense_ties=False`` the result is
+    columns whose equality makes a tie. The frame is range-partitioned on the
+    order, sorted inside partitions and written once under the shared folder;
+    counts and rows are both read from that one layout, so they cannot disagree.
+    A tie's position is a partial minimum joined back, so rows that share one
+    value are never gathered in a task. With ``dense_ties=False`` the result is
     ``row_number()`` instead.
     """
     tie_cols = tie_cols or []
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    x = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    x = x.withColumn("_pid", F.shiftright("_mid", 33))
+    spark = df.sparkSession
+    path = scratch_path(spark, f"ranked-{uuid.uuid4().hex[:12]}")
+    laid = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_mid", F.monotonically_increasing_id()))
+    laid.write.parquet(path)
+    x = spark.read.schema(laid.schema).parquet(path).withColumn("_pid", F.shiftright("_mid", 33))
     parts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    off = F.broadcast(_offsets(parts, ["_pid"]).select("_pid", "_off", "_m0"))
-    y = x.join(off, "_pid").withColumn(
-        "_rn", F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
-    if dense_ties and tie_cols:
-        # Equal keys land in the same range partition, so this window needs no
-        # further shuffle beyond the key clustering.
-        y = y.withColumn(rank_col, F.min("_rn").over(Window.partitionBy(*tie_cols)))
-    else:
-        y = y.withColumn(rank_col, F.col("_rn"))
-    return y.drop("_mid", "_pid", "_off", "_m0", "_rn")
+    off = _offsets(parts, ["_pid"]).select("_pid", "_off", "_m0")
+    y = (x.join(off, "_pid")
+         .withColumn("_rn", F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
+         .drop("_mid", "_pid", "_off", "_m0"))
+    if not (dense_ties and tie_cols):
+        return y.withColumnRenamed("_rn", rank_col)
+    low = y.groupBy(*[F.col(c).alias(f"_t_{c}") for c in tie_cols]).agg(F.min("_rn").alias(rank_col))
+    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in tie_cols]
+    return y.join(low, same).drop("_rn", *[f"_t_{c}" for c in tie_cols])

@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import sequence_ids
 
-FILE_COLS = ["_file_path", "_file_block"]
+FILE_COLS = ["_file_dir", "_file_part", "_file_path", "_file_block"]
 
 
 def tag_file_position(df: DataFrame) -> DataFrame:
-    """Add the file path and split start of every row (call right on a file
-    scan, before any operator that would hide ``_metadata``)."""
-    return df.select("*", F.col("_metadata.file_path").alias("_file_path"),
+    """Add the place of every row's split (call right on a file scan, before any
+    operator that would hide ``_metadata``): folder, part number, path, start.
+
+    The number of a ``part-<n>`` file is compared as a number, since its text
+    does not sort past 99,999 parts; other files have none and come first, by
+    path."""
+    path = F.col("_metadata.file_path")
+    part = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    return df.select("*", F.regexp_extract(path, "^(.*)/", 1).alias("_file_dir"),
+                     F.coalesce(part, F.lit(-1)).alias("_file_part"), path.alias("_file_path"),
                      F.col("_metadata.file_block_start").alias("_file_block"))
 
 
