@@ -1,7 +1,7 @@
 """Run the whole menu job: load -> translate -> categorise -> export -> reports.
 
     python -m platelens --menu MENU_CSV --dictionary DICT_CSV [--lexicon LEX_CSV]
-                        --out OUT_DIR [--restaurants "A,B,C"] [--k 3] [--method mllib|lloyd]
+                        --out OUT_DIR [--restaurants "A,B,C"] [--k 3] [--method lloyd|mllib] [--multiline]
 
 Writes under OUT_DIR: ``menu/`` (typed parquet table with item_gr and
 category), ``food_categories/`` (CSV: item, item_gr, category) and one
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,12 @@ from .operators.pca import pca_scores
 from .operators.translate import add_translation
 from .plans.jobs import export_categories, load_items
 from .schema import DEFAULT_RESTAURANTS, FEATURES, LEXICON_SCHEMA
-from .session import build_session
+from .session import build_session, scratch_path
 from .sources.csv_io import read_csv_text, read_lookup_csv
 
 
 def run(spark: SparkSession, menu: str, dictionary: str, out: str, lexicon: str | None = None,
-        restaurants: list[str] | None = None, k: int = 3, method: str = "mllib") -> dict[str, str]:
+        restaurants: list[str] | None = None, k: int = 3, method: str = "lloyd", multiline: bool = False) -> dict[str, str]:
     """Run every step; returns {output name: path}."""
     restaurants = restaurants if restaurants is not None else DEFAULT_RESTAURANTS
     paths = {}
@@ -39,7 +40,10 @@ def run(spark: SparkSession, menu: str, dictionary: str, out: str, lexicon: str
         paths[name] = os.path.join(out, name)
         return paths[name]
 
-    items = load_items(spark, menu)
+    # written once: every later step reads the typed table, not the CSV
+    path = scratch_path(spark, f"menu-{uuid.uuid4().hex[:12]}")
+    load_items(spark, menu, multiline=multiline).write.parquet(path)
+    items = spark.read.parquet(path)
     lookup = read_lookup_csv(spark, dictionary)
     if lexicon:
         lex = read_csv_text(spark, lexicon, LEXICON_SCHEMA)
@@ -71,12 +75,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--restaurants", help="comma-separated list for the restaurant reports")
     ap.add_argument("--k", type=int, default=3)
-    ap.add_argument("--method", choices=["mllib", "lloyd"], default="mllib")
+    ap.add_argument("--method", choices=["mllib", "lloyd"], default="lloyd")
+    ap.add_argument("--multiline", action="store_true", help="the menu CSV has quoted line breaks")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
     names = [r.strip() for r in a.restaurants.split(",")] if a.restaurants else None
-    for name, path in run(spark, a.menu, a.dictionary, a.out, a.lexicon, names, a.k, a.method).items():
+    for name, path in run(spark, a.menu, a.dictionary, a.out, a.lexicon, names, a.k, a.method, a.multiline).items():
         print(f"{name}\t{path}")
 
 

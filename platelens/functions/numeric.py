@@ -18,14 +18,14 @@ def is_number_text(c) -> Column:
 
 
 def coerce_numeric(c) -> Column:
-    """Text -> double, unparsable -> null (never raises under ANSI mode).
+    """Text -> finite double, else null (never raises under ANSI mode).
 
-    Doubles pass through, with NaN and +-inf made null: a feature must be a
-    finite number to be scaled.
+    Text that is no number is null, and so is a number beyond the range of a
+    double (``1e400``). Doubles pass through, NaN and +-inf made null.
     """
     c = F.col(c) if isinstance(c, str) else c
     return F.when(is_number_text(c.cast("string")),
-                  F.trim(c.cast("string")).try_cast("double"))
+                  finite_or_null(F.trim(c.cast("string")).try_cast("double")))
 
 
 def finite_or_null(c) -> Column:

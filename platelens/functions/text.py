@@ -30,11 +30,6 @@ def _spaces_collapsed(t: Column) -> Column:
     return F.trim(F.when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t))
 
 
-def collapse_ws(c) -> Column:
-    """Replace every whitespace run by one space, then strip."""
-    return _spaces_collapsed(F.translate(_c(c), WS_CHARS, _TO_SPACE))
-
-
 def clean_item_name(c) -> Column:
     """Clean a raw item name; null stays null.
 
@@ -68,17 +63,16 @@ def split_words(c) -> Column:
     return F.filter(F.split(t, " +"), lambda w: w != "")
 
 
-def join_words(c) -> Column:
-    """Join an array of words with single spaces."""
-    return F.array_join(_c(c), " ")
-
-
 def number_text(c) -> Column:
     """Render a double as text: whole values without a fraction (1210.0 ->
-    '1210'), others as Spark prints them (900.1 -> '900.1')."""
+    '1210'), others in plain decimals (900.1 -> '900.1', 0.0005 -> '0.0005'),
+    without an exponent up to 18 decimals."""
     x = _c(c)
-    return (F.when(x == F.floor(x), x.cast("bigint").cast("string"))
-            .otherwise(x.cast("string")))
+    text = x.cast("string")
+    plain = F.rtrim(x.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
+    return (F.when((x == F.floor(x)) & (F.abs(x) < 9e18), x.cast("bigint").cast("string"))
+            .when(text.contains("E") & (F.abs(x) >= 1e-18), F.coalesce(plain, text))
+            .otherwise(text))
 
 
 def label(*parts) -> Column:

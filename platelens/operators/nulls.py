@@ -22,7 +22,14 @@ def null_tokens_to_null(df: DataFrame, columns: list[str] | None = None,
 def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Drop every row with a null (or NaN) in any of ``subset`` (default: all
     columns)."""
-    return df.na.drop("any", subset=subset)
+    types = dict(df.dtypes)
+    cond = F.lit(True)
+    # plain conjuncts: the optimizer pushes them into scans and through joins
+    for c in subset or df.columns:
+        cond = cond & F.col(f"`{c}`").isNotNull()
+        if types[c] in ("double", "float"):
+            cond = cond & ~F.isnan(F.col(f"`{c}`"))
+    return df.where(cond)
 
 
 def coerce_features(df: DataFrame, features: list[str]) -> DataFrame:
@@ -35,8 +42,8 @@ def coerce_features(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def valid_feature_flag(features: list[str]):
-    """True where every feature is a usable number."""
+    """True where every feature is a finite number."""
     cond = F.lit(True)
     for f in features:
-        cond = cond & F.col(f).isNotNull() & ~F.isnan(F.col(f))
+        cond = cond & F.col(f).isNotNull() & ~F.isnan(F.col(f)) & (F.abs(F.col(f)) < F.lit(float("inf")))
     return cond

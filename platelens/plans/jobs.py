@@ -11,8 +11,8 @@ from ..operators import reports
 from ..operators.kmeans import classify
 from ..operators.pca import pca_scores
 from ..operators.translate import add_translation
-from ..schema import FEATURES, MENU_COLUMNS, NULL_TOKENS, NUMERIC_COLUMNS
-from ..sources.csv_io import read_csv_text, read_menu_csv, write_csv
+from ..schema import FEATURES, MENU_COLUMNS, NULL_TOKENS, NUMERIC_COLUMNS, RAW_MENU_SCHEMA
+from ..sources.csv_io import header_columns, read_csv_text, read_menu_csv, write_csv
 from ..sources.keys import with_file_order_ids
 from ..sources.tables import conform
 
@@ -41,48 +41,52 @@ def clean_and_type(rows: DataFrame) -> DataFrame:
                       for c in x.columns])
 
 
-def load_items(spark: SparkSession, path: str, kept: DataFrame | None = None) -> DataFrame:
+def kept_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """The CSV's rows that have a value in every column its header names."""
+    names = header_columns(spark, path, RAW_MENU_SCHEMA, multiline)
+    return complete_rows(read_menu_csv(spark, path, multiline, null_tokens=False), names)
+
+
+def load_items(spark: SparkSession, path: str, kept: DataFrame | None = None,
+               multiline: bool = False) -> DataFrame:
     """CSV file(s) -> typed menu table with ids 1..N in file order over the
-    kept rows; item_gr and category are null.
+    kept rows; item_gr and category are null, and so are columns that the CSV's
+    header does not have.
 
     Ids are assigned right after the row filter and before the per-column
     work, so the planner sees a narrow plan under the id join. Dense ids
     need the row count of every file split first, so the kept rows are read
-    twice (counts, then rows); ``load_menu_table`` caches them to parse the
-    text once.
+    twice (counts, then rows).
     """
     if kept is None:
-        kept = complete_rows(read_menu_csv(spark, path, null_tokens=False))
+        kept = kept_rows(spark, path, multiline)
     return conform(clean_and_type(with_file_order_ids(kept, "id")))
 
 
-def load_menu_table(spark: SparkSession, path: str, table: str, mode: str = "append") -> int:
+def load_menu_table(spark: SparkSession, path: str, table: str, mode: str = "append",
+                    multiline: bool = False) -> int:
     """The whole load job: CSV -> clean -> drop incomplete rows -> ids ->
     write to ``table`` (created with the menu schema if absent). Returns the
     number of rows written.
 
-    The kept rows are persisted (memory, spilling to disk) for the two passes
-    the dense ids need, so the CSV is parsed once; a lost executor recomputes
-    its blocks from the files (the scan is deterministic). Ids continue after
-    the current maximum id when appending.
+    Ids continue after the current maximum id when appending. That maximum is
+    read before the write, so a table takes one appender at a time.
     """
-    from pyspark import StorageLevel
-    from ..sources.tables import create_table
+    from ..sources.tables import append_table, create_table
 
     create_table(spark, table)
     start = 1
     if mode == "append":
         start = (spark.table(table).agg(F.max("id")).first()[0] or 0) + 1
-    kept = complete_rows(read_menu_csv(spark, path, null_tokens=False)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        out = conform(clean_and_type(with_file_order_ids(kept, "id", start)))
-        out.write.mode(mode).insertInto(table, overwrite=(mode == "overwrite"))
-        return spark.table(table).where(F.col("id") >= start).count()
-    finally:
-        kept.unpersist()
+    typed = clean_and_type(with_file_order_ids(kept_rows(spark, path, multiline), "id", start))
+    if mode == "append":
+        append_table(typed, table)
+    else:
+        conform(typed).write.mode(mode).insertInto(table, overwrite=True)
+    return spark.table(table).where(F.col("id") >= start).count()
 
 
-def add_category(items: DataFrame, method: str = "mllib", k: int = 3, **kw) -> DataFrame:
+def add_category(items: DataFrame, method: str = "lloyd", k: int = 3, **kw) -> DataFrame:
     return classify(items, FEATURES, k, method, **kw).assigned.drop("cluster")
 
 

@@ -1,10 +1,15 @@
 """CSV sources and sinks.
 
 Reading: header row, comma separator, ``"`` quotes with doubled-quote escape
-(``"6"" Sub"`` -> ``6" Sub``), every field read as text under an explicit
-schema (no inference), then the null tokens of ``schema.NULL_TOKENS`` become
-null. ``multiLine`` is off by default because it prevents splitting large
-files; switch it on only for quoted line breaks.
+(``"6"" Sub"`` -> ``6" Sub``). Columns are matched by the header's names, in any
+order: the first file's header line gives the order (every other file must have
+the same header, which Spark checks), a column that the header lacks is null, and
+one that the table does not have is an error. Every field is read as text (no
+inference), then the null tokens of ``schema.NULL_TOKENS`` become null. A row
+with too few fields has nulls at its end; one with too many is an error.
+``multiLine`` is off by default because it prevents splitting large files; switch
+it on for quoted line breaks. Without it a quoted line break is an error too
+where it leaves a quote open.
 
 Writing: header, quotes doubled, padding kept, null and '' both written as an
 empty field. The output is a folder of part files.
@@ -13,32 +18,63 @@ empty field. The output is a folder of part files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.nulls import null_tokens_to_null
 from ..schema import LOOKUP_SCHEMA, RAW_MENU_SCHEMA
 from .keys import tag_file_position, with_file_order_ids
 
-READ_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+READ_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+                "enforceSchema": "false", "columnNameOfCorruptRecord": "_bad", "columnPruning": "false"}
 WRITE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"',
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                  "emptyValue": "", "nullValue": ""}
 
 
+def header_columns(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> list[str]:
+    """Column names of the (first) file's header line; raises for names that
+    ``schema`` does not have and for repeated ones. Reads one line."""
+    names = (spark.read.options(**READ_OPTIONS).option("multiLine", str(multiline).lower())
+             .csv(path).columns)
+    names = [n for n in names if n != "_bad"]
+    unknown = sorted(set(names) - set(schema.fieldNames()))
+    if unknown:
+        raise ValueError(f"columns not in the table: {unknown}")
+    return names
+
+
+def checked_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the ``_bad`` column of malformed lines: a line of too many
+    fields, or one that ends inside a quote, is an error; a short line stays."""
+    bare = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "")
+    wide = (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(names)) | bare.contains('"')
+    fine = F.when(F.col("_bad").isNull() | ~wide, True).otherwise(
+        # names a column of the file too: Spark refuses scans of the malformed lines alone
+        F.raise_error(F.concat(F.lit("malformed CSV line: "), F.col("_bad"), F.lit(" at "),
+                               F.coalesce(names[0], F.lit("")))).cast("boolean"))
+    return df.where(fine).drop("_bad")
+
+
 def read_csv_text(spark: SparkSession, path: str, schema: T.StructType,
                   multiline: bool = False, tag_position: bool = False,
                   null_tokens: bool = True) -> DataFrame:
     """Scan CSV as text columns of ``schema`` and apply the null tokens.
 
-    ``tag_position`` adds the file path / split start needed for file-order
-    ids (see ``sources.keys``).
+    ``tag_position`` adds the file place needed for file-order ids (see
+    ``sources.keys``).
     """
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+    names = header_columns(spark, path, schema, multiline)
+    text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, "_bad"]])
     df = (spark.read.schema(text_schema).options(**READ_OPTIONS)
           .option("multiLine", str(multiline).lower()).csv(path))
     if tag_position:
         df = tag_file_position(df)
-    return null_tokens_to_null(df, [f.name for f in text_schema.fields]) if null_tokens else df
+    df = checked_rows(df, names)
+    tags = [c for c in df.columns if c not in names]
+    df = df.select(*[F.col(f.name) if f.name in names else F.lit(None).cast("string").alias(f.name)
+                     for f in schema.fields], *tags)
+    return null_tokens_to_null(df, names) if null_tokens else df
 
 
 def read_menu_csv(spark: SparkSession, path: str, multiline: bool = False,
@@ -49,10 +85,10 @@ def read_menu_csv(spark: SparkSession, path: str, multiline: bool = False,
                          null_tokens=null_tokens)
 
 
-def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_lookup_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Translation dictionary (item, item_gr) with ``pos`` = file row order,
     so a repeated key can be resolved as "last row wins"."""
-    df = read_csv_text(spark, path, LOOKUP_SCHEMA, tag_position=True)
+    df = read_csv_text(spark, path, LOOKUP_SCHEMA, multiline, tag_position=True)
     return with_file_order_ids(df, "pos")
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from platelens.functions.text import clean_item_name, collapse_ws, split_words, strip_ws
+from platelens.functions.text import clean_item_name, split_words, strip_ws
 from platelens.schema import WS_CHARS
 
 GOLDEN = [
@@ -60,7 +60,6 @@ def test_whitespace_set_is_complete():
 def test_strip_and_collapse_all_whitespace(spark):
     s = WS_CHARS + "a" + WS_CHARS + "b" + WS_CHARS
     assert _run(spark, [s], strip_ws)[0].startswith("a")
-    assert _run(spark, [s], collapse_ws) == ["a b"]
 
 
 def test_split_words(spark):

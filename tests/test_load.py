@@ -152,3 +152,61 @@ def test_load_menu_table_appends_with_continuing_ids(spark, tmp_dir):
     rows = sorted((r.id, r.item) for r in spark.table(name).collect())
     assert rows == [(1, "x"), (2, "y"), (3, "z"), (4, "x"), (5, "y"), (6, "z")]
     tables.drop_table(spark, name)
+
+
+def _by_name(order, **values):
+    return ",".join(str(values.get(c, "x" if c in ("restaurant", "item", "salad") else 1)) for c in order)
+
+
+NAMES = [n for n, _ in MENU_COLUMNS]
+
+
+def test_columns_are_matched_by_header_name(spark, tmp_dir):
+    order = [c for c in reversed(NAMES) if c != "vit_a"]
+    p = os.path.join(tmp_dir, "named", "x.csv")
+    _write(p, "\n".join([",".join(order), _by_name(order, item="A", calories=900, sugar=3),
+                         _by_name(order, item="NA"), _by_name(order, item="B", vit_c="")]) + "\n")
+    rows = load_items(spark, p).collect()
+    assert [(r.id, r.item, r.calories, r.sugar, r.vit_a) for r in rows] == [(1, "A", 900.0, 3.0, None)]
+
+
+def test_unknown_column_wide_row_and_open_quote_are_errors(spark, tmp_dir):
+    import pytest
+    cases = {"unknown": [",".join(NAMES) + ",zzz", _by_name(NAMES) + ",9"],
+             "wide": [",".join(NAMES), _by_name(NAMES), _by_name(NAMES) + ",9"],
+             "open": [",".join(NAMES), _by_name(NAMES, item='"A\nB"')]}
+    for name, lines in cases.items():
+        p = os.path.join(tmp_dir, name, "x.csv")
+        _write(p, "\n".join(lines) + "\n")
+        with pytest.raises(Exception, match="not in the table|malformed CSV line"):
+            load_items(spark, p).collect()
+
+
+def test_quoted_line_break_short_row_and_other_header(spark, tmp_dir):
+    import pytest
+    p = os.path.join(tmp_dir, "lines", "x.csv")
+    _write(p, "\n".join([",".join(NAMES), _by_name(NAMES, item='"A\nB, C"'), _by_name(NAMES, item="D"),
+                         _by_name(NAMES, item="short").rsplit(",", 1)[0]]) + "\n")
+    assert sorted(r.item for r in load_items(spark, p, multiline=True).collect()) == ["A B C", "D"]
+    for name, order in (("a", NAMES), ("b", NAMES[1:] + NAMES[:1])):
+        _write(os.path.join(tmp_dir, "two", name + ".csv"), ",".join(order) + "\n" + _by_name(order) + "\n")
+    with pytest.raises(Exception):
+        load_items(spark, os.path.join(tmp_dir, "two")).collect()
+
+
+def test_file_order_past_99999_parts(spark, tmp_dir):
+    from platelens.sources.keys import tag_file_position, with_file_order_ids
+    for n, items in (("part-100000-x.csv", "c\nd\n"), ("part-99999-x.csv", "a\nb\n")):
+        _write(os.path.join(tmp_dir, "parts", n), items)
+    df = spark.read.schema("item string").csv(os.path.join(tmp_dir, "parts"))
+    got = sorted((r.id, r.item) for r in with_file_order_ids(tag_file_position(df)).collect())
+    assert got == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_numbers_beyond_double_are_null_and_labels_are_plain(spark):
+    from platelens.functions.text import number_text
+    df = spark.createDataFrame([("1e400",), ("-1e400",), ("1e300",)], "x string")
+    assert [r.x for r in coerce_features(df, ["x"]).collect()] == [None, None, 1e300]
+    df = spark.createDataFrame([(12345678.5,), (0.0005,), (1210.0,), (900.1,), (-0.00025,), (None,), (1e22,)], "x double")
+    assert [r.t for r in df.select(number_text("x").alias("t")).collect()][:6] == [
+        "12345678.5", "0.0005", "1210", "900.1", "-0.00025", None]
