@@ -1,25 +1,10 @@
-"""Join helpers: a size-checked broadcast and keyed write-back."""
+"""Join helpers: keyed write-back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when it has at most this many rows (checked,
-# not assumed). Larger sides are left to the planner: a shuffled join, which
-# AQE still turns into a broadcast if the runtime size proves small.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``side`` if it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a limit, not a full count).
-    """
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
-
-
 def write_back(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Keyed update: rows of ``base`` whose ``key`` is in ``updates`` take the
     update's values (a null update sets null); other rows are unchanged.

@@ -69,11 +69,10 @@ def translation_table(names: DataFrame, lookup: DataFrame, lexicon: DataFrame,
 
     ``lookup`` must be unique on ``item`` (see ``dedupe_lookup``).
     """
-    names = names.select(item).distinct()
-    hits = lookup.select(F.col("item").alias(item), F.col("item_gr").alias(out))
-    missing = names.join(hits, item, "left_anti")
-    fallback = translate_words(missing, lexicon, item, out)
-    return hits.unionByName(fallback)
+    hits = lookup.select(F.col("item").alias(item), F.col("item_gr").alias(out), F.lit(True).alias("_hit"))
+    looked = names.select(item).distinct().join(hits, item, "left")
+    fallback = translate_words(looked.where("_hit IS NULL").select(item), lexicon, item, out)
+    return looked.where("_hit").select(item, out).unionByName(fallback)
 
 
 def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | None = None,

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from platelens.operators import reports
-from platelens.operators.joins import sized_broadcast
 
 
 def _skewed(spark, n=6000, parts=13):
@@ -54,10 +53,3 @@ def test_fact_variants_equal_direct(spark):
          reports.max_calorie_items_by_key(lines, items, ["line"]).collect()}
     d = {r.restaurant: (r.item, r.max_calories) for r in reports.max_calorie_items(df).collect()}
     assert c == d
-
-
-def test_sized_broadcast(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "ResolvedHint" in sized_broadcast(small, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in sized_broadcast(big, 100)._jdf.queryExecution().analyzed().toString()
