@@ -1,7 +1,7 @@
 """DuckDB SQL for every checked query (the independent oracle).
 
 The SQL re-derives each result from the driver tables by its own route
-(regexes, GROUP BY, window functions, unrolled Lloyd steps); it shares only
+(regexes, GROUP BY, window functions, a recursive Lloyd fixpoint, power iteration); it shares only
 the fixed values (feature list, whitespace class, thresholds) with the Spark
 code. Doubles that depend on the order of addition are rounded on both sides.
 """
@@ -13,7 +13,6 @@ from ..schema import FEATURES, WS_CLASS
 WS = WS_CLASS
 LISTED = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"]
 IN_LIST = ", ".join(f"'{r}'" for r in LISTED)
-LLOYD_STEPS = 20
 K = 3
 
 
@@ -88,50 +87,91 @@ titems AS (SELECT i.*, t.item_gr FROM items i LEFT JOIN trans t ON t.item = i.it
 
 
 def with_base(body: str, extra: str = "") -> str:
-    return f"WITH {BASE}{extra}\n{body}"
+    return f"WITH RECURSIVE {BASE}{extra}\n{body}"
 
 
-def _z_ctes() -> str:
+def _z_ctes(source: str = "titems") -> str:
     means = ",\n    ".join(
         f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) = 0 THEN 1.0::DOUBLE ELSE stddev_pop({f}) END AS s_{f}"
         for f in FEATURES)
     zs = ", ".join(f"(v.{f} - st.m_{f}) / st.s_{f} AS z_{f}" for f in FEATURES)
     return f""",
-valid AS (SELECT * FROM titems WHERE {NUM_OK(FEATURES)}),
+valid AS (SELECT * FROM {source} WHERE {NUM_OK(FEATURES)}),
 st AS (SELECT {means} FROM valid),
-z AS (SELECT v.id, {zs} FROM valid v, st)"""
+z AS MATERIALIZED (SELECT v.id, {zs} FROM valid v, st)"""
 
 
 def _dist(a: str, b: str) -> str:
     return " + ".join(f"({a}.z_{f} - {b}.z_{f}) * ({a}.z_{f} - {b}.z_{f})" for f in FEATURES)
 
 
-def _lloyd_ctes(steps: int = LLOYD_STEPS, k: int = K) -> str:
+def _lloyd_ctes(order: str = "id", k: int = K, source: str = "titems") -> str:
+    """Lloyd steps from the k first rows by ``order`` until no centroid moves."""
     zc = ", ".join(f"z_{f}" for f in FEATURES)
-    parts = [f""",
-c0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster, {zc}
-       FROM (SELECT * FROM z ORDER BY id LIMIT {k}))"""]
-    for i in range(1, steps + 1):
-        avgs = ", ".join(f"avg(z.z_{f}) AS z_{f}" for f in FEATURES)
-        keep = ", ".join(f"coalesce(m.z_{f}, p.z_{f}) AS z_{f}" for f in FEATURES)
-        parts.append(f""",
-a{i} AS (SELECT z.id, first(c.cluster ORDER BY {_dist('z', 'c')}, c.cluster) AS cluster
-        FROM z, c{i - 1} c GROUP BY z.id),
-m{i} AS (SELECT a.cluster, {avgs} FROM a{i} a JOIN z ON z.id = a.id GROUP BY a.cluster),
-c{i} AS (SELECT p.cluster, {keep} FROM c{i - 1} p LEFT JOIN m{i} m ON m.cluster = p.cluster)""")
-    last = f"c{steps}"
-    parts.append(f""",
-fin AS (SELECT z.id, first(c.cluster ORDER BY {_dist('z', 'c')}, c.cluster) AS cluster
-        FROM z, {last} c GROUP BY z.id),
-dessert AS (SELECT first(cluster ORDER BY z_sugar DESC, cluster) AS cluster FROM {last}),
+    avgs = ", ".join(f"avg(z.z_{f}) AS z_{f}" for f in FEATURES)
+    keep = ", ".join(f"coalesce(m.z_{f}, p.z_{f}) AS z_{f}" for f in FEATURES)
+    moved = " + ".join(f"abs(coalesce(m.z_{f}, p.z_{f}) - p.z_{f})" for f in FEATURES)
+    return f""",
+steps AS (
+  SELECT 0 AS step, CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS cluster, {zc}, true AS moved
+  FROM (SELECT * FROM z ORDER BY {order} LIMIT {k})
+  UNION ALL
+  SELECT p.step + 1 AS step, p.cluster, {keep}, max({moved}) OVER () > 1e-9 AS moved
+  FROM steps p LEFT JOIN (
+    SELECT a.cluster, {avgs}
+    FROM (SELECT z.id, first(c.cluster ORDER BY {_dist('z', 'c')}, c.cluster) AS cluster
+          FROM z, steps c GROUP BY z.id) a JOIN z ON z.id = a.id
+    GROUP BY a.cluster) m ON m.cluster = p.cluster
+  WHERE p.moved),
+cents AS MATERIALIZED (SELECT * FROM steps WHERE step = (SELECT max(step) FROM steps)),
+fin AS MATERIALIZED (SELECT z.id, first(c.cluster ORDER BY {_dist('z', 'c')}, c.cluster) AS cluster
+        FROM z, cents c GROUP BY z.id),
+dessert AS (SELECT first(cluster ORDER BY z_sugar DESC, cluster) AS cluster FROM cents),
 main AS (SELECT first(cluster ORDER BY z_calories + z_protein DESC, cluster) AS cluster
-         FROM {last} WHERE cluster <> (SELECT cluster FROM dessert)),
+         FROM cents WHERE cluster <> (SELECT cluster FROM dessert)),
 named AS (SELECT cluster, CASE WHEN cluster = (SELECT cluster FROM dessert) THEN 'Dessert'
                                WHEN cluster = (SELECT cluster FROM main) THEN 'Main'
-                               ELSE 'Side' END AS category FROM {last}),
-categorized AS (SELECT t.*, f.cluster, n.category FROM titems t
-                LEFT JOIN fin f ON f.id = t.id LEFT JOIN named n ON n.cluster = f.cluster)""")
-    return "".join(parts)
+                               ELSE 'Side' END AS category FROM cents),
+categorized AS (SELECT t.*, f.cluster, n.category FROM {source} t
+                LEFT JOIN fin f ON f.id = t.id LEFT JOIN named n ON n.cluster = f.cluster)"""
+
+
+def _pca_ctes(squarings: int = 12) -> str:
+    """Two leading eigenvectors of the correlation matrix: squaring it over and
+    over (scaled to trace 1) leaves the projector on the first; deflation gives
+    the second. Columns v1_i and v2_i of the one-row table ``axes``, the
+    largest entry of either positive."""
+    d = range(len(FEATURES))
+    e = lambda i, j: f"e_{min(i, j)}_{max(i, j)}"
+    pairs = [(i, j) for i in d for j in d if i <= j]
+    trace = " + ".join(e(i, i) for i in d)
+
+    def power(name: str, source: str) -> str:
+        parts, last = [], source
+        for t in range(squarings):
+            square = ", ".join(f"{' + '.join(f'{e(i, k)} * {e(k, j)}' for k in d)} AS {e(i, j)}" for i, j in pairs)
+            scaled = ", ".join(f"{e(i, j)} / ({trace}) AS {e(i, j)}" for i, j in pairs)
+            parts.append(f"{name}{t} AS MATERIALIZED (SELECT {scaled} FROM (SELECT {square} FROM {last}))")
+            last = f"{name}{t}"
+        return ",\n".join(parts), last
+
+    one, p1 = power("pa", "corr0")
+    two, p2 = power("pb", "corr1")
+    lam = " + ".join(f"c.{e(i, j)} * p.{e(i, j)}" for i in d for j in d)
+    less = ", ".join(f"c.{e(i, j)} - ({lam}) * p.{e(i, j)} AS {e(i, j)}" for i, j in pairs)
+
+    def axis(n: int, p: str) -> str:
+        top = f"greatest({', '.join(f'{p}.{e(i, i)}' for i in d)})"
+        return ", ".join("CASE " + " ".join(
+            f"WHEN {p}.{e(b, b)} = {top} THEN {p}.{e(b, i)} / sqrt({p}.{e(b, b)})" for b in d) + f" END AS v{n}_{i}" for i in d)
+
+    corr = ", ".join(f"avg(z_{FEATURES[i]} * z_{FEATURES[j]}) AS {e(i, j)}" for i, j in pairs)
+    return f""",
+corr0 AS MATERIALIZED (SELECT {corr} FROM z),
+{one},
+corr1 AS MATERIALIZED (SELECT {less} FROM corr0 c, {p1} p),
+{two},
+axes AS MATERIALIZED (SELECT {axis(1, p1)}, {axis(2, p2)} FROM {p1}, {p2})"""
 
 
 def _r(x: str, d: int = 6) -> str:
@@ -176,15 +216,15 @@ MENU_NUM = ["calories", "cal_fat", "total_fat", "sat_fat", "trans_fat", "cholest
             "total_carb", "fiber", "sugar", "protein", "vit_a", "vit_c", "calcium"]
 
 
-def _menu_typed() -> str:
+def _menu_typed(order: str = "p_partkey", vit_a: str = "CAST(p_size AS DOUBLE)") -> str:
     """The menu as load_items must produce it (typed, kept rows, file-order ids)."""
     return f"""
-SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS id,
+SELECT CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS id,
        p_brand AS restaurant, {clean(DIRTY)} AS item,
        p_retailprice AS calories, CAST(p_size * 9 AS DOUBLE) AS cal_fat, total_fat,
        protein / 2 AS sat_fat, 0.0::DOUBLE AS trans_fat, CAST(p_size * 3 AS DOUBLE) AS cholesterol,
        p_retailprice * 2 AS sodium, CAST(p_size AS DOUBLE) AS total_carb, fiber, sugar, protein,
-       CAST(p_size AS DOUBLE) AS vit_a, CAST(p_size * 2 AS DOUBLE) AS vit_c,
+       {vit_a} AS vit_a, CAST(p_size * 2 AS DOUBLE) AS vit_c,
        CASE WHEN p_size = 3 THEN NULL ELSE calcium END AS calcium,
        'Other' AS salad, CAST(NULL AS VARCHAR) AS item_gr, CAST(NULL AS VARCHAR) AS category
 FROM pf
@@ -306,5 +346,38 @@ SELECT item, item_gr, category, (SELECT count(*) FROM categorized) AS n_rows
 FROM categorized
 ORDER BY category ASC NULLS FIRST, item DESC NULLS LAST, item_gr ASC NULLS FIRST
 LIMIT 25 OFFSET 10""", extra=_z_ctes() + _lloyd_ctes()),
+        "top5_items_rollup_label": with_base(f"""
+SELECT restaurant, label, {_r('value')} AS value, level, {_r('value / total')} AS share_of_root
+FROM (SELECT restaurant, label, sum(max_calories) AS value,
+             CAST(GROUPING(restaurant, label) AS INTEGER) AS level
+      FROM top GROUP BY ROLLUP (restaurant, label)),
+     (SELECT sum(max_calories) AS total FROM top)""", extra=f",\ntop AS ({_top_items(False)})"),
+        "number_labels": """
+SELECT p_partkey AS id, CAST(p_partkey + 10000000.5::DOUBLE AS VARCHAR) AS large,
+       rtrim(CAST(p_size * CAST(0.0001 AS DECIMAL(9, 4)) AS VARCHAR), '0') AS small, CAST(NULL AS DOUBLE) AS huge
+FROM part""",
+        "load_by_header": with_base(_menu_typed(vit_a="CAST(NULL AS DOUBLE)")),
+        "load_append": with_base(_menu_typed("p_partkey % 2, p_partkey")),
+        "translate_hook": with_base("""
+SELECT i.id, i.item, CASE WHEN d.item IS NOT NULL THEN d.item_gr ELSE h.item_gr END AS item_gr
+FROM items i LEFT JOIN dct d ON d.item = i.item LEFT JOIN hook h ON h.item = i.item""", extra=""",
+hook AS (SELECT m.item, coalesce(string_agg(upper(reverse(w.word)), ' ' ORDER BY w.pos), '') AS item_gr
+         FROM missing m LEFT JOIN words w ON w.item = m.item GROUP BY m.item)"""),
+        "kmeans_categories": with_base("SELECT id, restaurant, item, cluster, category FROM categorized",
+                                       extra=_z_ctes() + _lloyd_ctes("md5('0:' || CAST(id AS VARCHAR)), id")),
+        "kmeans_invalid_kept": with_base("SELECT id, cluster, category FROM categorized", extra=""",
+loose AS (SELECT p_partkey AS id, p_retailprice AS calories, total_fat, sugar, CAST(p_size AS DOUBLE) AS total_carb,
+                 protein, CASE WHEN p_size = 3 THEN NULL ELSE calcium END AS calcium, fiber FROM pf)"""
+                                         + _z_ctes("loose") + _lloyd_ctes(source="loose")),
+        "inertia": with_base(f"""
+SELECT round(sum({_dist('z', 'c')}), 4) AS inertia, CAST(count(*) AS BIGINT) AS n_items
+FROM z JOIN fin f ON f.id = z.id JOIN cents c ON c.cluster = f.cluster""", extra=_z_ctes() + _lloyd_ctes()),
+        "pca_scores": with_base(f"""
+SELECT {', '.join(f"round({' + '.join(f'z.z_{f} * v{n}_{i}' for i, f in enumerate(FEATURES))}, 6) AS PC{n}" for n in (1, 2))},
+       c.id, c.item, c.item_gr, c.category, c.item || ' | ' || c.item_gr AS label
+FROM z JOIN categorized c ON c.id = z.id, axes""", extra=_z_ctes() + _lloyd_ctes() + _pca_ctes()),
+        "browse_all": with_base("""
+SELECT item, item_gr, category, (SELECT count(*) FROM categorized) AS n_rows
+FROM categorized""", extra=_z_ctes() + _lloyd_ctes()),
     }
     return sql

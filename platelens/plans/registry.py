@@ -14,21 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import coerce_numeric
-from ..functions.text import clean_item_name
+from ..functions.text import clean_item_name, number_text
 from ..operators import reports
 from ..operators.joins import write_back
-from ..operators.kmeans import classify
+from ..operators.kmeans import classify, inertia
 from ..operators.nulls import drop_nulls, null_tokens_to_null, valid_feature_flag
 from ..operators.pca import correlation_matrix, pca_scores
 from ..operators.scaling import stats_frame, standardize
-from ..operators.translate import dedupe_lookup
-from ..schema import FEATURES
+from ..operators.translate import add_translation, dedupe_lookup
+from ..schema import FEATURES, MENU_SCHEMA
 from ..session import scratch_path
 from ..sources.csv_io import read_csv_text, read_lookup_csv, write_csv
 from ..sources.keys import tag_file_position, with_file_order_ids
+from ..sources.tables import drop_table, reset_table
 from . import views
-from .jobs import browse_categories, export_categories, load_items, read_categories
-from .oracle import LISTED, LLOYD_STEPS
+from .jobs import browse_categories, export_categories, load_items, load_menu_table, read_categories
+from .oracle import LISTED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,10 +125,46 @@ def q_coerce_numeric(spark, d):
 
 def q_load_items(spark, d):
     path = _fresh(spark, "menu_csv")
-    write_csv(views.menu_raw(spark, d), path)
+    write_csv(_sorted_menu(spark, d), path)
     return load_items(spark, path)
 
 
+def _sorted_menu(spark, d):
+    return views.menu_raw(spark, d, with_id=True).orderBy("id").drop("id")
+
+
+def q_load_by_header(spark, d):
+    """Columns in reverse order and one missing: matched by the header's names."""
+    path = _fresh(spark, "menu_csv")
+    menu = _sorted_menu(spark, d)
+    write_csv(menu.select(*[c for c in reversed(menu.columns) if c != "vit_a"]), path)
+    return load_items(spark, path)
+
+
+def q_load_append(spark, d):
+    """DDL, reset, then two loads into one table, ids going on."""
+    name = f"platelens_{uuid.uuid4().hex[:12]}"
+    menu = views.menu_raw(spark, d, with_id=True)
+    for attempt in ("create", "reset"):
+        reset_table(spark, name, _fresh(spark, "menu_table"))
+        for odd in ((0,) if attempt == "create" else (0, 1)):
+            path = _fresh(spark, "menu_csv")
+            write_csv(menu.where(F.col("id") % 2 == odd).orderBy("id").drop("id"), path)
+            load_menu_table(spark, path, name)
+    out = spark.table(name).inputFiles()
+    rows = spark.read.schema(MENU_SCHEMA).parquet(*out)
+    drop_table(spark, name)          # the table's files stay in its own folder
+    return rows
+
+
+def q_number_labels(spark, d):
+    p = views.table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"),
+                    number_text(F.col("p_partkey") + F.lit(10000000.5)).alias("large"),
+                    number_text(F.col("p_size") / F.lit(10000.0)).alias("small"),
+                    coerce_numeric(F.concat(F.col("p_size").cast("string"), F.lit("e400"))).alias("huge"))
+
+
 def q_csv_roundtrip(spark, d):
     """Dirty names (quotes, commas, NBSP, tab, inch marks) and null tokens
     through CSV write -> read: text comes back as written, tokens as null."""
@@ -175,6 +212,13 @@ def q_translate_items(spark, d):
     return views.translated_items(spark, d).select("id", "item", "item_gr")
 
 
+def q_translate_hook(spark, d):
+    """The fallback through a pandas function over the distinct missing words."""
+    out = add_translation(views.items(spark, d), views.dictionary(spark, d), names=views.item_names(spark, d),
+                          translate_word=lambda words: words.str[::-1].str.upper())
+    return out.select("id", "item", "item_gr")
+
+
 def q_write_back(spark, d):
     items = views.items(spark, d)
     base = items.select("id", "item", F.col("item").alias("item_gr"))
@@ -195,7 +239,7 @@ def q_standardize(spark, d):
 
 
 def _lloyd_categorized(spark, d):
-    return classify(views.translated_items(spark, d), FEATURES, 3, "lloyd", max_iter=LLOYD_STEPS).assigned
+    return classify(views.translated_items(spark, d), FEATURES, 3, start="first").assigned
 
 
 def q_kmeans_fixed_start(spark, d):
@@ -210,7 +254,7 @@ def q_category_profile(spark, d):
 
 
 def q_kmeans_categories(spark, d):
-    res = classify(views.translated_items(spark, d), FEATURES, 3, "mllib")
+    res = classify(views.translated_items(spark, d), FEATURES, 3)
     return res.assigned.select("id", "restaurant", "item", "cluster", "category")
 
 
@@ -220,7 +264,27 @@ def q_correlation_matrix(spark, d):
 
 def q_pca_scores(spark, d):
     items = _lloyd_categorized(spark, d)
-    return pca_scores(items, FEATURES, 2).scores
+    return _round(pca_scores(items, FEATURES, 2).scores, ["PC1", "PC2"])
+
+
+def q_kmeans_invalid_kept(spark, d):
+    """Text features: rows with one that is no number stay, without a category."""
+    menu = views.menu_raw(spark, d, with_id=True).select("id", *FEATURES)
+    return classify(menu, FEATURES, 3, start="first").assigned.select("id", "cluster", "category")
+
+
+def q_inertia(spark, d):
+    items = views.items(spark, d)
+    res = classify(items, FEATURES, 3, start="first")
+    zc = ["z_" + f for f in FEATURES]
+    z = standardize(res.assigned.where("cluster IS NOT NULL"), FEATURES)
+    total = inertia(z, zc, res.centroids)
+    return z.agg(F.round(F.lit(total), 4).alias("inertia"), F.count(F.lit(1)).alias("n_items"))
+
+
+def q_top5_items_rollup_label(spark, d):
+    top = reports.top_items(views.translated_items(spark, d), None, 5)
+    return _round(reports.hierarchy_rollup(top, ("restaurant", "label")), ["value", "share_of_root"])
 
 
 def _export(spark, d):
@@ -238,6 +302,10 @@ def q_browse_categories(spark, d):
                              limit=25, offset=10)
 
 
+def q_browse_all(spark, d):
+    return browse_categories(spark, _export(spark, d), [("item", "asc")])
+
+
 QUERIES: dict[str, Query] = {
     "nutrition_stats": q_nutrition_stats,
     "restaurant_rank": q_restaurant_rank,
@@ -272,8 +340,15 @@ QUERIES: dict[str, Query] = {
     "pca_scores": q_pca_scores,
     "export_roundtrip": q_export_roundtrip,
     "browse_categories": q_browse_categories,
+    "browse_all": q_browse_all,
+    "load_by_header": q_load_by_header,
+    "load_append": q_load_append,
+    "number_labels": q_number_labels,
+    "translate_hook": q_translate_hook,
+    "kmeans_invalid_kept": q_kmeans_invalid_kept,
+    "inertia": q_inertia,
+    "top5_items_rollup_label": q_top5_items_rollup_label,
 }
 
-# Checked only by row count (iterative fits whose exact output depends on the
-# engine: MLlib's k-means|| start, the eigen-solver's last bits).
-ROWS_ONLY = {"kmeans_categories", "pca_scores"}
+# Queries without oracle SQL, checked only by row count: none.
+ROWS_ONLY: set[str] = set()

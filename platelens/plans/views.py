@@ -150,13 +150,12 @@ def menu_raw(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFra
     """All 17 menu columns as text, with CSV null tokens: item 'None' for
     p_size 1, sodium 'n/a' for p_size 2, vit_c 'NA' for p_size 50 (those rows
     are dropped at load), calcium 'trace' for p_size 3 (kept, but not a
-    number, so not clustered). Sorted by p_partkey; ``with_id`` adds
-    p_partkey as ``id`` in front."""
+    number, so not clustered). ``with_id`` adds p_partkey as ``id`` in front."""
     j = _part_with_features(spark, sf_dir)
     s = F.col("p_size")
     txt = lambda c: c.cast("string")
     front = [F.col("p_partkey").alias("id")] if with_id else []
-    return j.orderBy("p_partkey").select(
+    return j.select(
         *front,
         F.col("p_brand").alias("restaurant"),
         F.when(s == 1, F.lit("None")).otherwise(
