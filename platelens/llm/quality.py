@@ -79,11 +79,18 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _encoded(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Features and passage counts of texts a to b, _SPAN bytes or one text at a
-    time: the arrays made on the way take some 60 bytes for each of text."""
+    """Features and passage counts of texts a to b, _SPAN bytes at a time: the
+    arrays made on the way take some 60 bytes for each of text. A longer text
+    goes in slices of whole passages."""
     data, off = text_buffers(col)
     for a, b in runs_of(np.diff(off), _SPAN):
-        yield a, b, *passages(data[off[a]:off[b]], off[a:b + 1] - off[a])
+        part, ends = data[off[a]:off[b]], off[a:b + 1] - off[a]
+        if len(part) <= _SPAN:
+            yield a, b, *passages(part, ends)
+            continue
+        step = _SPAN - _SPAN % PASSAGE
+        cuts = [passages(x, np.array([0, len(x)])) for x in (part[i:i + step] for i in range(0, len(part), step))]
+        yield a, b, np.concatenate([x for x, _ in cuts]), sum(n for _, n in cuts)
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:

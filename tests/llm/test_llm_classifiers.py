@@ -33,11 +33,13 @@ def test_attention_gradient_by_differences():
             assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
-def test_passage_slices_do_not_matter():
+def test_passage_slices_do_not_matter(monkeypatch):
+    monkeypatch.setattr(quality, "_SPAN", 5000)      # the long texts go in slices
     texts = [r[1] or "" for r in DOCS]
     whole = np.concatenate([quality.passages(*quality.text_buffers(pa.array([t])))[0] for t in texts])
-    parts = np.concatenate([x for _, _, x, _ in quality._encoded(pa.array(texts))])
-    assert np.allclose(whole, parts)
+    parts = list(quality._encoded(pa.array(texts)))
+    assert np.allclose(whole, np.concatenate([x for _, _, x, _ in parts]))
+    assert [n for *_, per in parts for n in per] == [max(1, -(-len(t.encode()) // quality.PASSAGE)) for t in texts]
 
 
 @pytest.mark.parametrize("mod,name,label,fold,held,least", [
