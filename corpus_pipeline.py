@@ -8,6 +8,7 @@ documents. Between stages the rows are written to the cluster's shared folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from platelens.llm import exact_dedup, packing, quality, secret_scan, simhash
 from platelens.llm.common import table, written
@@ -29,8 +30,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked."""
-    return secret_scan.redacted(docs)
+    """All documents, secrets in their texts masked and n_chars counted anew (null
+    texts keep theirs)."""
+    masked = secret_scan.redacted(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,7 @@ def test_pipeline_stages(spark):
             assert rows(d.select("doc_id")) == rows(near.select("component_id").distinct())
         else:
             assert rows(d.drop("text", "n_chars")) == rows(before.drop("text", "n_chars"))
+            assert d.where("n_chars <> length(text)").count() == 0
     want = packing.pack(d).select("doc_id", "part", "n_tokens")
     got = corpus_pipeline.run(spark, SF001)
     assert rows(got.select("doc_id", "part", "n_tokens")) == rows(want)
