@@ -3,9 +3,11 @@
 A word is the bag of its marked character n-grams (3 to 5) and itself, hashed to
 BUCKETS vectors; a passage of WINDOW words is the average of its words'
 vectors, and a linear softmax scores it. Vectors and softmax are trained jointly
-in numpy. As a few words make a long text toxic, the text's score is that of its
-worst passage, in training as in use, so length does not dilute it; an unseen
-spelling shares most of its n-grams with a seen one.
+in numpy; only n-grams tied to the labels get a vector. As a few words make a
+long text toxic, training lets a toxic text settle on its worst passage. The
+text's score weighs three averaged bags by the same softmax: its worst passage,
+its worst words and all its words, so neither length nor one stray word decides.
+An unseen spelling shares most of its n-grams with a seen one.
 
 Training sees a bounded sample; scoring is a map over all whole texts. As the
 softmax of an average is linear, a word counts by one number, which a task
@@ -29,8 +31,9 @@ SAMPLE_PER_CLASS = 1000             # labelled texts of each class to learn from
 SAMPLE_BYTES = 8 << 10              # longer texts are not learned from (all are scored)
 EPOCHS, RATE, DECAY, SCALE = 60, 0.5, 0.08, 10.0
 FLOOR = 1e-3                        # gradients below it move a vector in proportion only
-MIN_SHARE = 1 / 30                  # n-grams of words in fewer of the training texts have no vector
+MIN_Z, MAX_PHI = 3.0, 0.5           # n-grams less tied to the labels than this have no vector (see _telling)
 THRESHOLD = 0.3
+WORST, RIDGE = 4, 1e-3              # words of the bag of worst words; shrinkage of the bags' weights
 CACHE = 400_000
 
 _WORD = re.compile(r"\w+")
@@ -91,12 +94,18 @@ def _grouping(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, k[first]
 
 
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+
+
 class Model:
     """Bucket vectors and the softmax's two columns, kept as their difference:
-    margin(word) = mean(vectors of its n-grams) . direction."""
+    margin(word) = mean(vectors of its n-grams) . direction. The text's logit is
+    ``mix`` of its three bags (see ``bags``) plus ``bias``."""
 
-    def __init__(self, margins: np.ndarray, bias: float):
+    def __init__(self, margins: np.ndarray, bias: float, mix: tuple[float, ...] = (0.0, 0.0, 0.0)):
         self.margins, self.bias = margins.astype(np.float32), float(bias)
+        self.mix = np.array(mix, np.float64)
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -105,26 +114,63 @@ class Model:
         return _means(self.margins[bucket][:, None].astype(np.float64), who, len(words))[:, 0]
 
     def logit(self, words: np.ndarray, margins: np.ndarray) -> float:
-        """Of the worst passage: the sum of its distinct words' margins over WINDOW.
-        ``words`` are ids, ``margins`` their margins. Passages overlap by half; a
-        text without words has only the bias."""
-        n = len(margins)
-        if n == 0:
-            return self.bias
-        half = WINDOW // 2
-        # a word counts where it has not occurred in the half passage before, and
-        # once in the passage: sums over halves of distinct words, less those in both
-        count = -(-n // half)
-        which = np.arange(n) // half
-        key = which * (int(words.max()) + 1) + words
-        key, first = np.unique(key, return_index=True)
-        h, w, m = which[first], key % (int(words.max()) + 1), margins[first]
-        sums = np.bincount(h, weights=m, minlength=count)
-        by = np.lexsort((h, w))
-        again = (w[by][1:] == w[by][:-1]) & (h[by][1:] == h[by][:-1] + 1)
-        both = np.bincount(h[by][1:][again], weights=m[by][1:][again], minlength=count)
-        total = sums[:-1] + sums[1:] - both[1:] if count > 1 else sums
-        return float(total.max()) / WINDOW + self.bias
+        return float(bags(words, margins) @ self.mix) + self.bias
+
+
+def bags(words: np.ndarray, margins: np.ndarray) -> np.ndarray:
+    """The margins of a text's worst passage of WINDOW words, of its WORST worst
+    words, and of all its words, each averaged over the bag's distinct words.
+
+    ``words`` are ids, ``margins`` their margins. Passages overlap by half; bags of
+    fewer words are filled with words of margin zero, so a text without words
+    has zeros.
+    """
+    n = len(margins)
+    if n == 0:
+        return np.zeros(3)
+    half = WINDOW // 2
+    # a word counts where it has not occurred in the half passage before, and
+    # once in the passage: sums over halves of distinct words, less those in both
+    count = -(-n // half)
+    which = np.arange(n) // half
+    key = which * (int(words.max()) + 1) + words
+    key, first = np.unique(key, return_index=True)
+    h, w, m = which[first], key % (int(words.max()) + 1), margins[first]
+    sums = np.bincount(h, weights=m, minlength=count)
+    by = np.lexsort((h, w))
+    again = (w[by][1:] == w[by][:-1]) & (h[by][1:] == h[by][:-1] + 1)
+    both = np.bincount(h[by][1:][again], weights=m[by][1:][again], minlength=count)
+    total = sums[:-1] + sums[1:] - both[1:] if count > 1 else sums
+    own = m[by][np.r_[True, w[by][1:] != w[by][:-1]]]       # one of each word
+    worst = np.sort(own)[-WORST:]
+    return np.array([total.max() / WINDOW, worst.sum() / WORST, own.sum() / max(len(own), WINDOW)])
+
+
+def _constant(y: np.ndarray) -> Model:
+    """Every score is the share of label 1; one half without labels."""
+    share = y.mean() if len(y) else 0.5
+    return Model(np.zeros(BUCKETS), np.log((share + 1e-6) / (1 - share + 1e-6)))
+
+
+def _telling(word: np.ndarray, text: np.ndarray, bucket: np.ndarray, per_word: np.ndarray,
+             y: np.ndarray) -> np.ndarray:
+    """Which buckets get a vector: those whose presence in a text and its label
+    correlate by chance hardly ever. The correlation phi times sqrt(n) is the z
+    of the two shares' difference; at least MIN_Z, or phi of MAX_PHI if the
+    texts are few. The rest would only learn single texts by heart."""
+    first = np.r_[0, np.cumsum(per_word)]
+    held = np.zeros((2, BUCKETS))
+    pairs = np.unique(text * len(per_word) + word)
+    ends = np.searchsorted(pairs, np.arange(len(y) + 1) * len(per_word))
+    for i, label in enumerate(y.astype(int)):
+        grams = [bucket[first[w]:first[w + 1]] for w in (pairs[ends[i]:ends[i + 1]] % len(per_word)).tolist()]
+        if grams:
+            held[label, np.unique(np.concatenate(grams))] += 1
+    n1, n = y.sum(), len(y)
+    share = held.sum(axis=0) / n
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (n1 / n) * (1 - n1 / n))
+    phi = (held[1] - share * n1) / n / spread
+    return np.abs(phi) >= min(MAX_PHI, MIN_Z / np.sqrt(n))
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCHS) -> Model:
@@ -134,8 +180,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
     score is the share of label 1 (one half if there are no labels)."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2 or not any(words_of(t) for t in texts):
-        share = y.mean() if len(y) else 0.5
-        return Model(np.zeros(BUCKETS), np.log((share + 1e-6) / (1 - share + 1e-6)))
+        return _constant(y)
     ids: dict[str, int] = {}
     word, window, text = [], [], []
     for i, t in enumerate(texts):
@@ -149,20 +194,24 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
     word, window, text = np.array(word), np.array(window), np.array(text)
     who, bucket = grams_of(list(ids))
     n_grams = np.bincount(who)
-    # words per number of texts that have them; n-grams of rare words only would learn single texts by heart
-    pairs = np.unique(word * len(texts) + text[window])
-    spread = np.bincount(pairs // len(texts), minlength=len(ids))
-    common = np.bincount(bucket, weights=spread[who], minlength=BUCKETS) >= max(3, MIN_SHARE * len(texts))
+    common = _telling(word, text[window], bucket, n_grams, y)
+    if not common.any():
+        return _constant(y)
     who, bucket = who[common[bucket]], bucket[common[bucket]]
+    # a word none of whose n-grams has a vector adds nothing to its passages
+    has, who = np.unique(who, return_inverse=True)
+    place = np.full(len(ids), -1)
+    place[has] = np.arange(len(has))
+    used = place[word] >= 0
+    word, window, n_grams = place[word[used]], window[used], n_grams[has]
     compact = np.cumsum(common) - 1
     bucket = compact[bucket]
-    size = np.full(len(text), WINDOW, np.float32)
     by_word, by_bucket = _grouping(word), _grouping(bucket)
+    first_gram = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
     r = np.random.default_rng(seed)
     kept = int(common.sum())
     w = {"E": r.normal(0, 0.01, (kept, DIM)).astype(np.float32), "D": r.normal(0, SCALE, DIM).astype(np.float32),
          "b": np.zeros(1, np.float32)}
-    has, at = np.unique(who, return_index=True)
     n_grams = n_grams[:, None].astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v = {k: np.zeros_like(u) for k, u in w.items()}
@@ -172,19 +221,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
     target = y[text]
     even = np.repeat(1 / per_text, per_text)
     for step in range(1, epochs + 1):
-        vec = np.zeros((len(ids), DIM), np.float32)
-        if len(has):
-            vec[has] = np.add.reduceat(w["E"][bucket], at, axis=0)
-        vec /= n_grams
-        bag = np.add.reduceat(vec[word], first_window, axis=0) / size[:, None]
+        vec = np.add.reduceat(w["E"][bucket], first_gram, axis=0) / n_grams
+        bag = np.zeros((len(text), DIM), np.float32)
+        bag[window[first_window]] = np.add.reduceat(vec[word], first_window, axis=0) / WINDOW
         z = bag @ w["D"] + w["b"]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = _sigmoid(z)
         share = np.exp(z - np.repeat(np.maximum.reduceat(z, first_text), per_text))
         share /= np.repeat(np.add.reduceat(share, first_text), per_text)
         weight = np.where(target == 1, share * (0.5 / y.sum()), (share + even) * (0.25 / (1 - y).sum()))
         d = ((p - target) * weight).astype(np.float32)
-        dbag = d[:, None] * w["D"] / size[:, None]
-        dvec = _sum_by(*by_word, dbag[window], len(ids)) / n_grams
+        dbag = d[:, None] * w["D"] / WINDOW
+        dvec = _sum_by(*by_word, dbag[window], len(has)) / n_grams
         g = {"D": bag.T @ d, "b": np.array([d.sum()]),
              "E": _sum_by(*by_bucket, dvec[who], kept)}
         for k in g:
@@ -196,29 +243,33 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
             w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + FLOOR)
     margins = np.zeros(BUCKETS, np.float32)
     margins[common] = w["E"] @ w["D"]
-    model = Model(margins, w["b"][0])
-    return _calibrated(model, texts, y)
+    return _mixed(margins, texts, y)
 
 
-def _text_logit(model: Model, text: str) -> float:
+def _words_and_margins(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
     ids: dict[str, int] = {}
     at = np.array([ids.setdefault(w, len(ids)) for w in words_of(text)], np.int64)
-    return model.logit(at, model.word_margins(list(ids))[at])
+    return at, model.word_margins(list(ids))[at]
 
 
-def _calibrated(model: Model, texts: list[str], y: np.ndarray) -> Model:
-    """Scale and shift the logits of the worst passages to the labels (Platt)."""
-    z = np.array([_text_logit(model, t) for t in texts])
-    a, b = 1.0, 0.0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+def _text_logit(model: Model, text: str) -> float:
+    return model.logit(*_words_and_margins(model, text))
+
+
+def _mixed(margins: np.ndarray, texts: list[str], y: np.ndarray) -> Model:
+    """Weigh the three bags of a text by a logistic regression on the labels; each
+    bag is scaled to unit spread and shrunk (RIDGE). All texts weigh the same, so
+    a score is a probability under the sample's share of label 1."""
+    model = Model(margins, 0.0)
+    x = np.array([bags(*_words_and_margins(model, t)) for t in texts])
+    scale = x.std(axis=0) + 1e-9
+    x = np.c_[x / scale, np.ones(len(y))]
+    w, ridge = np.zeros(4), RIDGE * np.array([1, 1, 1, 0]) + 1e-9
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        d, s = weight * (p - y), weight * p * (1 - p) + 1e-9
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(d * z).sum() + 1e-3 * (a - 1), d.sum() + 1e-3 * b])
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    a = max(a, 0.1)
-    return Model(model.margins * a, model.bias * a + b)
+        p = _sigmoid(x @ w)
+        h = (x * (p * (1 - p) / len(y))[:, None]).T @ x + np.diag(ridge)
+        w -= np.clip(np.linalg.solve(h, x.T @ (p - y) / len(y) + ridge * w), -2, 2)
+    return Model(margins, w[3], tuple(w[:3] / scale))
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, id_col: str = "doc_id",
@@ -254,8 +305,7 @@ def scored(docs: DataFrame, model: Model, fold: int = 4, held: int = 2, id_col:
                                             model.word_margins(fresh).tolist())))
                 got = np.array([known[w] for w in ws], np.float64).reshape(-1, 2)
                 out[i] = model.logit(got[:, 0].astype(np.int64), got[:, 1])
-            p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(out), pa.float64())], names=["_id", "score"])
 
     kind = dict(docs.dtypes)[id_col]
     got = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(

@@ -88,3 +88,31 @@ def test_misspelt_words_share_their_n_grams():
     bad, odd, good = (toxicity._text_logit(model, "garden window " + w + " river paper")
                       for w in ("horribleidiot", "horibleidiott", "musical"))
     assert bad > good and odd > good
+
+
+def test_bags_by_brute_force():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 6, 7, 25, 60):
+        words = r.integers(0, 12, n)
+        of = r.normal(size=12)
+        half, size = toxicity.WINDOW // 2, toxicity.WINDOW
+        starts = range(0, max(1, (-(-n // half) - 1) * half), half)
+        worst = max(sum(of[w] for w in set(words[a:a + size].tolist())) for a in starts) / size
+        own = sorted(of[w] for w in set(words.tolist()))
+        want = [worst, sum(own[-toxicity.WORST:]) / toxicity.WORST, sum(own) / max(len(own), size)]
+        assert np.allclose(toxicity.bags(words, of[words]), want)
+    assert (toxicity.bags(np.zeros(0, int), np.zeros(0)) == 0).all()
+
+
+def test_only_n_grams_tied_to_the_label_get_a_vector():
+    r = np.random.default_rng(3)
+    plain = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lmnrst"]
+    y = [i % 4 == 0 for i in range(200)]
+    texts = [" ".join(r.choice(plain, 40)) + (" zyxwv" if t else "") for t in y]
+    model = toxicity.fit(texts, [int(t) for t in y])
+    _, telling = toxicity.grams_of(["zyxwv"])
+    assert (model.margins[telling] > 0).all()
+    assert (model.margins != 0).sum() < len(set(telling.tolist())) + 0.05 * len(set(toxicity.grams_of(plain)[1].tolist()))
+    # the same words without a tie to the label: every score is the share of label 1
+    shuffled = toxicity.fit([t.replace(" zyxwv", "") for t in texts[:8]], [0, 1] * 4, epochs=2)
+    assert all(0 <= 1 / (1 + np.exp(-toxicity._text_logit(shuffled, t))) <= 1 for t in texts)
