@@ -112,24 +112,23 @@ def _linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def _tree(fp: np.ndarray, own: np.ndarray, most: int) -> tuple[list, list]:
-    """Tree links of one large cell: whatever is linked to a reached fingerprint
-    leaves the rest that is still compared, so dense groups cost little."""
+    """Tree links of one large cell, owners first: whatever is linked to a reached
+    fingerprint leaves the rest that is still compared, so dense groups cost
+    little. A fingerprint one step below the cell is compared with owners only,
+    and none starts a tree: a cell of few owners costs few passes."""
     src, dst = [], []
-    rest, rest_own = fp, own
-    while len(rest):
-        todo = [(rest[0], rest_own[0])]
-        rest, rest_own = rest[1:], rest_own[1:]
-        while todo and len(rest):
+    rest, owners = fp, int(own.sum())       # rest[:owners] own the cell
+    while owners:
+        todo, rest, owners = [(rest[0], True)], rest[1:], owners - 1
+        while todo:
             x, mine = todo.pop()
-            near = _linked(np.full(len(rest), x), rest, most)
-            if not mine:
-                near &= rest_own
-            if near.any():
-                hit = rest[near]
-                src.append(np.full(len(hit), x))
-                dst.append(hit)
-                todo.extend(zip(hit, rest_own[near]))
-                rest, rest_own = rest[~near], rest_own[~near]
+            others = rest if mine else rest[:owners]
+            at = np.flatnonzero(_linked(np.full(len(others), x), others, most))
+            if len(at):
+                src.append(np.full(len(at), x))
+                dst.append(rest[at])
+                todo.extend(zip(rest[at], at < owners))
+                rest, owners = np.delete(rest, at), owners - int((at < owners).sum())
     return src, dst
 
 

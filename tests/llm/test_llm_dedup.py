@@ -152,3 +152,32 @@ def test_components_of_a_chain_a_star_and_nothing(spark):
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 40)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_tree_links_join_what_all_owner_links_join():
+    r = np.random.default_rng(4)
+    for n, owners in ((400, 30), (400, 400), (90, 1), (60, 0)):
+        base = r.integers(0, 1 << 63, 12, dtype=np.uint64)
+        fp = base[r.integers(0, len(base), n)]
+        for _ in range(4):
+            fp = fp ^ (np.uint64(1) << r.integers(0, 63, n).astype(np.uint64))
+        fp = np.unique(fp)
+        r.shuffle(fp)
+        own = np.arange(len(fp)) < owners
+
+        def grouped(pairs):
+            low = {int(x): int(x) for x in fp}
+            while True:
+                new = dict(low)
+                for a, b in pairs:
+                    new[a] = new[b] = min(new[a], new[b])
+                if new == low:
+                    return low
+                low = new
+
+        every = [(int(fp[i]), int(fp[j])) for i in range(len(fp)) for j in range(i + 1, len(fp))
+                 if own[i] and simhash._linked(fp[i:i + 1], fp[j:j + 1], 3)[0]]
+        src, dst = simhash._tree(fp, own, 3)
+        tree = [(int(a), int(b)) for x, y in zip(src, dst) for a, b in zip(x, y)]
+        assert set(tree) <= set(every) | {(b, a) for a, b in every} and len(tree) < len(fp)
+        assert grouped(tree) == grouped(every)
