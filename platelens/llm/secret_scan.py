@@ -41,8 +41,9 @@ SENSITIVE = {
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "none", "null", "true", "false",
                 "undefined", "your_password", "your_token", "your_api_key", "xxxxxxxx", "todo", "test"}
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"
-_TARGET = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
+# names of any length: looked for only where a run of their characters begins
+_TARGET = re.compile(rf"""(?P<q>["']?)(?<![A-Za-z0-9_$.-])[0-9.-]*+(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
 _PART = re.compile(rf"""(?P<quote>["'])(?P<lit>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)
                     |\$\{{(?P<braced>{_NAME})\}}|(?P<bare>[A-Za-z0-9+/_$.=@!%^*~-]+)""", re.VERBOSE)
 _JOIN = re.compile(r"[\x20\t]*\+[\x20\t]*")
@@ -59,20 +60,77 @@ def sensitivity(name: str) -> float:
 def strength(literal: str) -> float:
     """How much a literal looks like a secret, 0 to 1: length and character
     entropy; placeholders and plain lower-case words are 0."""
-    if len(literal) < 8 or literal.lower() in PLACEHOLDERS or len(set(literal)) < 4 or " " in literal:
+    if len(literal) < 8 or literal.lower() in PLACEHOLDERS:
         return 0.0
     if literal.isalpha() and (literal.islower() or literal.istitle()):
         return 0.0
-    n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
+    return _spread(Counter(literal))
+
+
+def _spread(counts: Counter[str]) -> float:
+    """Strength by length and entropy alone, from the counts of the characters."""
+    if len(counts) < 4 or " " in counts:
+        return 0.0
+    n = counts.total()
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
     return min(1.0, bits / 3.5) * min(1.0, n / 12)
 
 
+class _Value:
+    """What a name holds: spans of literals and the values of other names, in
+    order. Values are shared, not copied, so all of a text's take about its size."""
+    __slots__ = ("items", "end", "counts", "told")
+
+    def __init__(self, items: list[tuple[int, int] | _Value]):
+        self.items = items
+        self.end = max((x.end if isinstance(x, _Value) else x[1] for x in items), default=0)
+        self.counts: Counter[str] | None = None
+        self.told = False                # whether all its spans are among the found ones
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Every span once, by first place."""
+        out, seen, stack = {}, set(), [self]
+        while stack:
+            x = stack.pop()
+            if not isinstance(x, _Value):
+                out[x] = None
+            elif id(x) not in seen:
+                seen.add(id(x))
+                stack += reversed(x.items)
+        return list(out)
+
+    def strength(self, text: str) -> float:
+        """Strength of the spans put together."""
+        old = [x for x in self.items if isinstance(x, _Value)]
+        new = {x for x in self.items if not isinstance(x, _Value)}
+        if len(old) == 1 and old[0].counts is not None and all(a >= old[0].end for a, _ in new):
+            counts = Counter(old[0].counts)      # a chain that grows by new literals is not read again
+        else:
+            counts, new = Counter(), self.spans()
+        for a, b in new:
+            counts.update(text[a:b])
+        self.counts = counts
+        if counts.total() > 16 and not all(map(str.isalpha, counts)):    # longer than any placeholder, no word
+            return _spread(counts)
+        return strength("".join(text[a:b] for a, b in self.spans()))
+
+    def tell(self, found: set[tuple[int, int]]) -> None:
+        """Add all spans to ``found``, each value once."""
+        stack = [self]
+        while stack:
+            x = stack.pop()
+            if not isinstance(x, _Value):
+                found.add(x)
+            elif not x.told:
+                x.told = True
+                stack += x.items
+
+
 def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     """(start, end) of literals that a sensitive name receives, directly or
-    through constants assigned before."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    through constants assigned before; of any number of parts."""
+    known: dict[str, _Value] = {}
+    found: set[tuple[int, int]] = set()
     at = 0
     while m := _TARGET.search(text, at):
         at = m.end()
@@ -81,26 +139,23 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
             if p["lit"] is not None:
                 parts.append((p.start("lit"), p.end("lit")))
             elif p["braced"] is not None:
-                parts += known.get(p["braced"], [])
+                parts.append(known.get(p["braced"]))
             else:
                 bare = p["bare"]
-                parts += known.get(bare.removeprefix("$"), [(p.start("bare"), p.end("bare"))])
+                parts.append(known.get(bare.removeprefix("$"), (p.start("bare"), p.end("bare"))))
             pos = p.end()
             j = _JOIN.match(text, pos)
             if not j:
                 break
             pos = j.end()
-        parts = [x for x in dict.fromkeys(parts) if x[1] > x[0]][:64]
-        if parts:
-            known[name] = parts
+        if parts:                        # an empty literal is a value too, of no spans
+            parts = [x for x in parts if isinstance(x, _Value) or x and x[1] > x[0]]
+            value = known[name] = parts[0] if len(parts) == 1 and isinstance(parts[0], _Value) else _Value(parts)
             weight = sensitivity(name)
-            if weight:
-                whole = "".join(text[a:b] for a, b in parts)
-                score = weight * strength(whole)
-                for span in parts:
-                    found[span] = max(found.get(span, 0.0), score)
+            if weight and not value.told and weight * value.strength(text) >= least:
+                value.tell(found)
             at = max(at, pos if text[m.end():m.end() + 1] in ("'", '"') else m.end())
-    return sorted(s for s, v in found.items() if v >= least)
+    return sorted(found)
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, str]]:

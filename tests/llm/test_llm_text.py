@@ -103,6 +103,20 @@ def test_lexed_literals(text, want):
     assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == want
 
 
+def test_literals_of_many_parts_and_long_names():
+    parts = [f"k{i}Zq9" for i in range(200)]
+    chain = "api_key = " + " + ".join(f'"{p}"' for p in parts)
+    added = 'k = ""\n' + "\n".join(f'k = k + "{p}"' for p in parts) + "\nsecret_key = k"
+    for text in (chain, added):
+        assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == parts
+        assert not any(p in secret_scan.redact(text) for p in parts)
+    name = "x" * 300
+    for text in (f'password_{name} = "s3cr3tV4lue99"', f'{name} = "s3cr3tV4lue99"\nauth = {name}', "--password: 's3cr3tV4lue99'"):
+        assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == ["s3cr3tV4lue99"]
+    grown = 'token = ""\n' + "".join(f'token = token + "{i}aZ"\n' for i in range(20_000)) + "a" * 500_000     # neither is quadratic
+    assert len(secret_scan.literal_spans(grown)) == 20_000
+
+
 def test_secret_scan_edges(spark):
     got = {r["doc_id"]: r for r in secret_scan.scan(docs(spark, True)).collect()}
     assert secret_scan.scan(docs(spark)).count() == len(DOCS)
