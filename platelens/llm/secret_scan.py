@@ -1,10 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration text is lexed into assignments of a name to an
-expression: quoted literals, bare values, references to names assigned before
-(also ``${name}`` and ``$name``) and ``+`` chains of these. Constants propagate
-through references, so a literal is scored by the most sensitive name it
-reaches. Pattern spans (assign, access, hex) are found beside and always kept.
+Source and configuration text is lexed into assignments of a name (also with a
+type annotation, an index or in brackets) to an expression: quoted literals,
+with a prefix, in triple quotes or back quotes too, bare values, references to
+names assigned anywhere in the text (also ``${name}`` and ``$name``), chains of
+these by ``+`` or side by side, over line ends where the syntax allows it, in
+parentheses, and as arguments of calls and ``or`` alternatives, each of which is
+scored by itself; keys of look-ups such as ``getenv`` are no literals. Constants
+propagate through references, so a literal is scored by the most sensitive name
+it reaches. Pattern spans (assign, access, hex) are found beside and always kept.
 Each text is handled whole, in the task that scans it.
 """
 
@@ -14,7 +18,8 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,11 +47,38 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "non
                 "undefined", "your_password", "your_token", "your_api_key", "xxxxxxxx", "todo", "test"}
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
-# names of any length: looked for only where a run of their characters begins
-_TARGET = re.compile(rf"""(?P<q>["']?)(?<![A-Za-z0-9_$.-])[0-9.-]*+(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
-_PART = re.compile(rf"""(?P<quote>["'])(?P<lit>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)
-                    |\$\{{(?P<braced>{_NAME})\}}|(?P<bare>[A-Za-z0-9+/_$.=@!%^*~-]+)""", re.VERBOSE)
-_JOIN = re.compile(r"[\x20\t]*\+[\x20\t]*")
+# a type's arguments, brackets nested to any use's depth
+_ARGS = r"[^\[\]<>()=\n]*+"
+for _ in range(6):
+    _ARGS = rf"(?:[^\[\]<>()=\n]|[\[<(]{_ARGS}[\]>)])*+"
+_TYPE1 = rf"[&*]?(?:'[a-z]\w*+\x20+)?(?:(?:mut|const|readonly)\x20+)?[A-Za-z_][\w.]*+(?:::\w++)*+(?:[\[<]{_ARGS}[\]>])*+[?!]?"
+_TYPE = rf"{_TYPE1}(?:\x20*+\|\x20*+{_TYPE1})*+"
+# names of any length: looked for only where a run of their characters begins;
+# name = value, name: value, name: type = value, name[3] = value, x["name"] = value, var name string = value
+_TARGET = re.compile(rf"""(?:(?P<go>\b(?:var|const)\x20+(?P<gname>{_NAME})\x20+(?:\[\])?(?:string|byte|rune)[\x20\t]*=)
+    |(?P<q>["']?)(?<![A-Za-z0-9_$.-])[0-9.-]*+(?P<name>{_NAME})(?P=q)(?:\]|\[\w*+\])?\??[\x20\t]*+
+    (?::[\x20\t]*+{_TYPE}(?:[\x20\t]++=(?![=>])|=(?=[\x20\t]*+[rbfuRBFUL]{{0,2}}["'`(]))|:=|=>|=(?!=)|:(?![:/=])))[\x20\t]*+""", re.VERBOSE)
+_QUOTED = re.compile(r"""(?:[rbfuRBFUL]{1,2}|u8|[@$])?(?:(?P<q3>\"""|\'\'\')(?P<lit3>(?:\\.|(?!(?P=q3))[^\\])*+)(?P=q3)
+    |`(?P<lit1>(?:\\.|[^\\`])*+)`
+    |(?P<quote>["'])(?P<lit>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote))""", re.VERBOSE | re.DOTALL)
+_BRACED = re.compile(rf"\$\{{(?P<braced>{_NAME})(?::[-=]?(?P<default>[^}}\n]*+))?\}}")
+_BARE = re.compile(r"[A-Za-z0-9+/_$.=@!%^*~-]+")
+_CALLEE = re.compile(r"(?:new\x20+)?[A-Za-z_$][\w$.]*+(?=\()")
+_KEYED = re.compile(r"""[A-Za-z_$][\w$.]*+(?:\[(?:"[^"\n]*+"|'[^'\n]*+'|\d++)\])++""")
+_ARGUMENT = re.compile(r"(?P<key>[A-Za-z_]\w*+)[\x20\t]*=(?!=)[\x20\t]*")
+# fixed values: named arguments that hold the value of a look-up that finds none
+_DEFAULTS = {"default", "default_value", "defaultValue", "fallback", "failobj"}
+# calls whose first argument names what they look up
+_LOOKUP = re.compile(r"(?:get|env|fetch|lookup|pop|setdefault|property|config|setting|param)[A-Za-z]*$", re.IGNORECASE)
+_REFERENCE = re.compile(rf"\$\{{({_NAME[:-2]}*+)\}}|\$([A-Za-z_]\w*+)")
+_PAREN = re.compile(r"""[()"'`]""")
+_SPACE = re.compile(r"[\x20\t]*+(?:\\\r?\n[\x20\t]*+)*+")
+_BLANK = re.compile(r"(?:[\x20\t\r\n]|\\\r?\n)*+")
+# white space and comments to the end of a line
+_LINES = re.compile(r"(?:[\x20\t\r\n]|\\\r?\n|//[^\n]*+|\#[^\n]*+)*+")
+_BLOCK = re.compile(r"[|>][-+0-9]*+[\x20\t]*+\r?\n[\x20\t]*+")
+_JOIN = re.compile(r"\+(?![+=])|\.\.?(?=[\x20\t\r\n]*[\"'$])")
+_OR = re.compile(r"\|\||\?\?|\?:|or\b")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -76,17 +108,26 @@ def _spread(counts: Counter[str]) -> float:
     return min(1.0, bits / 3.5) * min(1.0, n / 12)
 
 
+_NEW, _READ = -2, -1             # ends of values not known yet
+
+
 class _Value:
     """What a name holds: spans of literals and the values of other names, in
     order. Values are shared, not copied, so all of a text's take about its size."""
-    __slots__ = ("items", "end", "counts", "told")
+    __slots__ = ("items", "end", "counts", "told", "apart")
 
-    def __init__(self, items: list[tuple[int, int] | _Value]):
+    def __init__(self, items: list, apart: bool = False):
         self.items = items
-        self.end = max((x.end if isinstance(x, _Value) else x[1] for x in items), default=0)
+        self.apart = apart               # alternatives, not parts of one literal
+        self.end = _NEW                  # where the last span ends
         self.counts: Counter[str] | None = None
         self.told = False                # whether all its spans are among the found ones
 
+    def settle(self, last: int) -> None:
+        """Set the end; ``last`` if a later name's value is among the items."""
+        ends = (x[1] if not isinstance(x, _Value) else x.end if x.end >= 0 else last for x in self.items)
+        self.end = max(ends, default=0)
+
     def spans(self) -> list[tuple[int, int]]:
         """Every span once, by first place."""
         out, seen, stack = {}, set(), [self]
@@ -110,8 +151,12 @@ class _Value:
         for a, b in new:
             counts.update(text[a:b])
         self.counts = counts
-        if counts.total() > 16 and not all(map(str.isalpha, counts)):    # longer than any placeholder, no word
-            return _spread(counts)
+        if counts.total() > 16:          # longer than any placeholder
+            if all(map(str.islower, counts)) and all(map(str.isalpha, counts)):
+                return 0.0
+            if not all(map(str.isalpha, counts)) or (
+                    all(c.islower() or c.isupper() for c in counts) and sum(n for c, n in counts.items() if c.isupper()) > 1):
+                return _spread(counts)   # no word
         return strength("".join(text[a:b] for a, b in self.spans()))
 
     def tell(self, found: set[tuple[int, int]]) -> None:
@@ -126,35 +171,256 @@ class _Value:
                 stack += x.items
 
 
+class _Frame:
+    """An expression, or one in parentheses: alternatives, each a list of items."""
+    __slots__ = ("callee", "done", "items", "first", "opened")
+
+    def __init__(self, callee: tuple[int, int] | None = None, lookup: bool = False):
+        self.callee, self.first = callee, lookup
+        self.opened = callee[1] if callee else -1
+        self.done: list[list] = []
+        self.items: list = []
+
+    def cut(self) -> None:
+        """End an alternative or argument; the key of a lookup is no literal."""
+        if self.items and not self.first:
+            self.done.append(self.items)
+        self.items, self.first = [], False
+
+    def result(self) -> list:
+        last = [self.items] if self.items and not self.first else []
+        alts = self.done + last
+        return alts[0] if len(alts) == 1 else [_Value([_Value(x) for x in alts], True)] if alts else []
+
+
+def _closings(text: str) -> dict[int, int]:
+    """Where each parenthesis outside of literals is closed."""
+    out, opened = {}, []
+    pos = 0
+    while m := _PAREN.search(text, pos):
+        pos = m.end()
+        if m[0] == "(":
+            opened.append(m.start())
+        elif m[0] == ")":
+            if opened:
+                out[opened.pop()] = m.start()
+        elif q := _QUOTED.match(text, m.start()):
+            pos = q.end()
+    return out
+
+
+def _expression(text: str, pos: int, closing: Callable[[], dict[int, int]]) -> tuple[list, int, bool]:
+    """The items of the value at ``pos``: spans, references (name, span) and
+    values; where it ends; whether it is plain (no parentheses, calls or
+    literals that may hold lines of their own)."""
+    frames, plain = [_Frame()], True
+    start = pos
+    end = pos
+    if m := _BLOCK.match(text, pos):
+        pos = m.end()
+    else:
+        nxt = _BLANK.match(text, pos).end()
+        if "\n" in text[pos:nxt]:        # on the next line only what cannot be a pair of its own
+            if not (_QUOTED.match(text, nxt) or text[nxt:nxt + 1] == "(") or _TARGET.match(text, nxt):
+                return [], start, True
+            pos = nxt
+    while True:
+        top = frames[-1]
+        quoted = jumped = False
+        # an operand
+        if len(frames) > 1 and (m := _ARGUMENT.match(text, pos)) and top.callee:
+            if m["key"] not in _DEFAULTS:        # the argument is a target of its own
+                close = closing()
+                top.cut()
+                top.callee = None
+                if top.opened not in close:
+                    break
+                frames.pop()
+                frames[-1].items += top.result()
+                pos = end = close[top.opened] + 1
+                quoted = jumped = True
+            else:
+                pos, top.first = m.end(), False
+            top = frames[-1]
+        if jumped:
+            pass
+        elif m := _QUOTED.match(text, pos):
+            group = "lit" if m["quote"] else "lit3" if m["q3"] else "lit1"
+            a, b = m.span(group)
+            if group != "lit":
+                plain = False
+                a, b = a + len(m[group]) - len(m[group].lstrip()), b - len(m[group]) + len(m[group].rstrip())
+                b = max(a, b)
+            top.items.append((text[a:b], (a, b), True) if "$" in m[group] else (a, b))
+            pos, quoted = m.end(), True
+        elif text[pos:pos + 1] == "(":
+            frames.append(_Frame())
+            pos, plain = _LINES.match(text, pos + 1).end(), False
+            continue
+        elif m := _BRACED.match(text, pos):
+            default = [m.span("default")] if m["default"] else []
+            top.items.append((m["braced"], default[0] if default else None, False))
+            if default:
+                top.items[-1] = _Value([_Value([top.items[-1]]), _Value(default)], True)
+            pos = m.end()
+        elif m := _CALLEE.match(text, pos):
+            frames.append(_Frame(m.span(), bool(_LOOKUP.search(m[0]))))
+            pos, plain = _LINES.match(text, m.end() + 1).end(), False
+            continue
+        elif m := _KEYED.match(text, pos):
+            pos, plain = m.end(), False
+        elif m := _BARE.match(text, pos):
+            a, b = m.span()
+            if text[b - 1] == "+" and b - a > 1 and _QUOTED.match(text, _LINES.match(text, b).end()):
+                b -= 1                   # name+"literal"
+            top.items.append((text[a:b], (a, b), False))
+            pos = b
+        elif not (text[pos:pos + 1] == ")" and len(frames) > 1):
+            break
+        end = pos
+        # what follows it
+        while True:
+            top = frames[-1]
+            inside = len(frames) > 1
+            near = (_LINES if inside else _SPACE).match(text, pos).end()
+            if inside and text[near:near + 1] == ")":
+                frames.pop()
+                frames[-1].items += top.result()
+                pos = end = near + 1
+                quoted = True
+                continue
+            break
+        if inside and text[near:near + 1] == ",":
+            top.cut()
+            pos = _LINES.match(text, near + 1).end()
+            continue
+        if m := _OR.match(text, near):
+            pos, plain = _LINES.match(text, m.end()).end(), False
+            if _QUOTED.match(text, pos):         # a word before it is a name, known or not
+                top.items = [(x[0], None, False) if isinstance(x, tuple) and len(x) == 3 and not x[2] else x
+                             for x in top.items]
+            top.cut()
+            continue
+        if quoted and _QUOTED.match(text, near):
+            pos = near                   # literals side by side
+            continue
+        far = (_LINES if inside else _BLANK).match(text, pos).end()
+        m = _JOIN.match(text, far)
+        if not m:
+            break
+        pos = _LINES.match(text, m.end()).end()
+        if not inside and "\n" in text[near:far] and (
+                not quoted and not _QUOTED.match(text, pos) or _TARGET.match(text, pos)):
+            break                        # a line of its own that begins with +
+    while len(frames) > 1:               # parentheses left open
+        top = frames.pop()
+        frames[-1].items += [top.callee] * (top.callee is not None) + top.result()
+    return frames[0].result(), end, plain
+
+
+def _named_values(name: str, names: dict[str, _Value]) -> list | None:
+    """The values that a bare word refers to; a+b may be two."""
+    if (got := names.get(name) or names.get(name.removeprefix("$"))) is not None:
+        return [got]
+    if "+" in name:
+        pieces = name.split("+")
+        if any(p in names for p in pieces) and all(pieces):
+            return [names.get(p, p) for p in pieces]
+    return None
+
+
+def _referred(item: tuple, names: dict[str, _Value], own: _Value | None = None) -> list | None:
+    """What a reference (name, span, quoted) stands for, None if nothing known."""
+    word, span, quoted = item
+    if not quoted:
+        got = _named_values(word, names)
+        if got is None or own is not None and any(x is own for x in got):
+            return None
+        at, out = span[0] if span else 0, []
+        for piece, x in zip(word.split("+") if len(got) > 1 else [word], got):
+            out.append(x if isinstance(x, _Value) else (at, at + len(piece)))
+            at += len(piece) + 1
+        return out
+    refs = [names.get(a or b) for a, b in _REFERENCE.findall(word)]
+    refs = [x for x in refs if x is not None and x is not own]
+    if not refs:
+        return None
+    return refs if not _REFERENCE.sub("", word) else [span, *refs]
+
+
 def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     """(start, end) of literals that a sensitive name receives, directly or
-    through constants assigned before; of any number of parts."""
+    through constants; of any number of parts. A name refers to its latest
+    assignment before, or else to its first one after."""
     known: dict[str, _Value] = {}
-    found: set[tuple[int, int]] = set()
+    firsts: dict[str, _Value] = {}
+    sensitive: list[tuple[float, _Value]] = []
+    pending: list[_Value] = []
+    order: list[_Value] = []
+    closing = cache(lambda: _closings(text))
     at = 0
     while m := _TARGET.search(text, at):
-        at = m.end()
-        name, parts, pos = m["name"], [], m.end()
-        while p := _PART.match(text, pos):
-            if p["lit"] is not None:
-                parts.append((p.start("lit"), p.end("lit")))
-            elif p["braced"] is not None:
-                parts.append(known.get(p["braced"]))
+        name = m["name"] or m["gname"]
+        items, end, plain = _expression(text, m.end(), closing)
+        whole = _QUOTED.match(text, m.end()) or _BRACED.match(text, m.end())
+        at = max(m.end(), end) if plain and whole else m.end() + (3 if text[m.end():m.end() + 3] in ('"""', "'''") else 0)
+        if not items:
+            continue
+        value = _Value(items)
+        value.end = _READ
+        todo, early = [value], []        # resolve by what is known so far
+        while todo:
+            v = todo.pop()
+            out = []
+            for x in v.items:
+                if isinstance(x, _Value):
+                    if x.end == _NEW:
+                        x.end = _READ
+                        todo.append(x)
+                    out.append(x)
+                elif len(x) == 2:
+                    out += [x] * (x[1] > x[0])
+                elif (got := _referred(x, known)) is not None:
+                    out += got
+                else:
+                    out.append(x)
+            v.items = out
+            early.append(v)
+            if any(isinstance(x, tuple) and len(x) == 3 for x in out):
+                pending.append(v)
+        order += reversed(early)
+        if len(value.items) == 1 and isinstance(value.items[0], _Value):
+            value = value.items[0]
+        known[name] = value
+        firsts.setdefault(name, value)
+        weight = sensitivity(name)
+        if weight:
+            sensitive.append((weight, value))
+    for v in pending:
+        out = []
+        for x in v.items:
+            if isinstance(x, tuple) and len(x) == 3:
+                got = _referred(x, firsts, v)
+                out += got if got is not None else [x[1]] * (x[1] is not None and x[1][1] > x[1][0])
             else:
-                bare = p["bare"]
-                parts.append(known.get(bare.removeprefix("$"), (p.start("bare"), p.end("bare"))))
-            pos = p.end()
-            j = _JOIN.match(text, pos)
-            if not j:
-                break
-            pos = j.end()
-        if parts:                        # an empty literal is a value too, of no spans
-            parts = [x for x in parts if isinstance(x, _Value) or x and x[1] > x[0]]
-            value = known[name] = parts[0] if len(parts) == 1 and isinstance(parts[0], _Value) else _Value(parts)
-            weight = sensitivity(name)
-            if weight and not value.told and weight * value.strength(text) >= least:
-                value.tell(found)
-            at = max(at, pos if text[m.end():m.end() + 1] in ("'", '"') else m.end())
+                out.append(x)
+        v.items = out
+    for v in order:
+        v.settle(len(text) + 1)
+    found: set[tuple[int, int]] = set()
+    for weight, value in sensitive:
+        stack, seen = [value], set()
+        while stack:
+            v = stack.pop()
+            if v.told or id(v) in seen:
+                continue
+            seen.add(id(v))
+            if v.apart:                  # each alternative by itself
+                stack += v.items
+            elif len(v.items) == 1 and isinstance(v.items[0], _Value):
+                stack.append(v.items[0])
+            elif weight * v.strength(text) >= least:
+                v.tell(found)
     return sorted(found)
 
 

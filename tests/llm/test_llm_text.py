@@ -103,6 +103,39 @@ def test_lexed_literals(text, want):
     assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == want
 
 
+V = "s3cr3tV4lue99"
+
+
+@pytest.mark.parametrize("text,want", [
+    (f'api_key: str = "{V}"', [V]), (f'const token: string = "{V}";', [V]), (f"api_key: Optional[Dict[str, str]] = '{V}'", [V]),
+    (f'let token: string | undefined = "{V}"', [V]), (f'api_key:str="{V}"', [V]), (f'token?: string = "{V}"', [V]),
+    (f'let secret: &\'static str = "{V}"', [V]), (f'var dbPassword string = "{V}"', [V]), (f'char pwd[] = "{V}";', [V]),
+    (f'conf["db_password"] = "{V}"', [V]), ("pwd: Zx81aaQ3kP9=", ["Zx81aaQ3kP9="]), (f"pwd: {V}", [V]),
+    ('secret = "s3cr3t" +\n    "V4lue99!"', ["s3cr3t", "V4lue99!"]), ('secret = "s3cr3t"\n    + "V4lue99!"', ["s3cr3t", "V4lue99!"]),
+    ('secret = "s3cr3t" \\\n "V4lue99!"', ["s3cr3t", "V4lue99!"]), ('a = "s3cr3t"\npwd = a+"V4lue99!"', ["s3cr3t", "V4lue99!"]),
+    (f'+pwd = "{V}"\n+name = "Zm9vYmFyMTIz"', [V]), (f'pwd: "{V}"\n+ Zm9vYmFyMTIz = 3', [V]),
+    ('secret = (\n  "s3cr3t"  # one\n  "V4lue99!"\n)', ["s3cr3t", "V4lue99!"]), (f'secret = (("{V}"))', [V]),
+    (f'secret =\n  "{V}"', [V]), (f'secret:\n  "name": "{V}"', []), (f"pwd: |\n  {V}\n", [V]),
+    (f'secret = """{V}"""', [V]), (f"secret = '''\n{V}\n'''", [V]), (f"secret = `{V}`", [V]), (f'secret = b"{V}"', [V]),
+    (f'text = """\npwd = "{V}"\n"""', [V]),
+    (f'pwd = os.getenv("DB_PASSWORD_1", "{V}")', [V]), (f'pwd = os.environ.get("DB_PASSWORD_1", default="{V}")', [V]),
+    ('pwd = os.environ["DB_PASSWORD_1"]', []), ('pwd = os.getenv("DB_PASSWORD_1")', []),
+    (f'pwd = process.env.DB or "{V}"', [V]), (f'pwd = new Secret("{V}")', [V]), (f"pwd=${{DB_PASSWORD:-{V}}}", [V]),
+    (f'pwd = K\nK = "{V}"', [V]), (f'pwd = a + b\na = "s3cr3t"\nb = "V4lue99!"', ["s3cr3t", "V4lue99!"]),
+    (f'k = "{V}"\npwd = "${{k}}"', [V]), ("a = b\nb = a\npwd = a", []), (f'a = a or "{V}"\npwd = a', [V]),
+    (f'pwd = ("{V}"', [V]), ("pwd = f(((", []),
+])
+def test_lexed_source_syntax(text, want):
+    assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == want
+    assert not any(w in secret_scan.redact(text) for w in want)
+
+
+@pytest.mark.parametrize("unit", ["# a = b\n", "a: b<", "a = (", "x = `", 'x = """', "a: b[", "k = k + k\n", "a =\n", "x = f(1, ", "a | b: ",
+                                  "token = a\n", "token = token + a\n", "token = '", "+x", "a:b ", "${a", "\\\n", "x=(a,"])
+def test_lexing_is_not_quadratic(unit):
+    secret_scan.literal_spans("t = " + unit * (100_000 // len(unit)))
+
+
 def test_literals_of_many_parts_and_long_names():
     parts = [f"k{i}Zq9" for i in range(200)]
     chain = "api_key = " + " + ".join(f'"{p}"' for p in parts)
