@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
 The markup is split into blocks of text. The first pass classifies each block by
-itself: by the region it stands in, its link density, stop-word density and
-length. The second pass gives the short and undecided blocks the label of their
-nearest decided neighbours. Pages are handled whole, in the task that scans
+itself: by its link density, stop-word density and length, inside an article
+element as well as outside. The second pass gives the short and undecided blocks
+the label of their nearest decided neighbours; an article element is context for
+it: its borders count as good text, and furniture in it as nothing. Pages are handled whole, in the task that scans
 them; no shuffle.
 """
 
@@ -92,25 +93,27 @@ def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
 class _Block:
     __slots__ = ("pieces", "linked", "furniture", "article", "breaks")
 
-    def __init__(self, furniture: bool, article: bool):
+    def __init__(self, furniture: bool, article: int):
         self.pieces: list[str] = []
         self.linked = 0
         self.furniture, self.article, self.breaks = furniture, article, 0
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, furniture, in article) of every block with text."""
-    out: list[tuple[str, float, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, float, bool, int]]:
+    """(text, link density, furniture, number of the outermost article element or
+    0) of every block with text."""
+    out: list[tuple[str, float, bool, int]] = []
     stack: list[tuple[str, bool]] = []       # open elements; whether each begins furniture
     state = {"furniture": 0, "article": 0, "a": 0}
-    cur = _Block(False, False)
+    articles = 0
+    cur = _Block(False, 0)
 
     def close_block() -> None:
         nonlocal cur
         text = " ".join("".join(cur.pieces).split())
         if text:
             out.append((text, min(1.0, cur.linked / len(text)), cur.furniture, cur.article))
-        cur = _Block(state["furniture"] > 0, state["article"] > 0)
+        cur = _Block(state["furniture"] > 0, articles if state["article"] else 0)
 
     def pop(n: int) -> None:
         for tag, skip in stack[n:]:
@@ -173,6 +176,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         skip = _is_furniture(tag, m["attrs"] or "", state["article"] > 0)
         stack.append((tag, skip))
         state["furniture"] += skip
+        articles += tag in _ARTICLE and not state["article"]
         state["article"] += tag in _ARTICLE
         state["a"] += tag == "a"
         if skip or tag in _BLOCKS:
@@ -181,33 +185,33 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
-def _first_pass(text: str, links: float, furniture: bool, article: bool) -> str:
-    """good, bad, or a block still to be decided: near (rather good) or short."""
-    if furniture or links > (0.8 if article else MAX_LINK_DENSITY):
+def _first_pass(text: str, links: float, article: bool) -> str:
+    """good, bad, or a block still to be decided: near (rather good), low (too few
+    stop words) or short."""
+    if links > (0.8 if article else MAX_LINK_DENSITY):
         return "bad"
-    if article:                      # inside the article's own element only links make a block bad
-        return "good"
     if len(text) < SHORT:
-        return "bad" if links else "short"
+        return "bad" if links and not article else "short"
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'*#$%&|") in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stops >= STOPS_LOW else "bad"
+        return "good" if len(text) > LONG and links <= MAX_LINK_DENSITY else "near"
+    return "near" if stops >= STOPS_LOW and links <= MAX_LINK_DENSITY else "low"
 
 
-def _second_pass(labels: list[str]) -> list[bool]:
+def _second_pass(labels: list[str], border: str = "bad") -> list[bool]:
     """Short blocks take the label of the nearest decided neighbours: if both
-    sides agree that one, else that of the nearer, a tie being bad unless a near
-    block stands between; near blocks are good unless both sides are bad."""
+    sides agree that one, else that of the nearer, a tie being as beyond the
+    border unless a near block stands between; near blocks are good unless both
+    sides are bad."""
     n = len(labels)
-    before, after = [(-1, "bad")] * n, [(n, "bad")] * n
-    last = (-1, "bad")
+    before, after = [(-1, border)] * n, [(n, border)] * n
+    last = (-1, border)
     for i, x in enumerate(labels):
         before[i] = last
         if x in ("good", "bad"):
             last = (i, x)
-    nxt = (n, "bad")
+    nxt = (n, border)
     for i in range(n - 1, -1, -1):
         after[i] = nxt
         if labels[i] in ("good", "bad"):
@@ -222,24 +226,32 @@ def _second_pass(labels: list[str]) -> list[bool]:
         elif x == "near":
             out.append(True)
         else:
-            out.append((left if i - a < b - i else right if b - i < i - a else "bad") == "good")
+            out.append((left if i - a < b - i else right if b - i < i - a else border) == "good")
     return out
 
 
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by one line feed; null or no text: ''.
 
-    If no block is inside an article or main element, the rules decide alone.
+    The blocks of each article or main element are decided first, among
+    themselves: few stop words alone make none of them bad (titles, code, terse
+    prose, other languages), but those that are also full of links are, and the
+    others depend on their neighbours. The blocks outside then see these as
+    neighbours.
     """
     if not page:
         return ""
     found = blocks(page)
-    has_article = any(a and not f for _, _, f, a in found)
-    labels = []
-    for text, links, furniture, article in found:
-        label = _first_pass(text, links, furniture, article)
-        # beside an article element, what is outside must be long prose to count
-        labels.append("bad" if has_article and not article and label != "good" else label)
+    labels = ["bad" if furniture else _first_pass(text, links, article > 0) for text, links, furniture, article in found]
+    inside: dict[int, list[int]] = {}
+    for i, (_, _, furniture, article) in enumerate(found):
+        if article and not furniture:
+            inside.setdefault(article, []).append(i)
+    for rows in inside.values():
+        own = [labels[i] if labels[i] != "low" else "bad" if found[i][1] > MAX_LINK_DENSITY else "short" for i in rows]
+        for i, good in zip(rows, _second_pass(own, "good")):
+            labels[i] = "good" if good else "bad"
+    labels = ["bad" if x == "low" else x for x in labels]
     return "\n".join(b[0] for b, good in zip(found, _second_pass(labels)) if good)
 
 

@@ -78,6 +78,25 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LINKED = "<p><a href=/1>Cheap flights hotels cars insurance tickets offers deals bargains</a> book {} save</p>"
+
+
+@pytest.mark.parametrize("page,want", [
+    # inside an article: links and stop words make blocks bad, those between bad ones follow them
+    (f"<article><p>{ARTICLE}</p>{LINKED.format('now')}<p>Buy one</p>{LINKED.format('today')}<p>{ARTICLE}</p></article>",
+     f"{ARTICLE}\n{ARTICLE}"),
+    # few stop words alone do not
+    (f"<article><h1>Mills, rivers, towns: seven hundred years since founding, Northern hills</h1><p>{ARTICLE}</p></article>",
+     f"Mills, rivers, towns: seven hundred years since founding, Northern hills\n{ARTICLE}"),
+    # outside: undecided blocks inherit from the neighbours
+    (f"<body><nav>Home</nav><div><p>By Ann</p><p>In May</p></div><article><p>{ARTICLE}</p></article></body>", f"In May\n{ARTICLE}"),
+    (f"<article><p>{ARTICLE}</p></article><p>The last of them is now a museum for the history of the town.</p><p>{ARTICLE}</p>",
+     f"{ARTICLE}\nThe last of them is now a museum for the history of the town.\n{ARTICLE}"),
+])
+def test_article_is_context(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_extract_edges(spark):
     data = [(1, "u", "<article>a</article>"), (1, "u", "<article>a</article>"), (None, None, None), (2, "v", "x" * 300_000)]
     df = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "'k' text", "1 n_chars", "2 _id")
