@@ -62,6 +62,8 @@ _OPAQUE_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/>]|\Z)""",
                    re.IGNORECASE)
 _WORDS = re.compile(r"[a-z0-9]+")
+# what a class like has-sidebar or no-comments names is elsewhere or missing
+_ABOUT = re.compile(r"(?<![a-z0-9])(?:has|no|with)[-_]\S*+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -70,53 +72,66 @@ SHORT, LONG = 70, 200            # characters
 STOPS_LOW, STOPS_HIGH = 0.20, 0.30
 
 
-def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def _is_furniture(tag: str, attrs: str, in_article: bool) -> str:
+    """"yes" (by element, or hidden), "named" (by a word of class, id or role) or ""."""
     if tag in _FURNITURE or (tag == "header" and not in_article):
-        return True
+        return "yes"
     if tag in _ARTICLE or tag in ("body", "html") or len(attrs) < 4:
-        return False
+        return ""
+    named = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "yes"
         if name == "style":
             if _HIDDEN.search(value.lower()):
-                return True
+                return "yes"
             continue
         if name in ("class", "id", "role"):
-            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
+            words = set(_WORDS.findall(_ABOUT.sub("", _CAMEL.sub("-", value).lower())))
             if words & _FURNITURE_WORDS or (not in_article and words & _FURNITURE_OUTSIDE_ARTICLE):
-                return True
-    return False
+                named = "named"
+    return named
 
 
 class _Block:
-    __slots__ = ("pieces", "linked", "furniture", "article", "breaks")
+    __slots__ = ("pieces", "linked", "furniture", "article", "named", "breaks")
 
-    def __init__(self, furniture: bool, article: int):
+    def __init__(self, furniture: bool, article: int, named: int):
         self.pieces: list[str] = []
         self.linked = 0
-        self.furniture, self.article, self.breaks = furniture, article, 0
+        self.furniture, self.article, self.named, self.breaks = furniture, article, named, 0
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     """(text, link density, furniture, number of the outermost article element or
-    0) of every block with text."""
+    0) of every block with text.
+
+    An element with a furniture word in its class, id or role is furniture unless
+    it holds an article element with no less good text than the page's article
+    elements outside of such elements have or, on a page without article
+    elements, several blocks that make most of the page's good text.
+    """
     out: list[tuple[str, float, bool, int]] = []
-    stack: list[tuple[str, bool]] = []       # open elements; whether each begins furniture
-    state = {"furniture": 0, "article": 0, "a": 0}
+    within: list[int] = []                   # of each block, the innermost named element
+    outer, holds = [-1], [False]             # of each named element, the one around it; whether it has an article
+    stack: list[tuple[str, bool, int]] = []  # open elements; whether each begins furniture; the named one around
+    state = {"furniture": 0, "article": 0, "a": 0, "named": 0}
     articles = 0
-    cur = _Block(False, 0)
+    cur = _Block(False, 0, 0)
 
     def close_block() -> None:
         nonlocal cur
         text = " ".join("".join(cur.pieces).split())
         if text:
             out.append((text, min(1.0, cur.linked / len(text)), cur.furniture, cur.article))
-        cur = _Block(state["furniture"] > 0, articles if state["article"] else 0)
+            within.append(cur.named)
+        cur = _Block(state["furniture"] > 0, articles if state["article"] else 0, state["named"])
 
     def pop(n: int) -> None:
-        for tag, skip in stack[n:]:
+        if len(stack) > n:
+            state["named"] = stack[n][2]
+        for tag, skip, _ in stack[n:]:
             state["furniture"] -= skip
             state["article"] -= tag in _ARTICLE
             state["a"] -= tag == "a"
@@ -144,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
         tag = m["tag"].lower()
         if m["end"]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            changes = tag in _BLOCKS or (at is not None and any(s for _, s in stack[at:]))
+            changes = tag in _BLOCKS or (at is not None and (any(s for _, s, _ in stack[at:]) or stack[at][2] != state["named"]))
             if at is not None:
                 pop(at)
             if changes:
@@ -173,16 +188,44 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             if tag in _BLOCKS:
                 close_block()
             continue
-        skip = _is_furniture(tag, m["attrs"] or "", state["article"] > 0)
-        stack.append((tag, skip))
+        kind = _is_furniture(tag, m["attrs"] or "", state["article"] > 0)
+        skip = kind == "yes"
+        stack.append((tag, skip, state["named"]))
+        if kind == "named":
+            outer.append(state["named"])
+            holds.append(False)
+            state["named"] = len(outer) - 1
+        elif tag in _ARTICLE and not state["furniture"]:
+            at = state["named"]
+            while at > 0 and not holds[at]:
+                holds[at] = True
+                at = outer[at]
         state["furniture"] += skip
         articles += tag in _ARTICLE and not state["article"]
         state["article"] += tag in _ARTICLE
         state["a"] += tag == "a"
-        if skip or tag in _BLOCKS:
+        if kind or tag in _BLOCKS:
             close_block()
     close_block()
-    return out
+    if len(outer) == 1:
+        return out
+    size, many = [0] * len(outer), [0] * len(outer)
+    plain = not any(article and not furniture for _, _, furniture, article in out)
+    weigh = plain or any(holds)
+    clean = 0
+    for (text, links, furniture, article), at in zip(out, within):
+        if weigh and not furniture and _first_pass(text, links, False) == "good":
+            size[at] += len(text)
+            many[at] += 1
+            clean += len(text) if article and not at else 0
+    for at in range(len(outer) - 1, 0, -1):
+        size[outer[at]] += size[at]
+        many[outer[at]] += many[at]
+    bad = [False]
+    for at in range(1, len(outer)):
+        main = size[at] >= clean if holds[at] else plain and many[at] > 1 and 2 * size[at] > size[0]
+        bad.append(bad[outer[at]] or not main)
+    return [(text, links, furniture or bad[at], article) for (text, links, furniture, article), at in zip(out, within)]
 
 
 def _first_pass(text: str, links: float, article: bool) -> str:

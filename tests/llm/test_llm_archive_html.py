@@ -97,6 +97,22 @@ def test_article_is_context(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("attrs", ['class="layout has-sidebar"', 'class="no-sidebar"', 'id="search-result-page"',
+                                   'class="single comments-open"', 'class=hasSidebar', 'class="x with_comments-below"'])
+def test_wrappers_are_not_furniture(attrs):
+    side = "<div class=sidebar><p>The list of the mills on the river</p></div>"
+    bare = f"<p>{ARTICLE}</p><p>Short.</p><p>{ARTICLE}</p>"
+    want = f"{ARTICLE}\nShort.\n{ARTICLE}"
+    assert html_text.main_text(f"<body><div {attrs}>{side}<article>{bare}</article>{side}</div></body>") == want
+    assert html_text.main_text(f"<body><div {attrs}>{side}<main><div {attrs}>{side}</div>{bare}</main></div>").endswith(want)
+    assert html_text.main_text(f"<body><div {attrs}>{bare}{side}</div><div>{side}</div></body>") == want
+    # furniture that is neither: beside an article, or a small part
+    assert html_text.main_text(f"<article>{bare}</article><div class=comments><p>{ARTICLE}</p><p>{ARTICLE}</p></div>") == want
+    assert html_text.main_text(f"<main><article>{bare}</article><div class=comments><article><p>{ARTICLE}</p></article></div></main>") == want
+    assert html_text.main_text(f"<main><div {attrs}><article>{bare}</article></div></main>") == want
+    assert html_text.main_text(f"<div>{bare}</div><div class=comments><p>{ARTICLE}</p></div>") == want
+
+
 def test_extract_edges(spark):
     data = [(1, "u", "<article>a</article>"), (1, "u", "<article>a</article>"), (None, None, None), (2, "v", "x" * 300_000)]
     df = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "'k' text", "1 n_chars", "2 _id")
