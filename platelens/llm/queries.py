@@ -15,11 +15,11 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, read the archive back."""
+    """Archive all pages, rebuild every record from the archive and measure it."""
     path = scratch(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     warc.write_archive(pages, path)
-    return warc.read_archive(spark, path, dict(pages.dtypes)["page_id"]).select(
+    return warc.rebuilt(warc.read_archive(spark, path, dict(pages.dtypes)["page_id"])).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -26,6 +26,26 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), *_BASE32)
 
 
+def block_of(record: Column) -> Column:
+    """The block of a whole record: what stands between the first blank line and
+    the two line ends (one byte a character in ISO-8859-1, so places are bytes)."""
+    start = F.instr(F.decode(record, "ISO-8859-1"), "\r\n\r\n") + 4
+    return F.substring(record, start, F.octet_length(record) - start - 3)
+
+
+def rebuilt(records: DataFrame) -> DataFrame:
+    """``records`` of an archive with lengths and digests measured on the whole
+    records: on a response's own block, on the payload a revisit's digest names.
+    A record that differs from its stored payload is an error."""
+    response = F.col("record_type") == "response"
+    body = F.when(response, block_of(F.col("record"))).when(F.octet_length(block_of(F.col("record"))) == 0, F.col("payload"))
+    return (records.withColumn("_body", body).withColumn("_sha1", base32_sha1(F.col("_body")))
+            .withColumn("payload_bytes", F.octet_length("_body").cast("long"))
+            .withColumn("payload_digest", F.when(F.col("_sha1") == F.col("payload_digest"), F.col("_sha1")).otherwise(
+                F.raise_error(F.lit("archive record does not hold its payload"))))
+            .drop("_body", "_sha1"))
+
+
 def _urn(id_: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">"))
 

@@ -56,6 +56,17 @@ def test_damaged_payload_is_an_error(spark):
         warc.read_archive(spark, path).select("payload_digest").collect()
 
 
+def test_query_measures_rebuilt_records(spark):
+    _, path = _archive(spark, [(1, "ü\r\n", "abc\r\n\r\nd"), (2, "v", "abc\r\n\r\nd"), (3, None, None), (4, "w", "é")])
+    read = warc.read_archive(spark, path)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = warc.rebuilt(read)
+    assert rows(got.select(cols)) == rows(read.select(cols))
+    assert "payload" in got.select(cols)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    with pytest.raises(Exception, match="does not hold its payload"):
+        warc.rebuilt(read.selectExpr("* except (record)", "encode(concat(decode(record, 'UTF-8'), 'x'), 'UTF-8') record")).collect()
+
+
 ARTICLE = ("The river rises in the hills to the north of the town and it flows for most of the year, which is why the mills "
            "that were built on its banks had water in all seasons but the driest. The last of them was closed in 1950.")
 
