@@ -241,6 +241,18 @@ class Pieces:
         get = known.__getitem__
         return [np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in split]
 
+    def lengths(self, texts: list[str | None], known: dict[str, int]) -> list[int]:
+        """Number of ids of each text; ``known`` is a cache of words' numbers that
+        the call fills."""
+        split = [self.words.findall(self.normal(t)) if t else [] for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(known)
+        if len(known) + len(fresh) > CACHE:       # go on with the words of these texts
+            kept = {w: known[w] for w in set(chain.from_iterable(split)).difference(fresh)}
+            known.clear()
+            known.update(kept)
+        known.update((w, len(x)) for w, x in self.encode_words(list(fresh)).items())
+        return [sum(map(known.__getitem__, ws)) for ws in split]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, without the space that
         encoding puts in front; bytes that are not UTF-8 become U+FFFD."""
@@ -255,6 +267,12 @@ def loaded(model_path: str) -> tuple[Pieces, dict[str, tuple[int, ...]]]:
         return Pieces(f.read()), {}
 
 
+@lru_cache(maxsize=1)
+def known_lengths(model_path: str) -> dict[str, int]:
+    """A worker's cache of words' numbers of ids, kept from task to task."""
+    return {}
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches joined to about _SPAN bytes: the more words are sorted together, the
     more prefixes they share."""
@@ -298,6 +316,21 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             .withColumnRenamed("_id", id_col))
 
 
+def counted(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_tokens as in ``encode``, without the ids."""
+    bounded_batches(docs.sparkSession)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = loaded(model_path)[0], known_lengths(model_path)
+        for b in gathered(batches):
+            n = model.lengths(b.column(1).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["_id", "n_tokens"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return (docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+            .mapInArrow(of, f"_id {kind}, n_tokens long").withColumnRenamed("_id", id_col))
+
+
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ids as one more column; null ids give null,
     no ids the empty text."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (exact_dedup, html_text, packing, pieces, quality, repetition, secret_scan, simhash, toxicity, warc)
 from .common import scratch, table
@@ -42,7 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.counted(table(spark, sf_dir, "documents"), PIECE_MODEL), F.col("n_tokens"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

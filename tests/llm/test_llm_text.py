@@ -12,8 +12,11 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from conftest import SF001
 from llm_cases import DOCS, docs, no_docs, rows
-from platelens.llm import packing, pieces, repetition, secret_scan
+from platelens.llm import packing, pieces, queries, repetition, secret_scan
 from platelens.llm.queries import PIECE_MODEL
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,6 +184,23 @@ def test_bucket_bounds_are_optimal(hist, k):
     assert cost == _least_padding(lengths.tolist(), counts.tolist(), k)
 
 
+def _packed_whole(got):
+    return {(r["doc_id"], r["n"]) for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+
+
+def test_packing_by_tokens(spark):
+    data = [(1, "水" * 5000), (2, "The rivers."), (3, None), (4, "x9" * 3000)]      # one word each, many tokens
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    want = {(r["doc_id"], r["n_tokens"]) for r in pieces.encode(d, PIECE_MODEL).collect()}
+    counts = pieces.counted(d, PIECE_MODEL)
+    assert {tuple(r) for r in counts.collect()} == want
+    got = packing.pack(counts, F.col("n_tokens"))
+    assert _packed_whole(got) == want and got.where("doc_id = 1").count() > 1 and got.where("n_tokens > 2048").count() == 0
+    assert pieces.counted(d.limit(0), PIECE_MODEL).collect() == []
+    tokens = {(r["doc_id"], r["n_tokens"]) for r in queries.op9_sentencepiece(spark, SF001).collect()}
+    assert _packed_whole(queries.op6_packing(spark, SF001)) == tokens
+
+
 @pytest.mark.parametrize("shard_rows", [50_000, 2])
 def test_packing_keeps_every_token_within_the_budget(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(packing, "SHARD_ROWS", shard_rows)
