@@ -31,7 +31,8 @@ from .sources.csv_io import read_csv_text, read_lookup_csv
 
 
 def run(spark: SparkSession, menu: str, dictionary: str, out: str, lexicon: str | None = None,
-        restaurants: list[str] | None = None, k: int = 3, method: str = "lloyd", multiline: bool = False) -> dict[str, str]:
+        restaurants: list[str] | None = None, k: int = 3, method: str = "lloyd",
+        multiline: bool | str = False) -> dict[str, str]:
     """Run every step; returns {output name: path}."""
     restaurants = restaurants if restaurants is not None else DEFAULT_RESTAURANTS
     paths = {}
@@ -76,7 +77,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--restaurants", help="comma-separated list for the restaurant reports")
     ap.add_argument("--k", type=int, default=3)
     ap.add_argument("--method", choices=["mllib", "lloyd"], default="lloyd")
-    ap.add_argument("--multiline", action="store_true", help="the menu CSV has quoted line breaks")
+    ap.add_argument("--multiline", action="store_const", const="split", default=False,
+                    help="the menu CSV has quoted line breaks")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session(a.master)

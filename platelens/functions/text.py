@@ -65,12 +65,17 @@ def split_words(c) -> Column:
 
 def number_text(c) -> Column:
     """Render a double as text: whole values without a fraction (1210.0 ->
-    '1210'), others in plain decimals (900.1 -> '900.1', 0.0005 -> '0.0005'),
-    without an exponent up to 18 decimals."""
+    '1210', 1e20 -> '100000000000000000000'), others in plain decimals (900.1 ->
+    '900.1', 0.0005 -> '0.0005'), without an exponent up to 18 decimals. NaN and
+    infinities keep their names."""
     x = _c(c)
     text = x.cast("string")
-    plain = F.rtrim(x.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    plain = F.rtrim(F.rtrim(x.try_cast("decimal(38,18)").cast("string"), F.lit("0")), F.lit("."))
+    # from 9e18 on every double is whole; a decimal has the digits that its text has
+    whole = F.coalesce(x.try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", x))
     return (F.when((x == F.floor(x)) & (F.abs(x) < 9e18), x.cast("bigint").cast("string"))
+            .when(finite & (F.abs(x) >= 9e18), whole)
             .when(text.contains("E") & (F.abs(x) >= 1e-18), F.coalesce(plain, text))
             .otherwise(text))
 

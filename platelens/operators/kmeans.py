@@ -1,16 +1,21 @@
 """k-means clustering of menu items and naming of the clusters.
 
-Lloyd iterations until the centroids stand still. The start is drawn from the
-data alone, so the result depends neither on partitions nor on cores:
+Lloyd iterations, stopped as the usual library does: when the squared moves of
+all centroids together are at most ``tol`` times the mean variance of the
+features (so at once when no row changes its cluster), or after ``max_iter``
+steps; the result tells which. The start is drawn from the data alone, so the
+result depends neither on partitions nor on cores:
 
 * ``first``: the k rows with the smallest ids;
 * ``hash`` (default): the k rows with the smallest md5 of ``seed:id``.
 
 The id and features are written once as a narrow table; each step is one
 aggregate over it (cluster -> feature means) that returns k rows. The centroids
-are literals of the step; passing them as the value of a scalar subquery, which
-keeps the generated code the same, took twice as long a step. ``mllib_kmeans`` (k-means|| start) stays available;
-its result depends on the partition layout.
+are one array literal, and their places in it are counted from a column of
+zeros: generated code then refers to the array as an object, so it is the same
+in every step and compiled once (a plain number, or an element that the
+optimizer can fold into one, becomes part of the code). ``mllib_kmeans``
+(k-means|| start) stays available; its result depends on the partition layout.
 
 Naming (``name_clusters``) is by centroid, not by cluster id, so it does not
 depend on the start: Dessert = highest mean (standardised) sugar; of the rest,
@@ -31,7 +36,9 @@ from .nulls import coerce_features, valid_feature_flag
 from .scaling import feature_stats, standardize
 
 MAX_STEPS = 300
-MOVED = 1e-9
+TOL = 1e-4
+ROUNDING = 1e-18          # squared moves that rounding alone makes
+ZERO = "_zero"            # column of zeros in the fit table
 
 
 @dataclass
@@ -39,6 +46,7 @@ class KMeansResult:
     assigned: DataFrame                # input rows + cluster (+ category)
     centroids: list[list[float]]       # k x d, standardised space
     iterations: int
+    converged: bool = True             # False: stopped by the step limit
     cost: float | None = None          # sum of squared distances (inertia)
     names: dict[int, str] = field(default_factory=dict)
 
@@ -48,20 +56,33 @@ def _num(v: float) -> str:
     return f"({float(v)!r}D)"
 
 
-def _sq_dist_sql(zcols: list[str], c: list[float]) -> str:
-    """Squared Euclidean distance to ``c`` (terms added left to right)."""
-    return " + ".join(f"(`{z}` - {_num(v)}) * (`{z}` - {_num(v)})" for z, v in zip(zcols, c))
+def _argmin_sql(dists: list[str]) -> str:
+    """Index of the smallest expression (the lowest index on an exact tie)."""
+    cands = [f"named_struct('d', {d}, 'c', {i})" for i, d in enumerate(dists)]
+    return f"({cands[0] if len(cands) == 1 else f'least({chr(44).join(cands)})'}).c"
+
+
+def _sq_dist_sql(zcols: list[str], c: list[str]) -> str:
+    """Squared Euclidean distance to the coordinates ``c``, SQL terms added left to right."""
+    return " + ".join(f"(`{z}` - {v}) * (`{z}` - {v})" for z, v in zip(zcols, c))
 
 
 def nearest(zcols: list[str], centroids: list[list[float]]) -> Column:
-    """Index of the nearest centroid (lowest index on an exact tie).
+    """Index of the nearest centroid (lowest index on an exact tie)."""
+    return F.expr(_argmin_sql([_sq_dist_sql(zcols, [_num(v) for v in c]) for c in centroids]))
 
-    Built as one SQL expression string: an iterative fit rebuilds it every
-    step, and one parse is much cheaper than hundreds of Column calls.
-    """
-    cands = [f"named_struct('d', {_sq_dist_sql(zcols, c)}, 'c', {i})" for i, c in enumerate(centroids)]
-    best = cands[0] if len(cands) == 1 else f"least({', '.join(cands)})"
-    return F.expr(f"({best}).c")
+
+def nearest_step(pts: DataFrame, zcols: list[str], centroids: list[list[float]]) -> DataFrame:
+    """``pts`` (with the column ZERO) as (cluster, zcols): ``nearest`` in code that
+    does not change with the centroids. The differences are columns of their own, so
+    the planner finds no common parts to take out (their order in the code would
+    follow the values)."""
+    k, d = len(centroids), len(zcols)
+    flat = f"array({', '.join(_num(v) for c in centroids for v in c)})"
+    diffs = [f"`{z}` - _cents[{ZERO} + {i * d + j}] AS _d_{i}_{j}" for i in range(k) for j, z in enumerate(zcols)]
+    dists = [" + ".join(f"_d_{i}_{j} * _d_{i}_{j}" for j in range(d)) for i in range(k)]
+    return (pts.select("*", F.expr(flat).alias("_cents")).selectExpr(*[f"`{z}`" for z in zcols], *diffs)
+            .select(F.expr(_argmin_sql(dists)).alias("cluster"), *zcols))
 
 
 def start_rows(pts: DataFrame, zcols: list[str], k: int, start: str, seed: int, id_col: str) -> list[list[float]]:
@@ -74,30 +95,33 @@ def start_rows(pts: DataFrame, zcols: list[str], k: int, start: str, seed: int,
 
 
 def lloyd(pts: DataFrame, zcols: list[str], k: int = 3, max_iter: int = MAX_STEPS, id_col: str = "id",
-          start: str = "hash", seed: int = 0) -> tuple[list[list[float]], int]:
-    """Lloyd's algorithm on the narrow table ``pts`` (id and standardised
-    features): (centroids, steps). Stops when no coordinate of a centroid moves by
-    more than MOVED, which only rounding does once no row changes its cluster;
-    raises if ``max_iter`` steps do not get there. An empty cluster keeps its
-    centroid; fewer rows than k give fewer clusters."""
+          start: str = "hash", seed: int = 0, tol: float = TOL) -> tuple[list[list[float]], int, bool]:
+    """Lloyd's algorithm on the narrow table ``pts`` (id and standardised features):
+    (centroids, steps, whether it settled). See the module docstring for the stop;
+    with ``tol=0`` the centroids stand still but for rounding. An empty cluster
+    keeps its centroid; fewer rows than k give fewer clusters, no rows none."""
     cents = start_rows(pts, zcols, k, start, seed, id_col)
     if not cents:
-        return [], 0
+        return [], 0, True
+    if ZERO not in pts.columns:
+        pts = pts.withColumn(ZERO, F.lit(0))
+    spread = pts.agg(*[F.var_pop(c) for c in zcols]).first()
+    limit = max(tol * sum(spread) / len(zcols), ROUNDING)
     for it in range(1, max_iter + 1):
-        rows = (pts.select(nearest(zcols, cents).alias("cluster"), *zcols).groupBy("cluster")
+        rows = (nearest_step(pts, zcols, cents).groupBy("cluster")
                 .agg(*[F.avg(c).alias(c) for c in zcols]).collect())       # k rows
         new = [list(c) for c in cents]
         for r in rows:
             new[r["cluster"]] = [float(r[c]) for c in zcols]
-        moved = max(abs(a - b) for x, y in zip(new, cents) for a, b in zip(x, y))
+        moved = sum((a - b) ** 2 for x, y in zip(new, cents) for a, b in zip(x, y))
         cents = new
-        if moved <= MOVED:
-            return cents, it
-    raise RuntimeError(f"k-means did not converge in {max_iter} steps")
+        if moved <= limit:
+            return cents, it, True
+    return cents, max_iter, False
 
 
 def mllib_kmeans(pts: DataFrame, zcols: list[str], k: int = 3, seed: int = 0,
-                 max_iter: int = MAX_STEPS, tol: float = 1e-4) -> tuple[list[list[float]], int, float]:
+                 max_iter: int = MAX_STEPS, tol: float = TOL) -> tuple[list[list[float]], int, float]:
     """Spark ML k-means on the standardised columns: (centroids, steps, cost)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
@@ -135,7 +159,7 @@ def category_column(names: dict[int, str], cluster: str = "cluster") -> Column:
 
 def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
              method: str = "lloyd", max_iter: int = MAX_STEPS, id_col: str = "id",
-             seed: int = 0, naming: str = "centroid", start: str = "hash") -> KMeansResult:
+             seed: int = 0, naming: str = "centroid", start: str = "hash", tol: float = TOL) -> KMeansResult:
     """Add ``cluster`` and ``category`` to every item.
 
     Feature columns may be text or numbers; they are coerced to finite doubles
@@ -154,14 +178,16 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
     items = coerce_features(items, features)
     valid = valid_feature_flag(features)
     zcols = ["z_" + f for f in features]
-    with scratch_table(items.where(valid).select(id_col, *features), "features") as fit_rows:
+    narrow = items.where(valid).select(id_col, *features, F.lit(0).alias(ZERO))
+    with scratch_table(narrow, "features") as fit_rows:
         stats = feature_stats(fit_rows, features)
-        z = standardize(fit_rows, features, stats).select(id_col, *zcols)
-        cost = None
+        z = standardize(fit_rows, features, stats).select(id_col, ZERO, *zcols)
+        cost, settled = None, True
         if method == "lloyd":
-            cents, steps = lloyd(z, zcols, k, max_iter, id_col, start, seed)
+            cents, steps, settled = lloyd(z, zcols, k, max_iter, id_col, start, seed, tol)
         else:
-            cents, steps, cost = mllib_kmeans(z, zcols, k, seed, max_iter)
+            cents, steps, cost = mllib_kmeans(z, zcols, k, seed, max_iter, tol)
+            settled = steps < max_iter
     if naming == "fixed":
         names = {c: n for c, n in CATEGORY_BY_CLUSTER.items() if c < k}
     else:
@@ -172,7 +198,7 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
                .withColumn("category", category_column(names)).drop(*zcols))
     else:
         out = items.withColumns({"cluster": F.lit(None).cast("int"), "category": F.lit(None).cast("string")})
-    return KMeansResult(out, cents, steps, cost, names)
+    return KMeansResult(out, cents, steps, settled, cost, names)
 
 
 def inertia(assigned_z: DataFrame, zcols: list[str], centroids: list[list[float]],
@@ -180,6 +206,6 @@ def inertia(assigned_z: DataFrame, zcols: list[str], centroids: list[list[float]
     """Sum of squared distances to the assigned centroid."""
     d = None
     for i, c in enumerate(centroids):
-        term = F.when(F.col(cluster) == i, F.expr(_sq_dist_sql(zcols, c)))
+        term = F.when(F.col(cluster) == i, F.expr(_sq_dist_sql(zcols, [_num(v) for v in c])))
         d = term if d is None else F.coalesce(d, term)
     return float(assigned_z.agg(F.sum(d)).first()[0] or 0.0)

@@ -1,23 +1,25 @@
 """Principal components of the standardised features.
 
-The covariance of the standardised columns is computed by Spark ML's PCA (a
-distributed aggregate; the d x d eigenproblem is solved on the driver, d = 7).
-Sign convention: in every component the loading with the largest magnitude is
-positive. Scores are native column expressions (sum of loading * z), so
-scoring stays inside whole-stage codegen.
+One aggregate over the items gives everything a fit needs: the mean and variance
+of every feature and the covariance of every pair (merged pairwise from running
+means, so large means cost no digits). The correlations are the covariance of
+the standardised features; their d x d eigenproblem (d = 7) is solved on the
+driver. Sign convention: in every component the loading with the largest
+magnitude is positive. Scores are native column expressions (sum of loading * z),
+so scoring stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
-from ..session import scratch_table
 from .nulls import valid_feature_flag
-from .scaling import feature_stats, standardize
+from .scaling import standardize
 
 
 @dataclass
@@ -27,20 +29,36 @@ class PCAResult:
     explained_variance: list[float]
 
 
-def fit_pca(z: DataFrame, zcols: list[str], n_components: int = 2):
-    from pyspark.ml.feature import PCA, VectorAssembler
-
-    data = VectorAssembler(inputCols=zcols, outputCol="_z").transform(z.select(*zcols))
-    model = PCA(k=n_components, inputCol="_z", outputCol="_pc").fit(data)
-    pc = model.pc.toArray()              # d x k
-    ev = [float(v) for v in model.explainedVariance.toArray()]
+def moments(rows: DataFrame, features: list[str]) -> tuple[dict[str, tuple[float, float]], np.ndarray]:
+    """({feature: (mean, population sd or 1 when 0)}, covariance of the standardised
+    features) in one pass; zeros without rows."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    row = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features],
+                   *[F.covar_pop(a, b).alias(f"c_{a}__{b}") for a, b in pairs]).first()
+    stats = {}
+    for f in features:
+        v = row[f"c_{f}__{f}"]
+        stats[f] = (row[f"m_{f}"] or 0.0, v ** 0.5 if v else 1.0)
+    cov = np.zeros((len(features), len(features)))
+    at = {f: i for i, f in enumerate(features)}
+    for a, b in pairs:
+        c = (row[f"c_{a}__{b}"] or 0.0) / (stats[a][1] * stats[b][1])
+        cov[at[a], at[b]] = cov[at[b], at[a]] = c
+    return stats, cov
+
+
+def principal_axes(cov: np.ndarray, n_components: int = 2) -> tuple[list[list[float]], list[float]]:
+    """The leading eigenvectors of a covariance matrix, signs by the module's
+    convention, and their shares of the variance."""
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(-values, kind="stable")[:n_components]
+    total = float(values.sum())
     loadings = []
-    for j in range(n_components):
-        col = [float(pc[i, j]) for i in range(len(zcols))]
-        big = max(range(len(col)), key=lambda i: (abs(col[i]), -i))
-        sign = 1.0 if col[big] >= 0 else -1.0
-        loadings.append([sign * v for v in col])
-    return loadings, ev
+    for j in order:
+        v = vectors[:, j]
+        big = int(np.argmax(np.abs(v)))
+        loadings.append([float(x) for x in (v if v[big] >= 0 else -v)])
+    return loadings, [float(values[j]) / total if total else 0.0 for j in order]
 
 
 def score(zcols: list[str], loading: list[float]) -> Column:
@@ -55,10 +73,8 @@ def pca_scores(items: DataFrame, features: list[str] = FEATURES, n_components: i
     keep = keep if keep is not None else [c for c in ("id", "item", "item_gr", "category") if c in items.columns]
     rows = items.where(valid_feature_flag(features)).select(*features, *keep)
     zcols = ["z_" + f for f in features]
-    # statistics and fit read a narrow table of the features alone
-    with scratch_table(rows.select(*features), "pca") as fit_rows:
-        stats = feature_stats(fit_rows, features)
-        loadings, ev = fit_pca(standardize(fit_rows, features, stats), zcols, n_components)
+    stats, cov = moments(rows, features)
+    loadings, ev = principal_axes(cov, n_components)
     z = standardize(rows, features, stats)
     cols = [score(zcols, l).alias(f"PC{j + 1}") for j, l in enumerate(loadings)]
     out = z.select(*cols, *keep)

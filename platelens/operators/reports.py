@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label, number_text
-from .ranking import global_rank
+from .ranking import global_rank, laid_out, partition_offsets
+
+#: A page that ends within so many rows of the start is read by a top-n sort.
+SHALLOW = 10_000
 
 
 def _listed(items: DataFrame, restaurants: list[str] | None) -> DataFrame:
@@ -111,16 +114,19 @@ def hierarchy_rollup(top: DataFrame, path: tuple[str, str] = ("restaurant", "lab
 
 
 def browse(df: DataFrame, sort: list[tuple[str, str]], limit: int | None = None,
-           offset: int = 0) -> DataFrame:
+           offset: int = 0, shallow: int = SHALLOW) -> DataFrame:
     """One page of a table sorted by user-chosen columns ('asc' / 'desc').
 
     All columns are appended as a final tie-break, so a page is the same on
-    every run. Planned as a TakeOrderedAndProject (each task keeps only
-    offset + limit rows) when a limit is given.
+    every run. A page within the first ``shallow`` rows is planned as a
+    TakeOrderedAndProject (each task keeps only offset + limit rows). A deeper one
+    (see ``deep_page``) reads only the ranges of the sorted table it lies in.
     """
     keys = [F.desc(c) if d.lower().startswith("d") else F.asc(c) for c, d in sort]
     chosen = {c for c, _ in sort}
     keys += [F.asc_nulls_first(c) for c in df.columns if c not in chosen]
+    if offset and (limit is None or offset + limit > shallow):
+        return deep_page(df, keys, limit, offset)
     out = df.orderBy(*keys)
     if offset:
         out = out.offset(offset)
@@ -129,6 +135,31 @@ def browse(df: DataFrame, sort: list[tuple[str, str]], limit: int | None = None,
     return out
 
 
+def deep_page(df: DataFrame, keys: list, limit: int | None, offset: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of ``df`` in the order of ``keys``, sorted.
+
+    The table is laid out once in range partitions, each sorted, and its rows
+    numbered there. The counts of the ranges (one row each, as many as shuffle
+    partitions) turn both ends of the page into places, and the page is the rows
+    between them: the scan skips all ranges, and all blocks of them, outside.
+    No task holds more than a range, whatever the offset.
+    """
+    x = laid_out(df, keys, "browse")
+    ranges = [tuple(r) for r in partition_offsets(x, F.lit(1), count=True).orderBy("_off").collect()]
+
+    def place(at: int) -> int:
+        """The place of the row number ``at``, or one past the last row."""
+        for _, off, first, n in ranges:
+            if at < off + n:
+                return first + at - off
+        return ranges[-1][2] + ranges[-1][3] if ranges else 0
+
+    page = x.where(F.col("_mid") >= place(offset))
+    if limit is not None:
+        page = page.where(F.col("_mid") < place(offset + limit))
+    return page.orderBy("_mid").drop("_mid", "_pid")
+
+
 # --- fact-scale variants ---------------------------------------------------------
 #
 # The same reports when every sales line is a menu row: lines (key, value,
@@ -175,19 +206,24 @@ def max_calorie_items_by_key(lines: DataFrame, items: DataFrame, line_id: list[s
     ``line_id`` columns): per restaurant the item of the line with the most
     calories (lowest line id on ties) and the average carbohydrates.
 
-    The arg-max is taken per item key first (one partial/final aggregate over
-    the lines), so only one candidate per key reaches the join with the items;
-    the restaurant arg-max then compares those candidates."""
-    order = F.struct(F.col("calories"), *[-F.col(c) for c in line_id])
+    Every aggregate over the lines has fixed-width buffers, so it is a hash
+    aggregate: the maximum and the sums per item key, then per restaurant. The
+    keys that reach their restaurant's maximum, one or a few each, are looked up
+    in the lines again, and only those lines are ordered by line id; a line needs
+    no order of its own."""
     per_key = lines.groupBy(key).agg(
-        F.max(order).alias("_best"),
-        F.sum("total_carb").alias("_sc"), F.count("total_carb").alias("_nc"))
+        F.max("calories").alias("_mx"), F.sum("total_carb").alias("_sc"), F.count("total_carb").alias("_nc"))
     it = _listed(items.select(key, "restaurant", "item"), restaurants)
     j = per_key.join(it, key)
     agg = (j.groupBy("restaurant")
-           .agg(F.max_by("item", "_best").alias("item"),
-                F.max("_best").alias("_best"),
+           .agg(F.max("_mx").alias("max_calories"),
                 F.try_divide(F.sum("_sc"), F.sum("_nc")).alias("avg_carbohydrates")))
-    return (agg.select("restaurant", "item", F.col("_best.calories").alias("max_calories"),
-                       "avg_carbohydrates")
+    best = (j.join(agg.withColumnRenamed("restaurant", "_r"),
+                   F.col("restaurant").eqNullSafe(F.col("_r")) & F.col("_mx").eqNullSafe(F.col("max_calories")))
+            .select(F.col(key).alias("_k"), "restaurant", "item", "max_calories", "avg_carbohydrates"))
+    top = lines.select(key, "calories", *line_id).join(
+        best, (F.col(key) == F.col("_k")) & F.col("calories").eqNullSafe(F.col("max_calories")))
+    w = Window.partitionBy("restaurant").orderBy(*line_id)
+    return (top.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+            .select("restaurant", "item", "max_calories", "avg_carbohydrates")
             .orderBy(F.desc("max_calories"), "restaurant"))

@@ -9,7 +9,8 @@
   translates to ''.
 
 All work is on the distinct item names, so a name held by millions of rows is
-translated once; the result is joined back on the name.
+translated once; the result is joined back on the name, hot names apart
+(``joins.spread_join``), so that no task gathers one name's rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_words
+from .joins import spread_join
 
 
 def dedupe_lookup(lookup: DataFrame, key: str = "item", value: str = "item_gr",
@@ -88,9 +90,8 @@ def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | No
     ``lookup`` is (item, item_gr[, pos]) and ``lexicon`` (word, word_tr); both
     are deduplicated here. Instead of a lexicon, ``translate_word`` (pandas
     Series -> Series) may translate the words of the names the dictionary
-    misses (see ``lexicon_from_function``). Join strategy is left to AQE: the
-    translation table has one row per distinct name, and becomes a broadcast
-    when it is small.
+    misses (see ``lexicon_from_function``). How often a name comes is counted in
+    ``names`` too (it decides only how the join spreads).
     """
     if "pos" in lookup.columns:
         lookup = dedupe_lookup(lookup)
@@ -103,4 +104,5 @@ def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | No
     lexicon = dedupe_lexicon(lexicon)
     table = translation_table(names, lookup, lexicon, item, out)
     base = items.drop(out) if out in items.columns else items
-    return base.join(table, item, "left").select(*base.columns, out)
+    counts = names.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(base, table, [item], counts)

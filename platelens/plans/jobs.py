@@ -12,6 +12,7 @@ from ..operators.kmeans import classify
 from ..operators.pca import pca_scores
 from ..operators.translate import add_translation
 from ..schema import FEATURES, MENU_COLUMNS, NULL_TOKENS, NUMERIC_COLUMNS, RAW_MENU_SCHEMA
+from ..session import scratch_scope, scratch_written
 from ..sources.csv_io import header_columns, read_csv_text, read_menu_csv, write_csv
 from ..sources.keys import with_file_order_ids
 from ..sources.tables import conform
@@ -41,22 +42,20 @@ def clean_and_type(rows: DataFrame) -> DataFrame:
                       for c in x.columns])
 
 
-def kept_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def kept_rows(spark: SparkSession, path: str, multiline: bool | str = False) -> DataFrame:
     """The CSV's rows that have a value in every column its header names."""
     names = header_columns(spark, path, RAW_MENU_SCHEMA, multiline)
     return complete_rows(read_menu_csv(spark, path, multiline, null_tokens=False), names)
 
 
 def load_items(spark: SparkSession, path: str, kept: DataFrame | None = None,
-               multiline: bool = False) -> DataFrame:
+               multiline: bool | str = False) -> DataFrame:
     """CSV file(s) -> typed menu table with ids 1..N in file order over the
     kept rows; item_gr and category are null, and so are columns that the CSV's
     header does not have.
 
-    Ids are assigned right after the row filter and before the per-column
-    work, so the planner sees a narrow plan under the id join. Dense ids
-    need the row count of every file split first, so the kept rows are read
-    twice (counts, then rows).
+    The CSV is parsed once: the kept rows are written with their places, and ids
+    and the per-column work read those.
     """
     if kept is None:
         kept = kept_rows(spark, path, multiline)
@@ -64,26 +63,28 @@ def load_items(spark: SparkSession, path: str, kept: DataFrame | None = None,
 
 
 def load_menu_table(spark: SparkSession, path: str, table: str, mode: str = "append",
-                    multiline: bool = False) -> int:
+                    multiline: bool | str = False) -> int:
     """The whole load job: CSV -> clean -> drop incomplete rows -> ids ->
     write to ``table`` (created with the menu schema if absent). Returns the
     number of rows written.
 
-    Ids continue after the current maximum id when appending. That maximum is
-    read before the write, so a table takes one appender at a time.
+    Ids go on after those of the table and of all other appends, also ones that
+    run at the same time (``sources.tables.reserved_ids``). Overwriting starts
+    them at 1 and must run alone.
     """
-    from ..sources.tables import append_table, create_table
+    from ..sources.tables import append_table, create_table, reserved_ids
 
     create_table(spark, table)
-    start = 1
-    if mode == "append":
-        start = (spark.table(table).agg(F.max("id")).first()[0] or 0) + 1
-    typed = clean_and_type(with_file_order_ids(kept_rows(spark, path, multiline), "id", start))
-    if mode == "append":
-        append_table(typed, table)
-    else:
-        conform(typed).write.mode(mode).insertInto(table, overwrite=True)
-    return spark.table(table).where(F.col("id") >= start).count()
+    with scratch_scope(spark):
+        rows = with_file_order_ids(kept_rows(spark, path, multiline), "id")
+        if mode != "append":
+            rows = scratch_written(rows, "load")
+            conform(clean_and_type(rows)).write.mode(mode).insertInto(table, overwrite=True)
+            return rows.count()
+        n = rows.count()
+        with reserved_ids(spark, table, n) as first:
+            append_table(clean_and_type(rows.withColumn("id", F.col("id") + F.lit(first - 1))), table)
+        return n
 
 
 def add_category(items: DataFrame, method: str = "lloyd", k: int = 3, **kw) -> DataFrame:

@@ -106,17 +106,20 @@ def _dist(a: str, b: str) -> str:
 
 
 def _lloyd_ctes(order: str = "id", k: int = K, source: str = "titems") -> str:
-    """Lloyd steps from the k first rows by ``order`` until no centroid moves."""
+    """Lloyd steps from the k first rows by ``order`` until the squared moves of the
+    centroids together are at most 1e-4 of the features' mean variance."""
     zc = ", ".join(f"z_{f}" for f in FEATURES)
     avgs = ", ".join(f"avg(z.z_{f}) AS z_{f}" for f in FEATURES)
     keep = ", ".join(f"coalesce(m.z_{f}, p.z_{f}) AS z_{f}" for f in FEATURES)
-    moved = " + ".join(f"abs(coalesce(m.z_{f}, p.z_{f}) - p.z_{f})" for f in FEATURES)
+    moved = " + ".join(f"(coalesce(m.z_{f}, p.z_{f}) - p.z_{f}) ** 2" for f in FEATURES)
+    spread = " + ".join(f"var_pop(z_{f})" for f in FEATURES)
     return f""",
+tolerance AS MATERIALIZED (SELECT 1e-4 * ({spread}) / {len(FEATURES)} AS tol FROM z),
 steps AS (
   SELECT 0 AS step, CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS cluster, {zc}, true AS moved
   FROM (SELECT * FROM z ORDER BY {order} LIMIT {k})
   UNION ALL
-  SELECT p.step + 1 AS step, p.cluster, {keep}, max({moved}) OVER () > 1e-9 AS moved
+  SELECT p.step + 1 AS step, p.cluster, {keep}, sum({moved}) OVER () > (SELECT tol FROM tolerance) AS moved
   FROM steps p LEFT JOIN (
     SELECT a.cluster, {avgs}
     FROM (SELECT z.id, first(c.cluster ORDER BY {_dist('z', 'c')}, c.cluster) AS cluster
@@ -354,8 +357,19 @@ FROM (SELECT restaurant, label, sum(max_calories) AS value,
      (SELECT sum(max_calories) AS total FROM top)""", extra=f",\ntop AS ({_top_items(False)})"),
         "number_labels": """
 SELECT p_partkey AS id, CAST(p_partkey + 10000000.5::DOUBLE AS VARCHAR) AS large,
-       rtrim(CAST(p_size * CAST(0.0001 AS DECIMAL(9, 4)) AS VARCHAR), '0') AS small, CAST(NULL AS DOUBLE) AS huge
+       rtrim(CAST(p_size * CAST(0.0001 AS DECIMAL(9, 4)) AS VARCHAR), '0') AS small,
+       CAST(p_size::HUGEINT * 300000000000000000 AS VARCHAR) AS wide,
+       CAST(-p_size::HUGEINT * 100000000000000000000 AS VARCHAR) AS vast, CAST(NULL AS DOUBLE) AS huge
 FROM part""",
+        "load_line_breaks": with_base(_menu_typed()),
+        "kmeans_fixed_names": with_base("""
+SELECT id, cluster, CASE cluster WHEN 0 THEN 'Side' WHEN 1 THEN 'Dessert' WHEN 2 THEN 'Main' END AS category
+FROM categorized""", extra=_z_ctes() + _lloyd_ctes()),
+        "browse_deep": with_base("""
+SELECT item, item_gr, category FROM (
+  SELECT item, item_gr, category, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY item DESC NULLS LAST, category ASC NULLS FIRST, item_gr ASC NULLS FIRST) - 1 AS place
+  FROM categorized) WHERE place >= n // 2 AND place < n // 2 + 1000""", extra=_z_ctes() + _lloyd_ctes()),
         "load_by_header": with_base(_menu_typed(vit_a="CAST(NULL AS DOUBLE)")),
         "load_append": with_base(_menu_typed("p_partkey % 2, p_partkey")),
         "translate_hook": with_base("""

@@ -26,7 +26,7 @@ from ..schema import FEATURES, MENU_SCHEMA
 from ..session import scratch_path
 from ..sources.csv_io import read_csv_text, read_lookup_csv, write_csv
 from ..sources.keys import tag_file_position, with_file_order_ids
-from ..sources.tables import drop_table, reset_table
+from ..sources.tables import drop_table, reset_table, table_location
 from . import views
 from .jobs import browse_categories, export_categories, load_items, load_menu_table, read_categories
 from .oracle import LISTED
@@ -151,8 +151,7 @@ def q_load_append(spark, d):
             path = _fresh(spark, "menu_csv")
             write_csv(menu.where(F.col("id") % 2 == odd).orderBy("id").drop("id"), path)
             load_menu_table(spark, path, name)
-    out = spark.table(name).inputFiles()
-    rows = spark.read.schema(MENU_SCHEMA).parquet(*out)
+    rows = spark.read.schema(MENU_SCHEMA).parquet(table_location(spark, name))
     drop_table(spark, name)          # the table's files stay in its own folder
     return rows
 
@@ -162,6 +161,8 @@ def q_number_labels(spark, d):
     return p.select(F.col("p_partkey").alias("id"),
                     number_text(F.col("p_partkey") + F.lit(10000000.5)).alias("large"),
                     number_text(F.col("p_size") / F.lit(10000.0)).alias("small"),
+                    number_text(F.col("p_size") * F.lit(3e17)).alias("wide"),
+                    number_text(-F.col("p_size") * F.lit(1e20)).alias("vast"),
                     coerce_numeric(F.concat(F.col("p_size").cast("string"), F.lit("e400"))).alias("huge"))
 
 
@@ -246,6 +247,12 @@ def q_kmeans_fixed_start(spark, d):
     return _lloyd_categorized(spark, d).select("id", "cluster", "category")
 
 
+def q_kmeans_fixed_names(spark, d):
+    """Categories by the fixed cluster -> name map."""
+    res = classify(views.translated_items(spark, d), FEATURES, 3, start="first", naming="fixed")
+    return res.assigned.select("id", "cluster", "category")
+
+
 def q_category_profile(spark, d):
     c = _lloyd_categorized(spark, d)
     prof = c.groupBy("category").agg(F.count(F.lit(1)).alias("n_items"),
@@ -302,6 +309,28 @@ def q_browse_categories(spark, d):
                              limit=25, offset=10)
 
 
+def q_browse_deep(spark, d):
+    """A page from the middle of the table, read from the ranges it lies in."""
+    t = read_categories(spark, _export(spark, d))
+    return reports.browse(t, [("item", "desc"), ("category", "asc")], limit=1000, offset=t.count() // 2, shallow=0)
+
+
+def _menu_with_line_breaks(spark, d):
+    """The sorted menu with a line feed in place of every space of an item that has
+    one, and in some a carriage return too; text quoted."""
+    menu = _sorted_menu(spark, d)
+    item = F.when(F.length("item") % 3 == 0, F.replace(F.col("item"), F.lit(" "), F.lit("\r\n"))).otherwise(
+        F.replace(F.col("item"), F.lit(" "), F.lit("\n")))
+    path = _fresh(spark, "menu_csv")
+    write_csv(menu.withColumn("item", item), path)
+    return path
+
+
+def q_load_line_breaks(spark, d):
+    """Quoted line breaks, read in splits (cleaning turns them into spaces)."""
+    return load_items(spark, _menu_with_line_breaks(spark, d), multiline="split")
+
+
 def q_browse_all(spark, d):
     return browse_categories(spark, _export(spark, d), [("item", "asc")])
 
@@ -341,6 +370,9 @@ QUERIES: dict[str, Query] = {
     "export_roundtrip": q_export_roundtrip,
     "browse_categories": q_browse_categories,
     "browse_all": q_browse_all,
+    "browse_deep": q_browse_deep,
+    "load_line_breaks": q_load_line_breaks,
+    "kmeans_fixed_names": q_kmeans_fixed_names,
     "load_by_header": q_load_by_header,
     "load_append": q_load_append,
     "number_labels": q_number_labels,

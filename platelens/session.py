@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,15 +75,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), "tables", name)
 
 
+#: Folders written inside a ``scratch_scope``; None outside of one.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("platelens_scratch", default=None)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
-def scratch_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
-    """``df`` written as parquet under the shared folder and read back; the files
-    go when the block ends, so nothing lazy may leave it."""
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What ``scratch_written`` writes inside the block goes when it ends, so nothing
+    lazy that reads it may leave the block."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        for path in _SCOPE.get():
+            delete_path(spark, path)
+        _SCOPE.reset(token)
+
+
+def scratch_written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet under the shared folder and read back: it is
+    evaluated once, its rows keep their place, and lost executors do no harm."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
-    try:
-        yield spark.read.schema(df.schema).parquet(path)
-    finally:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``scratch_written`` in a scope of its own."""
+    with scratch_scope(df.sparkSession):
+        yield scratch_written(df, name)

@@ -7,9 +7,10 @@ the same header, which Spark checks), a column that the header lacks is null, an
 one that the table does not have is an error. Every field is read as text (no
 inference), then the null tokens of ``schema.NULL_TOKENS`` become null. A row
 with too few fields has nulls at its end; one with too many is an error.
-``multiLine`` is off by default because it prevents splitting large files; switch
-it on for quoted line breaks. Without it a quoted line break is an error too
-where it leaves a quote open.
+``multiline`` is off by default: a quoted line break is an error then where it
+leaves a quote open. ``multiline="split"`` reads them in splits of large files
+(``sources.csv_records``); ``multiline=True`` is Spark's own reader, one task
+per file, which also takes quotes inside unquoted fields.
 
 Writing: header, quotes doubled, padding kept, null and '' both written as an
 empty field. The output is a folder of part files.
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 
 from ..operators.nulls import null_tokens_to_null
 from ..schema import LOOKUP_SCHEMA, RAW_MENU_SCHEMA
-from .keys import tag_file_position, with_file_order_ids
+from .csv_records import read_records
+from .keys import FILE_COLS, tag_file_position, with_file_order_ids
 
 READ_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
                 "enforceSchema": "false", "columnNameOfCorruptRecord": "_bad", "columnPruning": "false"}
@@ -32,10 +34,11 @@ WRITE_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"',
                  "emptyValue": "", "nullValue": ""}
 
 
-def header_columns(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> list[str]:
+def header_columns(spark: SparkSession, path: str, schema: T.StructType,
+                   multiline: bool | str = False) -> list[str]:
     """Column names of the (first) file's header line; raises for names that
     ``schema`` does not have and for repeated ones. Reads one line."""
-    names = (spark.read.options(**READ_OPTIONS).option("multiLine", str(multiline).lower())
+    names = (spark.read.options(**READ_OPTIONS).option("multiLine", str(multiline is True).lower())
              .csv(path).columns)
     names = [n for n in names if n != "_bad"]
     unknown = sorted(set(names) - set(schema.fieldNames()))
@@ -56,8 +59,21 @@ def checked_rows(df: DataFrame, names: list[str]) -> DataFrame:
     return df.where(fine).drop("_bad")
 
 
+def _split_records(spark: SparkSession, path: str, text_schema: T.StructType, names: list[str]) -> DataFrame:
+    """The fields of ``read_records`` under ``text_schema``, each file's header checked and left out."""
+    rows = read_records(spark, path)
+    header = (F.col("_file_block") == 0) & (F.col("_file_pos") == 0)
+    fits = F.replace(F.col("text"), F.lit('"'), F.lit("")) == ",".join(names)
+    kept = rows.where(F.when(~header, True).when(fits, False).otherwise(F.raise_error(F.concat(
+        F.lit("another header in "), F.col("_file_path"))).cast("boolean")))
+    options = {k: v for k, v in READ_OPTIONS.items() if k in ("sep", "quote", "escape", "mode", "columnNameOfCorruptRecord")}
+    fields = F.from_csv("text", text_schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                        {**options, "multiLine": "true"})
+    return kept.select(fields.alias("_f"), *FILE_COLS, "_file_pos").select("_f.*", *FILE_COLS, "_file_pos")
+
+
 def read_csv_text(spark: SparkSession, path: str, schema: T.StructType,
-                  multiline: bool = False, tag_position: bool = False,
+                  multiline: bool | str = False, tag_position: bool = False,
                   null_tokens: bool = True) -> DataFrame:
     """Scan CSV as text columns of ``schema`` and apply the null tokens.
 
@@ -66,10 +82,13 @@ def read_csv_text(spark: SparkSession, path: str, schema: T.StructType,
     """
     names = header_columns(spark, path, schema, multiline)
     text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, "_bad"]])
-    df = (spark.read.schema(text_schema).options(**READ_OPTIONS)
-          .option("multiLine", str(multiline).lower()).csv(path))
-    if tag_position:
-        df = tag_file_position(df)
+    if multiline == "split":
+        df = _split_records(spark, path, text_schema, names)
+        df = df if tag_position else df.drop(*FILE_COLS, "_file_pos")
+    else:
+        df = (spark.read.schema(text_schema).options(**READ_OPTIONS)
+              .option("multiLine", str(multiline is True).lower()).csv(path))
+        df = tag_file_position(df) if tag_position else df
     df = checked_rows(df, names)
     tags = [c for c in df.columns if c not in names]
     df = df.select(*[F.col(f.name) if f.name in names else F.lit(None).cast("string").alias(f.name)
@@ -77,7 +96,7 @@ def read_csv_text(spark: SparkSession, path: str, schema: T.StructType,
     return null_tokens_to_null(df, names) if null_tokens else df
 
 
-def read_menu_csv(spark: SparkSession, path: str, multiline: bool = False,
+def read_menu_csv(spark: SparkSession, path: str, multiline: bool | str = False,
                   null_tokens: bool = True) -> DataFrame:
     """Raw menu rows (all text, file position tagged; null tokens made null
     unless ``null_tokens`` is False)."""
@@ -85,7 +104,7 @@ def read_menu_csv(spark: SparkSession, path: str, multiline: bool = False,
                          null_tokens=null_tokens)
 
 
-def read_lookup_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_lookup_csv(spark: SparkSession, path: str, multiline: bool | str = False) -> DataFrame:
     """Translation dictionary (item, item_gr) with ``pos`` = file row order,
     so a repeated key can be resolved as "last row wins"."""
     df = read_csv_text(spark, path, LOOKUP_SCHEMA, multiline, tag_position=True)

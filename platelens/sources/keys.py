@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import sequence_ids
+from ..operators.ranking import global_rank, sequence_ids
 
 FILE_COLS = ["_file_dir", "_file_part", "_file_path", "_file_block"]
 
@@ -29,7 +29,12 @@ def with_file_order_ids(tagged: DataFrame, id_col: str = "id", start: int = 1) -
     left in ``tagged`` (e.g. after a null drop); drops the tag columns.
 
     Part files written by Spark are named in partition order, so the order of
-    a sorted write is kept.
+    a sorted write is kept. Rows that no longer stand in scan order carry their
+    place in the split as ``_file_pos`` and are numbered by a distributed sort.
     """
+    if "_file_pos" in tagged.columns:
+        order = [F.col(c) for c in [*FILE_COLS, "_file_pos"]]
+        out = global_rank(tagged, order, id_col).withColumn(id_col, F.col(id_col) + F.lit(start - 1))
+        return out.drop(*FILE_COLS, "_file_pos")
     out = sequence_ids(tagged, FILE_COLS, id_col, start)
     return out.drop(*FILE_COLS)

@@ -207,6 +207,113 @@ def test_numbers_beyond_double_are_null_and_labels_are_plain(spark):
     from platelens.functions.text import number_text
     df = spark.createDataFrame([("1e400",), ("-1e400",), ("1e300",)], "x string")
     assert [r.x for r in coerce_features(df, ["x"]).collect()] == [None, None, 1e300]
-    df = spark.createDataFrame([(12345678.5,), (0.0005,), (1210.0,), (900.1,), (-0.00025,), (None,), (1e22,)], "x double")
-    assert [r.t for r in df.select(number_text("x").alias("t")).collect()][:6] == [
-        "12345678.5", "0.0005", "1210", "900.1", "-0.00025", None]
+    df = spark.createDataFrame([(12345678.5,), (0.0005,), (1210.0,), (900.1,), (-0.00025,), (None,), (1e22,), (9.9e18,),
+                                (1e20,), (-3e19,), (float("inf"),), (float("nan"),), (0.0,), (1e40,)], "x double")
+    assert [r.t for r in df.select(number_text("x").alias("t")).collect()] == [
+        "12345678.5", "0.0005", "1210", "900.1", "-0.00025", None, "1" + "0" * 22, "9900000000000000000",
+        "1" + "0" * 20, "-30000000000000000000", "Infinity", "NaN", "0", "1" + "0" * 40]
+
+
+def _plan(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_the_rows_of_a_load_are_parsed_once(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "once", "x.csv")
+    _write(p, _menu_csv([_row("A", "x"), _row("B", "y")]))
+    text = _plan(load_items(spark, p))
+    assert "Scan csv" not in text and "Scan parquet" in text     # the CSV went into the numbered rows
+
+
+def _ragged_csv(n, seed, end):
+    """Lines of every kind: quoted line breaks of both kinds, doubled quotes, blank lines."""
+    import random
+    r = random.Random(seed)
+    out = [",".join(NAMES)]
+    for i in range(n):
+        words = [r.choice(["a", 'say ""hi""', "x,y", "l1\nl2", "m\r\n\nn", "", " pad "]) for _ in range(r.randint(0, 6))]
+        item = '"' + " ".join([f"i{i}", *words]) + '"' if r.random() < .7 else f"plain{i}"
+        out.append(_by_name(NAMES, item=item, restaurant=r.choice(["R", '"Q, ""q"""'])))
+        if r.random() < .1:
+            out.append(r.choice(["", "  "]))
+    return end.join(out) + r.choice(["", end])
+
+
+def test_quoted_line_breaks_in_splits_equal_the_whole_file_reader(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "ragged")
+    for f in range(2):
+        with open(os.path.join(_made(d), f"part-{f:05d}.csv"), "w", newline="", encoding="utf-8") as out:
+            out.write(("\ufeff" if f else "") + _ragged_csv(400, f, "\r\n" if f else "\n"))
+    # one record longer than several splits
+    with open(os.path.join(d, "part-00002.csv"), "w", newline="") as out:
+        out.write(",".join(NAMES) + "\n" + _by_name(NAMES, item='"' + "long\n" * 3000 + '"') + "\n" + _by_name(NAMES, item="after"))
+    want = [r.asDict() for r in load_items(spark, d, multiline=True).orderBy("id").collect()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert spark.read.text(d).rdd.getNumPartitions() > 10
+        got = [r.asDict() for r in load_items(spark, d, multiline="split").orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(want) == 802 and got == want
+
+
+def _made(d):
+    os.makedirs(d, exist_ok=True)
+    return d
+
+
+def test_split_records_refuse_what_breaks_the_pairing_of_quotes(spark, tmp_dir):
+    import pytest
+    cases = {"open": _by_name(NAMES, item='"A\nB'), "bare": _by_name(NAMES, item='6" Sub, 7" Sub'),
+             "wide": _by_name(NAMES, item='"A\nB"') + ",9"}
+    for name, line in cases.items():
+        p = os.path.join(tmp_dir, "bad-" + name, "x.csv")
+        _write(p, ",".join(NAMES) + "\n" + line + "\n")
+        with pytest.raises(Exception, match="malformed CSV"):
+            load_items(spark, p, multiline="split").collect()
+    for f, order in (("a", NAMES), ("b", NAMES[1:] + NAMES[:1])):
+        _write(os.path.join(tmp_dir, "heads", f + ".csv"), ",".join(order) + "\n" + _by_name(order) + "\n")
+    with pytest.raises(Exception, match="another header"):
+        load_items(spark, os.path.join(tmp_dir, "heads"), multiline="split").collect()
+
+
+def test_appends_at_once_get_unique_dense_ids(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from platelens.plans.jobs import load_menu_table
+    paths = []
+    for f in range(6):
+        paths.append(os.path.join(tmp_dir, f"at-once-{f}"))
+        _write(os.path.join(paths[-1], "x.csv"), _menu_csv([_row(f"R{f}", f"item {i}") for i in range(20 + f)]))
+    name = "menu_at_once"
+    tables.reset_table(spark, name, os.path.join(tmp_dir, "at-once"))
+    with ThreadPoolExecutor(6) as pool:
+        counts = list(pool.map(lambda p: load_menu_table(spark, p, name), paths))
+    assert counts == [20 + f for f in range(6)]
+    rows = spark.read.schema(MENU_SCHEMA).parquet(tables.table_location(spark, name)).select("id", "restaurant", "item").collect()
+    assert sorted(r.id for r in rows) == list(range(1, sum(counts) + 1))
+    for f in range(6):                               # file order within each append
+        own = [r.item for r in sorted(rows, key=lambda r: r.id) if r.restaurant == f"R{f}"]
+        assert own == [f"item {i}" for i in range(20 + f)]
+    assert spark.table(name).count() == sum(counts)
+    tables.drop_table(spark, name)
+
+
+def test_one_of_several_creates_an_entry_and_a_failed_append_gives_its_ids_back(spark, tmp_dir):
+    import pytest
+    from concurrent.futures import ThreadPoolExecutor
+    path = os.path.join(tmp_dir, "log", "1")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: tables.create_once(spark, path, f"{i} text"), range(16)))
+    assert sum(won) == 1 and open(path).read() == f"{won.index(True)} text"
+    assert os.listdir(os.path.dirname(path)) == ["1"]
+    name = "menu_given_back"
+    tables.reset_table(spark, name, os.path.join(tmp_dir, "given"))
+    with pytest.raises(KeyError), tables.reserved_ids(spark, name, 5) as first:
+        raise KeyError(first)
+    with tables.reserved_ids(spark, name, 3) as first:
+        assert first == 1
+    with tables.reserved_ids(spark, name, 2) as first:
+        assert first == 4
+    tables.drop_table(spark, name)

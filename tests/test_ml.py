@@ -111,21 +111,61 @@ def test_fixed_naming_and_inertia(spark):
     assert math.isclose(cost, brute, rel_tol=1e-9)
 
 
-def test_default_start_does_not_depend_on_layout_and_convergence_is_required(spark):
-    import pytest
+def test_default_start_does_not_depend_on_layout_and_the_step_limit_returns(spark):
     items = views.items(spark, SF001).persist()
     base = None
     for n in (1, 4, 17):
         res = classify(items.repartition(n), FEATURES, 3)
         got = sorted((r.id, r.cluster, r.category) for r in res.assigned.collect())
         base = base or got
-        assert got == base
+        assert got == base and res.converged
     assert 1 < res.iterations < 300
-    with pytest.raises(RuntimeError, match="did not converge"):
-        classify(items, FEATURES, 3, max_iter=1)
+    short = classify(items, FEATURES, 3, max_iter=1)
+    assert (short.iterations, short.converged) == (1, False)
+    assert short.assigned.where("category IS NULL").count() == 0
     items.unpersist()
 
 
+def _plain_lloyd(z, k, tol, steps=300):
+    cents = z[:k].copy()
+    limit = tol * z.var(axis=0).mean()
+    for it in range(1, steps + 1):
+        near = ((z[:, None, :] - cents[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([z[near == c].mean(axis=0) if (near == c).any() else cents[c] for c in range(k)])
+        moved, cents = ((new - cents) ** 2).sum(), new
+        if moved <= max(limit, 1e-18):
+            break
+    return cents, it
+
+
+def test_lloyd_stops_by_the_share_of_the_mean_variance(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((2000, 7)) * [1, 5, 9, 1, 2, 3, 0]         # no clusters at all, one constant feature
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)],
+                               "id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    sd = np.where(x.std(axis=0) < 1e-12, 1, x.std(axis=0))
+    z = (x - x.mean(axis=0)) / sd
+    steps = {}
+    for tol in (1e-2, 1e-4, 0.0):
+        res = classify(df, FEATURES, 3, start="first", tol=tol)
+        cents, steps[tol] = _plain_lloyd(z, 3, tol)
+        assert res.converged and res.iterations == steps[tol]
+        assert np.allclose(res.centroids, cents, atol=1e-9)
+    assert steps[1e-2] < steps[1e-4] < steps[0.0]
+
+
+def test_generated_code_does_not_hold_the_centroids(spark, tmp_dir):
+    from platelens.operators.kmeans import ZERO, nearest_step
+    zc = ["a", "b"]
+    spark.range(100).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(0).alias(ZERO)).write.parquet(tmp_dir + "/z")
+    z = spark.read.parquet(tmp_dir + "/z")
+    explain = spark._jvm.PythonSQLUtils.explainString
+    rng = np.random.default_rng(1)
+    codes = {explain(nearest_step(z, zc, rng.random((3, 2)).tolist())._jdf.queryExecution(), "codegen")
+             .split("Generated code:", 1)[1] for _ in range(6)}
+    assert len(codes) == 1
+
+
 def test_infinite_and_text_features_are_kept_without_category(spark):
     items = views.items(spark, SF001)
     odd = items.withColumn("sugar", F.when(F.col("id") == 3, "1e400").when(F.col("id") == 4, "trace")
@@ -139,3 +179,19 @@ def test_infinite_and_text_features_are_kept_without_category(spark):
 def test_no_rows_give_no_clusters(spark):
     res = classify(views.items(spark, SF001).limit(0), FEATURES, 3)
     assert res.centroids == [] and res.assigned.collect() == []
+
+
+def test_moments_in_one_pass_keep_their_digits(spark):
+    from platelens.operators.pca import moments, principal_axes
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3)) * [1, 1e-3, 0] + [1e9, 5, 7]
+    x[:, 1] += x[:, 0] - 1e9
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(7)
+    stats, cov = moments(df, ["a", "b", "c"])
+    assert stats["c"][1] == 1.0 and np.allclose([stats[f][0] for f in "abc"], x.mean(axis=0))
+    z = (x - x.mean(axis=0)) / np.array([stats[f][1] for f in "abc"])
+    assert np.allclose(cov, np.cov(z.T, ddof=0), atol=1e-6)
+    axes, share = principal_axes(cov)
+    assert np.allclose(np.abs(axes[0]), [0.5 ** 0.5, 0.5 ** 0.5, 0], atol=1e-3) and abs(sum(share) - 1) < 1e-6
+    stats, cov = moments(df.limit(0), ["a", "b"])
+    assert stats == {"a": (0.0, 1.0), "b": (0.0, 1.0)} and not cov.any()

@@ -48,3 +48,25 @@ def test_fact_scan_reads_only_needed_columns(spark):
 def test_fact_queries_no_cartesian(spark, name):
     s = _plan(E.queries()[name](spark, SF001))
     assert "CartesianProduct" not in s and "BroadcastNestedLoopJoin" not in s
+
+
+@pytest.mark.parametrize("name", ["max_calorie_items_facts", "max_calorie_items_facts_listed"])
+def test_no_sort_aggregate_over_the_lines(spark, name):
+    s = _plan(E.queries()[name](spark, SF001))
+    assert "SortAggregate" not in s and "HashAggregate" in s
+
+
+def test_deep_pages_hold_one_range(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("k"), (F.col("id") % 7).cast("string").alias("s"))
+    rows = sorted(map(tuple, df.collect()), key=lambda r: (r[1], -r[0]))
+    sort = [("s", "asc"), ("k", "desc")]
+    for offset, limit in ((2500, 40), (1, 3), (4990, 40), (5000, 5), (9000, 5), (4000, None)):
+        page = reports.browse(df, sort, limit, offset, shallow=0)
+        want = rows[offset:] if limit is None else rows[offset:offset + limit]
+        assert [tuple(r) for r in page.collect()] == want
+    page = reports.browse(df, sort, 40, 2500, shallow=0)
+    text = page._sc._jvm.PythonSQLUtils.explainString(page._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(_mid" in text and "LessThan(_mid" in text      # the scan skips the other ranges
+    assert page.sparkSession.range(0).select("id").count() == 0
+    assert reports.browse(df.limit(0), sort, 10, 10, shallow=0).collect() == []
