@@ -9,12 +9,14 @@ result depends neither on partitions nor on cores:
 * ``first``: the k rows with the smallest ids;
 * ``hash`` (default): the k rows with the smallest md5 of ``seed:id``.
 
-The id and features are written once as a narrow table; each step is one
+The id and features are written once as a narrow table; each step is one SQL
 aggregate over it (cluster -> feature means) that returns k rows. The centroids
 are one array literal, and their places in it are counted from a column of
 zeros: generated code then refers to the array as an object, so it is the same
 in every step and compiled once (a plain number, or an element that the
-optimizer can fold into one, becomes part of the code). ``mllib_kmeans``
+optimizer can fold into one, becomes part of the code). The steps run in a child
+session with k shuffle partitions and without re-planning: k rows per task are
+all they shuffle. ``mllib_kmeans``
 (k-means|| start) stays available; its result depends on the partition layout.
 
 Naming (``name_clusters``) is by centroid, not by cluster id, so it does not
@@ -25,13 +27,16 @@ names are ``cluster_<r>`` with r the rank by mean calories (1 = most).
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORY_BY_CLUSTER, FEATURES
-from ..session import scratch_table
+from ..session import scratch_folder, scratch_scope, scratch_table
 from .nulls import coerce_features, valid_feature_flag
 from .scaling import feature_stats, standardize
 
@@ -72,17 +77,37 @@ def nearest(zcols: list[str], centroids: list[list[float]]) -> Column:
     return F.expr(_argmin_sql([_sq_dist_sql(zcols, [_num(v) for v in c]) for c in centroids]))
 
 
-def nearest_step(pts: DataFrame, zcols: list[str], centroids: list[list[float]]) -> DataFrame:
-    """``pts`` (with the column ZERO) as (cluster, zcols): ``nearest`` in code that
-    does not change with the centroids. The differences are columns of their own, so
-    the planner finds no common parts to take out (their order in the code would
-    follow the values)."""
-    k, d = len(centroids), len(zcols)
+def step_sql(view: str, zcols: list[str], centroids: list[list[float]]) -> str:
+    """One step over ``view`` (with the column ZERO): (cluster, means of zcols) in
+    code that does not change with the centroids. The differences are columns of
+    their own, so the planner finds no common parts to take out (their order in
+    the code would follow the values)."""
+    d, cols = len(zcols), ", ".join(f"`{z}`" for z in zcols)
     flat = f"array({', '.join(_num(v) for c in centroids for v in c)})"
-    diffs = [f"`{z}` - _cents[{ZERO} + {i * d + j}] AS _d_{i}_{j}" for i in range(k) for j, z in enumerate(zcols)]
-    dists = [" + ".join(f"_d_{i}_{j} * _d_{i}_{j}" for j in range(d)) for i in range(k)]
-    return (pts.select("*", F.expr(flat).alias("_cents")).selectExpr(*[f"`{z}`" for z in zcols], *diffs)
-            .select(F.expr(_argmin_sql(dists)).alias("cluster"), *zcols))
+    diffs = ", ".join(f"`{z}` - _cents[{ZERO} + {i * d + j}] AS _d_{i}_{j}"
+                      for i in range(len(centroids)) for j, z in enumerate(zcols))
+    dists = [" + ".join(f"_d_{i}_{j} * _d_{i}_{j}" for j in range(d)) for i in range(len(centroids))]
+    means = ", ".join(f"avg(`{z}`) AS `{z}`" for z in zcols)
+    return (f"SELECT cluster, {means} FROM (SELECT {_argmin_sql(dists)} AS cluster, {cols} FROM (SELECT {cols}, {diffs} "
+            f"FROM (SELECT *, {flat} AS _cents FROM {view}))) GROUP BY cluster")
+
+
+@contextmanager
+def _points(pts: DataFrame, columns: list[str], k: int) -> Iterator[tuple[SparkSession, str]]:
+    """A child session for the steps and its view of ``pts`` (``columns``, ZERO), written once."""
+    spark = pts.sparkSession
+    with scratch_scope(spark):
+        table = pts.select(*columns, F.lit(0).alias(ZERO))
+        path = scratch_folder(table, "points")
+        child = spark.newSession()
+        child.conf.set("spark.sql.adaptive.enabled", "false")
+        child.conf.set("spark.sql.shuffle.partitions", str(k))
+        view = f"points_{uuid.uuid4().hex[:12]}"
+        child.read.schema(table.schema).parquet(path).createOrReplaceTempView(view)
+        try:
+            yield child, view
+        finally:
+            child.catalog.dropTempView(view)
 
 
 def start_rows(pts: DataFrame, zcols: list[str], k: int, start: str, seed: int, id_col: str) -> list[list[float]]:
@@ -100,24 +125,22 @@ def lloyd(pts: DataFrame, zcols: list[str], k: int = 3, max_iter: int = MAX_STEP
     (centroids, steps, whether it settled). See the module docstring for the stop;
     with ``tol=0`` the centroids stand still but for rounding. An empty cluster
     keeps its centroid; fewer rows than k give fewer clusters, no rows none."""
-    cents = start_rows(pts, zcols, k, start, seed, id_col)
-    if not cents:
-        return [], 0, True
-    if ZERO not in pts.columns:
-        pts = pts.withColumn(ZERO, F.lit(0))
-    spread = pts.agg(*[F.var_pop(c) for c in zcols]).first()
-    limit = max(tol * sum(spread) / len(zcols), ROUNDING)
-    for it in range(1, max_iter + 1):
-        rows = (nearest_step(pts, zcols, cents).groupBy("cluster")
-                .agg(*[F.avg(c).alias(c) for c in zcols]).collect())       # k rows
-        new = [list(c) for c in cents]
-        for r in rows:
-            new[r["cluster"]] = [float(r[c]) for c in zcols]
-        moved = sum((a - b) ** 2 for x, y in zip(new, cents) for a, b in zip(x, y))
-        cents = new
-        if moved <= limit:
-            return cents, it, True
-    return cents, max_iter, False
+    with _points(pts, [id_col, *zcols], k) as (spark, view):
+        points = spark.table(view)
+        cents = start_rows(points, zcols, k, start, seed, id_col)
+        if not cents:
+            return [], 0, True
+        spread = points.agg(*[F.var_pop(c) for c in zcols]).first()
+        limit = max(tol * sum(spread) / len(zcols), ROUNDING)
+        for it in range(1, max_iter + 1):
+            new = [list(c) for c in cents]
+            for r in spark.sql(step_sql(view, zcols, cents)).collect():        # k rows
+                new[r["cluster"]] = [float(r[c]) for c in zcols]
+            moved = sum((a - b) ** 2 for x, y in zip(new, cents) for a, b in zip(x, y))
+            cents = new
+            if moved <= limit:
+                return cents, it, True
+        return cents, max_iter, False
 
 
 def mllib_kmeans(pts: DataFrame, zcols: list[str], k: int = 3, seed: int = 0,
@@ -159,7 +182,8 @@ def category_column(names: dict[int, str], cluster: str = "cluster") -> Column:
 
 def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
              method: str = "lloyd", max_iter: int = MAX_STEPS, id_col: str = "id",
-             seed: int = 0, naming: str = "centroid", start: str = "hash", tol: float = TOL) -> KMeansResult:
+             seed: int = 0, naming: str = "centroid", start: str = "hash", tol: float = TOL,
+             fit_on: DataFrame | None = None) -> KMeansResult:
     """Add ``cluster`` and ``category`` to every item.
 
     Feature columns may be text or numbers; they are coerced to finite doubles
@@ -171,6 +195,9 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
     (cluster id -> name; ids outside the map get a null category), which is
     only meaningful for one particular start.
 
+    ``fit_on`` may give the same rows' ids and features more cheaply than ``items``
+    itself, e.g. from before a join that adds other columns.
+
     The fit reads a narrow table (id and features) written once under the
     shared ``spark.checkpoint.dir`` and removed after the fit; the assignment is
     an expression over the items themselves, without a join.
@@ -178,10 +205,10 @@ def classify(items: DataFrame, features: list[str] = FEATURES, k: int = 3,
     items = coerce_features(items, features)
     valid = valid_feature_flag(features)
     zcols = ["z_" + f for f in features]
-    narrow = items.where(valid).select(id_col, *features, F.lit(0).alias(ZERO))
-    with scratch_table(narrow, "features") as fit_rows:
+    source = items if fit_on is None else coerce_features(fit_on, features)
+    with scratch_table(source.where(valid).select(id_col, *features), "features") as fit_rows:
         stats = feature_stats(fit_rows, features)
-        z = standardize(fit_rows, features, stats).select(id_col, ZERO, *zcols)
+        z = standardize(fit_rows, features, stats).select(id_col, *zcols)
         cost, settled = None, True
         if method == "lloyd":
             cents, steps, settled = lloyd(z, zcols, k, max_iter, id_col, start, seed, tol)

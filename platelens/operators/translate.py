@@ -97,12 +97,12 @@ def add_translation(items: DataFrame, lookup: DataFrame, lexicon: DataFrame | No
         lookup = dedupe_lookup(lookup)
     else:  # no row order given: keys are expected unique; max keeps it deterministic
         lookup = lookup.groupBy("item").agg(F.max("item_gr").alias("item_gr"))
-    names = (names if names is not None else items).select(item)
+    counts = (names if names is not None else items).groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    names = counts.where("n > 0").select(item)      # the filter keeps this the same aggregate, which is then run once
     if translate_word is not None:
         missing = names.distinct().join(lookup.select(F.col("item").alias(item)), item, "left_anti")
         lexicon = lexicon_from_function(missing, translate_word, item)
     lexicon = dedupe_lexicon(lexicon)
     table = translation_table(names, lookup, lexicon, item, out)
     base = items.drop(out) if out in items.columns else items
-    counts = names.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
     return spread_join(base, table, [item], counts)

@@ -240,7 +240,7 @@ def q_standardize(spark, d):
 
 
 def _lloyd_categorized(spark, d):
-    return classify(views.translated_items(spark, d), FEATURES, 3, start="first").assigned
+    return classify(views.translated_items(spark, d), FEATURES, 3, start="first", fit_on=views.items(spark, d)).assigned
 
 
 def q_kmeans_fixed_start(spark, d):
@@ -249,7 +249,7 @@ def q_kmeans_fixed_start(spark, d):
 
 def q_kmeans_fixed_names(spark, d):
     """Categories by the fixed cluster -> name map."""
-    res = classify(views.translated_items(spark, d), FEATURES, 3, start="first", naming="fixed")
+    res = classify(views.translated_items(spark, d), FEATURES, 3, start="first", naming="fixed", fit_on=views.items(spark, d))
     return res.assigned.select("id", "cluster", "category")
 
 
@@ -261,7 +261,7 @@ def q_category_profile(spark, d):
 
 
 def q_kmeans_categories(spark, d):
-    res = classify(views.translated_items(spark, d), FEATURES, 3)
+    res = classify(views.translated_items(spark, d), FEATURES, 3, fit_on=views.items(spark, d))
     return res.assigned.select("id", "restaurant", "item", "cluster", "category")
 
 

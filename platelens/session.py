@@ -97,16 +97,20 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         _SCOPE.reset(token)
 
 
-def scratch_written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as parquet under the shared folder and read back: it is
-    evaluated once, its rows keep their place, and lost executors do no harm."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+def scratch_folder(df: DataFrame, name: str) -> str:
+    """Write ``df`` as parquet into a fresh folder under the shared one; its path."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     scope = _SCOPE.get()
     if scope is not None:
         scope.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def scratch_written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet under the shared folder and read back: it is
+    evaluated once, its rows keep their place, and lost executors do no harm."""
+    return df.sparkSession.read.schema(df.schema).parquet(scratch_folder(df, name))
 
 
 @contextmanager

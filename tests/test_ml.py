@@ -155,15 +155,19 @@ def test_lloyd_stops_by_the_share_of_the_mean_variance(spark):
 
 
 def test_generated_code_does_not_hold_the_centroids(spark, tmp_dir):
-    from platelens.operators.kmeans import ZERO, nearest_step
-    zc = ["a", "b"]
+    from platelens.operators.kmeans import ZERO, step_sql
     spark.range(100).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(0).alias(ZERO)).write.parquet(tmp_dir + "/z")
-    z = spark.read.parquet(tmp_dir + "/z")
+    spark.read.parquet(tmp_dir + "/z").createOrReplaceTempView("code_points")
     explain = spark._jvm.PythonSQLUtils.explainString
     rng = np.random.default_rng(1)
-    codes = {explain(nearest_step(z, zc, rng.random((3, 2)).tolist())._jdf.queryExecution(), "codegen")
-             .split("Generated code:", 1)[1] for _ in range(6)}
-    assert len(codes) == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        texts = [explain(spark.sql(step_sql("code_points", ["a", "b"], rng.random((3, 2)).tolist()))._jdf.queryExecution(),
+                         "codegen") for _ in range(6)]
+        codes = {"\n".join(line for line in text.splitlines() if line.startswith("/* ")) for text in texts}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(codes) == 1 and len(codes.pop()) > 1000
 
 
 def test_infinite_and_text_features_are_kept_without_category(spark):
