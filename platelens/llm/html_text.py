@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,10 @@ STOP_WORDS = frozenset((
     "el los las y del al con por su es una para como más o se lo no"
 ).split())
 
-# fixed values: elements whose content is never text of the page
-_OPAQUE = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "head", "canvas")
+# fixed values: elements whose content is never text of the page; only the first two go on to
+# the page's end where they are not closed
+_RAW = ("script", "style")
+_OPAQUE = (*_RAW, "noscript", "template", "iframe", "object", "svg", "head", "canvas", "annotation", "annotation-xml")
 # fixed values: elements that hold page furniture
 _FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "option", "textarea", "dialog", "menu", "label",
               "fieldset", "datalist"}
@@ -38,10 +41,12 @@ _FURNITURE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
     "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "sidebar", "menu", "nav",
     "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "reply",
-    "replies", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
+    "replies", "responses", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe",
     "subscription", "popup", "modal", "dialog", "overlay", "widget", "widgets", "login", "signup", "search",
     "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "contentinfo", "complementary",
 }
+# fixed values: words that make an article element a reader's comment
+_COMMENT_WORDS = {"comment", "comments", "reply", "replies", "response", "responses"}
 _FURNITURE_OUTSIDE_ARTICLE = {"header", "topbar", "site-header"}
 _ARTICLE = {"article", "main"}
 # fixed values: elements that begin and end a block
@@ -56,7 +61,8 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))",
+    # a quote delimits a value only right after the equals sign
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^=>]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(?:>|\Z))",
     re.DOTALL)
 _OPAQUE_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for t in _OPAQUE}
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/>]|\Z)""",
@@ -70,17 +76,22 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 MAX_LINK_DENSITY = 0.33
 SHORT, LONG = 70, 200            # characters
 STOPS_LOW, STOPS_HIGH = 0.20, 0.30
+STOPS_NONE = 0.05                # of a page's words: below, it is in no language of the list
 
 
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> str:
     """"yes" (by element, or hidden), "named" (by a word of class, id or role) or ""."""
     if tag in _FURNITURE or (tag == "header" and not in_article):
         return "yes"
-    if tag in _ARTICLE or tag in ("body", "html") or len(attrs) < 4:
+    if tag in ("main", "body", "html") or len(attrs) < 4:
         return ""
     named = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
+        if tag == "article":             # furniture only as a reader's comment
+            if name in ("class", "id") and set(_WORDS.findall(_ABOUT.sub("", _CAMEL.sub("-", value).lower()))) & _COMMENT_WORDS:
+                return "yes"
+            continue
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return "yes"
         if name == "style":
@@ -110,13 +121,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     An element with a furniture word in its class, id or role is furniture unless
     it holds an article element with no less good text than the page's article
     elements outside of such elements have or, on a page without article
-    elements, several blocks that make most of the page's good text.
+    elements, most of the page's good text, in several blocks or all of it.
     """
     out: list[tuple[str, float, bool, int]] = []
     within: list[int] = []                   # of each block, the innermost named element
     outer, holds = [-1], [False]             # of each named element, the one around it; whether it has an article
     stack: list[tuple[str, bool, int]] = []  # open elements; whether each begins furniture; the named one around
     state = {"furniture": 0, "article": 0, "a": 0, "named": 0}
+    opened: Counter[str] = Counter()         # open elements by name
+    in_blocks: list[int] = []                # places of the open block elements in the stack
+    unclosed: set[str] = set()               # opaque elements that no later tag closes
     articles = 0
     cur = _Block(False, 0, 0)
 
@@ -131,7 +145,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     def pop(n: int) -> None:
         if len(stack) > n:
             state["named"] = stack[n][2]
+        while in_blocks and in_blocks[-1] >= n:
+            in_blocks.pop()
         for tag, skip, _ in stack[n:]:
+            opened[tag] -= 1
             state["furniture"] -= skip
             state["article"] -= tag in _ARTICLE
             state["a"] -= tag == "a"
@@ -158,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if opened[tag] else None
             changes = tag in _BLOCKS or (at is not None and (any(s for _, s, _ in stack[at:]) or stack[at][2] != state["named"]))
             if at is not None:
                 pop(at)
@@ -166,12 +183,14 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                 close_block()
             continue
         if tag in _OPAQUE:
-            if not m["attrs"].rstrip(">").endswith("/"):
+            if not m["attrs"].rstrip(">").endswith("/") and tag not in unclosed:
                 end = _OPAQUE_END[tag].search(page, pos)
                 if end:
                     pos = end.end()
-                elif tag not in ("head",):
+                elif tag in _RAW:
                     pos = n
+                else:                    # read what follows as if the tag were not there
+                    unclosed.add(tag)
             continue
         if tag == "br":
             cur.breaks += 1
@@ -181,7 +200,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                 cur.pieces.append(" ")
             continue
         if tag in _BLOCKS and stack:     # a block ends an open paragraph
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCKS), None)
+            at = in_blocks[-1] if in_blocks else None
             if at is not None and (stack[at][0] == "p" or stack[at][0] in _CLOSES.get(tag, ())):
                 pop(at)
         if tag in _VOID:
@@ -190,7 +209,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             continue
         kind = _is_furniture(tag, m["attrs"] or "", state["article"] > 0)
         skip = kind == "yes"
+        if tag in _BLOCKS:
+            in_blocks.append(len(stack))
         stack.append((tag, skip, state["named"]))
+        opened[tag] += 1
         if kind == "named":
             outer.append(state["named"])
             holds.append(False)
@@ -223,11 +245,18 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
         many[outer[at]] += many[at]
     bad = [False]
     for at in range(1, len(outer)):
-        main = size[at] >= clean if holds[at] else plain and many[at] > 1 and 2 * size[at] > size[0]
+        main = size[at] >= clean if holds[at] else (
+            plain and 2 * size[at] > size[0] and (many[at] > 1 or size[at] == size[0]))
         bad.append(bad[outer[at]] or not main)
     return [(text, links, furniture or bad[at], article) for (text, links, furniture, article), at in zip(out, within)]
 
 
+def _stops(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text that has some."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'*#$%&|") in STOP_WORDS for w in words), len(words)
+
+
 def _first_pass(text: str, links: float, article: bool) -> str:
     """good, bad, or a block still to be decided: near (rather good), low (too few
     stop words) or short."""
@@ -235,8 +264,8 @@ def _first_pass(text: str, links: float, article: bool) -> str:
         return "bad"
     if len(text) < SHORT:
         return "bad" if links and not article else "short"
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'*#$%&|") in STOP_WORDS for w in words) / len(words)
+    found, words = _stops(text)
+    stops = found / words
     if stops >= STOPS_HIGH:
         return "good" if len(text) > LONG and links <= MAX_LINK_DENSITY else "near"
     return "near" if stops >= STOPS_LOW and links <= MAX_LINK_DENSITY else "low"
@@ -280,12 +309,19 @@ def main_text(page: str | None) -> str:
     themselves: few stop words alone make none of them bad (titles, code, terse
     prose, other languages), but those that are also full of links are, and the
     others depend on their neighbours. The blocks outside then see these as
-    neighbours.
+    neighbours. On a page whose plain blocks hold next to no stop words, which is
+    in no language of the list, few of them say nothing: length and links decide.
     """
     if not page:
         return ""
     found = blocks(page)
     labels = ["bad" if furniture else _first_pass(text, links, article > 0) for text, links, furniture, article in found]
+    if "low" in labels and not any(x in ("good", "near") for x in labels):
+        prose = [_stops(text) for (text, links, _, _), x in zip(found, labels) if x == "low" and links <= MAX_LINK_DENSITY]
+        if sum(s for s, _ in prose) < STOPS_NONE * sum(n for _, n in prose):
+            labels = ["good" if x == "low" and links <= MAX_LINK_DENSITY and len(text) > LONG else
+                      "near" if x == "low" and links <= MAX_LINK_DENSITY else x
+                      for (text, links, _, _), x in zip(found, labels)]
     inside: dict[int, list[int]] = {}
     for i, (_, _, furniture, article) in enumerate(found):
         if article and not furniture:

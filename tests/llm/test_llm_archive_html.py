@@ -131,3 +131,74 @@ def test_extract_edges(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert [r[0] for r in rows(got)].count(1) == 2 and (None, None, "", 0) in rows(got)
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+_PROSE = "It was the best of times and it was the worst of times, which is what the people of the town said of it. "
+
+
+def _page(body):
+    return f"<html><body><nav><a href=x>Home</a></nav>{body}<footer>all rights</footer></body></html>"
+
+
+def test_pages_outside_the_listed_languages_keep_their_text():
+    russian = "Вчера вечером жители города собрались у старой мельницы, чтобы обсудить будущее реки. " * 4
+    chinese = "昨天晚上城里的居民聚集在老磨坊旁边讨论河流的未来。" * 12
+    for text in (russian.strip(), chinese):
+        page = _page(f"<p>{text}</p><p>{text[:90].strip()}</p><p><a href=y>{text[:80]}</a></p>")
+        assert html_text.main_text(page) == "\n".join([text, text[:90].strip()])
+
+
+def test_only_script_and_style_go_on_to_the_end():
+    p = f"<p>{_PROSE * 3}</p>"
+    for tag in ("svg", "noscript", "iframe", "canvas", "object", "template", "annotation"):
+        assert html_text.main_text(_page(f"{p}<{tag}>{p}")).count("best of times") == 6, tag
+        assert html_text.main_text(_page(f"{p}<{tag}>gone</{tag}>{p}")).count("best of times") == 6
+        assert "gone" not in html_text.main_text(_page(f"{p}<{tag}>gone</{tag}>{p}"))
+    for tag in ("script", "style"):
+        assert html_text.main_text(_page(f"{p}<{tag}>{p}")).count("best of times") == 3
+    assert "where x = 2 holds" in html_text.main_text(_page(f"<p>{_PROSE * 3} where <math><mi>x</mi> = <mn>2</mn></math> holds</p>"))
+
+
+def test_a_quote_in_an_unquoted_value_pairs_with_nothing():
+    p = f"<p title=it's>{_PROSE * 3}</p>"
+    assert html_text.main_text(_page(p + f"<p>it's {_PROSE * 3}</p>" + p)).count("best of times") == 9
+    assert html_text.main_text(_page(f"<p title='a > b' x = \"c > d\">{_PROSE * 3}</p>")) == (_PROSE * 3).strip()
+
+
+def test_one_block_in_a_wrapper_with_a_furniture_word():
+    for word in ("widget-post", "search"):
+        assert html_text.main_text(_page(f"<div class='{word}'><p>{_PROSE * 4}</p></div>")) == (_PROSE * 4).strip()
+
+
+def test_comments_as_articles_and_responses_go():
+    main = f"<article><p>{_PROSE * 4}</p><article class='comment'><p>gone {_PROSE * 4}</p></article></article>"
+    more = f"<section id=responses><p>gone {_PROSE * 4}</p></section><article id='comment-7'><p>gone {_PROSE * 4}</p></article>"
+    assert html_text.main_text(_page(main + more)) == (_PROSE * 4).strip()
+
+
+def test_stray_unclosed_and_deep_tags_take_linear_time():
+    import time
+    n = 1 << 20
+    for unit in ("<b>", "</i>", "<b></i>", "<b><p></p>", "<svg>", "<iframe><b>", "<div>", "<p title='", "<p x=\"'", "<!--", "<![CDATA[",
+                 "<li>", "<td><b>", "<a =", "</p>", "<article><p>", "<div class=ad>"):
+        t = time.time()
+        html_text.main_text(unit * (n // len(unit)))
+        assert time.time() - t < 6, unit
+    t = time.time()
+    html_text.main_text("<b>" * 100_000 + "</i>" * 100_000)
+    assert time.time() - t < 2
+
+
+def test_all_plain_good_blocks_are_kept_in_order():
+    import random
+    r = random.Random(5)
+    words = "the of and to in river town people said is it was that for with on mill bridge water old".split()
+    for _ in range(60):
+        want, parts = [], []
+        for i in range(r.randint(1, 8)):
+            text = " ".join(r.choice(words) for _ in range(r.randint(60, 90)))
+            want.append(f"b{i} the of and {text}")
+            tag = r.choice(["p", "div", "section", "blockquote"])
+            parts.append(f"<{tag} {r.choice(['', 'title=a', 'data-x=1>2'.replace('>2', ''), 'lang=en'])}>{want[-1]}</{tag}>")
+            parts.append(r.choice(["", "<br>", "<hr>", "</b>", "<i>", "<svg>", "<!-- x -->", "<nav><a href=z>go</a></nav>"]))
+        assert html_text.main_text(_page("".join(parts))) == "\n".join(want)
