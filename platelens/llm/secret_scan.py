@@ -42,6 +42,11 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.7, "authorization": 0.8, "privatekey": 1.0,
     "accesskey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "clientsecret": 1.0, "jwt": 0.7,
 }
+_ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY")
+# fixed values: words of prompts and sentences, which no pass phrase is made of
+_SENTENCE = {"the", "and", "for", "not", "your", "you", "please", "enter", "must", "with", "this", "that", "from", "here",
+             "are", "was", "has", "have", "should", "will", "can", "cannot", "invalid", "required", "missing", "new", "old",
+             "password", "passwd", "secret", "token", "key", "error", "failed", "wrong", "valid", "value", "string", "user"}
 # fixed values: literals that stand for a secret without being one
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "none", "null", "true", "false",
                 "undefined", "your_password", "your_token", "your_api_key", "xxxxxxxx", "todo", "test"}
@@ -91,14 +96,36 @@ def sensitivity(name: str) -> float:
 
 def strength(literal: str) -> float:
     """How much a literal looks like a secret, 0 to 1: length and character
-    entropy; placeholders and plain lower-case words are 0."""
+    entropy; placeholders and plain lower-case words are 0, private keys in armour
+    and pass phrases 1."""
     if len(literal) < 8 or literal.lower() in PLACEHOLDERS:
         return 0.0
+    if " " in literal and (_ARMOUR.search(literal) or _is_phrase(literal)):
+        return 1.0
     if literal.isalpha() and (literal.islower() or literal.istitle()):
         return 0.0
     return _spread(Counter(literal))
 
 
+def _is_phrase(literal: str) -> bool:
+    """Four to twelve plain words that make no sentence: none of its function words."""
+    words = literal.split(" ")
+    return 4 <= len(words) <= 12 and all(w.isalpha() and w.islower() and len(w) > 2 and w not in _SENTENCE for w in words)
+
+
+def _by_counts(counts: Counter[str]) -> float | None:
+    """Strength of a literal of over 16 characters by their counts; None if the
+    literal itself must be seen."""
+    if " " in counts:
+        return None
+    if all(map(str.islower, counts)) and all(map(str.isalpha, counts)):
+        return 0.0
+    if not all(map(str.isalpha, counts)) or (
+            all(c.islower() or c.isupper() for c in counts) and sum(n for c, n in counts.items() if c.isupper()) > 1):
+        return _spread(counts)           # no word
+    return None
+
+
 def _spread(counts: Counter[str]) -> float:
     """Strength by length and entropy alone, from the counts of the characters."""
     if len(counts) < 4 or " " in counts:
@@ -151,12 +178,8 @@ class _Value:
         for a, b in new:
             counts.update(text[a:b])
         self.counts = counts
-        if counts.total() > 16:          # longer than any placeholder
-            if all(map(str.islower, counts)) and all(map(str.isalpha, counts)):
-                return 0.0
-            if not all(map(str.isalpha, counts)) or (
-                    all(c.islower() or c.isupper() for c in counts) and sum(n for c, n in counts.items() if c.isupper()) > 1):
-                return _spread(counts)   # no word
+        if counts.total() > 16 and (known := _by_counts(counts)) is not None:    # longer than any placeholder
+            return known
         return strength("".join(text[a:b] for a, b in self.spans()))
 
     def tell(self, found: set[tuple[int, int]]) -> None:
@@ -193,6 +216,50 @@ class _Frame:
         return alts[0] if len(alts) == 1 else [_Value([_Value(x) for x in alts], True)] if alts else []
 
 
+class _Bare:
+    """Where bare words end. A run of their characters is measured once, also where
+    many targets lie in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.start = self.end = self.solid = 0
+
+    def at(self, pos: int) -> int:
+        """The end of the bare word at ``pos``, ``pos`` if there is none."""
+        if not self.start <= pos < self.end:
+            m = _BARE.match(self.text, pos)
+            if not m:
+                return pos
+            self.start, self.end = m.span()
+            self.solid = self.end
+            while self.solid > pos and self.text[self.solid - 1] == "=":
+                self.solid -= 1
+        return self.end
+
+    def assigns(self, pos: int) -> bool:
+        """Whether the word at ``pos`` has an equals sign before its padding: no name
+        or sum of names, and no part of a chain."""
+        return 0 <= self.text.find("=", pos, self.end) < self.solid
+
+
+def _suffix_strengths(text: str, spans: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Strengths of long spans that share their end with others, each character read once."""
+    by_end: dict[int, list[int]] = {}
+    for a, b in spans:
+        if b - a > 16:
+            by_end.setdefault(b, []).append(a)
+    out = {}
+    for b, starts in by_end.items():
+        if len(starts) > 1:
+            counts, last = Counter(), b
+            for a in sorted(starts, reverse=True):
+                counts.update(text[a:last])
+                last = a
+                known = _by_counts(counts)
+                out[a, b] = strength(text[a:b]) if known is None else known
+    return out
+
+
 def _closings(text: str) -> dict[int, int]:
     """Where each parenthesis outside of literals is closed."""
     out, opened = {}, []
@@ -209,7 +276,7 @@ def _closings(text: str) -> dict[int, int]:
     return out
 
 
-def _expression(text: str, pos: int, closing: Callable[[], dict[int, int]]) -> tuple[list, int, bool]:
+def _expression(text: str, pos: int, closing: Callable[[], dict[int, int]], bare: _Bare) -> tuple[list, int, bool]:
     """The items of the value at ``pos``: spans, references (name, span) and
     values; where it ends; whether it is plain (no parentheses, calls or
     literals that may hold lines of their own)."""
@@ -269,8 +336,12 @@ def _expression(text: str, pos: int, closing: Callable[[], dict[int, int]]) -> t
             continue
         elif m := _KEYED.match(text, pos):
             pos, plain = m.end(), False
-        elif m := _BARE.match(text, pos):
-            a, b = m.span()
+        elif (b := bare.at(pos)) > pos:
+            a = pos
+            if len(frames) == 1 and bare.assigns(pos):
+                top.items.append((a, b))
+                end = b
+                break
             if text[b - 1] == "+" and b - a > 1 and _QUOTED.match(text, _LINES.match(text, b).end()):
                 b -= 1                   # name+"literal"
             top.items.append((text[a:b], (a, b), False))
@@ -358,10 +429,11 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     pending: list[_Value] = []
     order: list[_Value] = []
     closing = cache(lambda: _closings(text))
+    bare = _Bare(text)
     at = 0
     while m := _TARGET.search(text, at):
         name = m["name"] or m["gname"]
-        items, end, plain = _expression(text, m.end(), closing)
+        items, end, plain = _expression(text, m.end(), closing, bare)
         whole = _QUOTED.match(text, m.end()) or _BRACED.match(text, m.end())
         at = max(m.end(), end) if plain and whole else m.end() + (3 if text[m.end():m.end() + 3] in ('"""', "'''") else 0)
         if not items:
@@ -408,6 +480,7 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     for v in order:
         v.settle(len(text) + 1)
     found: set[tuple[int, int]] = set()
+    shared = _suffix_strengths(text, {v.items[0] for _, v in sensitive if len(v.items) == 1 and isinstance(v.items[0], tuple)})
     for weight, value in sensitive:
         stack, seen = [value], set()
         while stack:
@@ -419,7 +492,7 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
                 stack += v.items
             elif len(v.items) == 1 and isinstance(v.items[0], _Value):
                 stack.append(v.items[0])
-            elif weight * v.strength(text) >= least:
+            elif weight * (shared[v.items[0]] if len(v.items) == 1 and v.items[0] in shared else v.strength(text)) >= least:
                 v.tell(found)
     return sorted(found)
 

@@ -134,9 +134,38 @@ def test_lexed_source_syntax(text, want):
 
 
 @pytest.mark.parametrize("unit", ["# a = b\n", "a: b<", "a = (", "x = `", 'x = """', "a: b[", "k = k + k\n", "a =\n", "x = f(1, ", "a | b: ",
-                                  "token = a\n", "token = token + a\n", "token = '", "+x", "a:b ", "${a", "\\\n", "x=(a,"])
+                                  "token = a\n", "token = token + a\n", "token = '", "+x", "a:b ", "${a", "\\\n", "x=(a,",
+                                  "a=b+", "a=$b", "token=b+", "token=aB3+", "token=$b", "a=${b}+"])
 def test_lexing_is_not_quadratic(unit):
-    secret_scan.literal_spans("t = " + unit * (100_000 // len(unit)))
+    import time
+    took = []
+    for n in (50_000, 400_000):                      # eight times the text
+        t = time.time()
+        secret_scan.literal_spans("t = " + unit * (n // len(unit)))
+        took.append(time.time() - t)
+    assert took[1] < 24 * took[0] + 2
+
+
+def test_armoured_keys_and_pass_phrases():
+    for text, want in [
+            ('private_key = "-----BEGIN RSA PRIVATE KEY-----MIIEpAIBAAKCAQEA-----END RSA PRIVATE KEY-----"', True),
+            ('private_key = """\n-----BEGIN PRIVATE KEY-----\nMIIEpAIBAAKC AQEA\n-----END PRIVATE KEY-----\n"""', True),
+            ('password = "correct horse battery staple"', True), ('password = "please enter your password here"', False),
+            ('colour = "correct horse battery staple"', False), ('password = "the name of the user"', False)]:
+        assert bool(secret_scan.literal_spans(text)) is want, text
+        assert ("horse" in secret_scan.redact(text)) is (("horse" in text) and not want)
+
+
+def test_suffixes_of_one_bare_word_score_as_each_by_itself():
+    import random
+    r = random.Random(2)
+    for _ in range(40):
+        text = "".join(r.choice(["token=", "a=", "pwd=", "+", "b", "X9", "zQ", "aaaa", "/"]) for _ in range(30))
+        got = secret_scan.literal_spans(text)
+        spans = {(a, b) for a in range(len(text)) for b in (len(text),)}
+        shared = secret_scan._suffix_strengths(text, spans)
+        assert all(abs(v - secret_scan.strength(text[a:b])) < 1e-12 for (a, b), v in shared.items())
+        assert all(secret_scan.strength(text[a:b]) >= .5 for a, b in got)
 
 
 def test_literals_of_many_parts_and_long_names():
