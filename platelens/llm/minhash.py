@@ -75,8 +75,9 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.nd
     parts, counts = [], []
     for t in texts:
         words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        for w in set(words) - cache.keys():
-            cache[w] = digest(w)
+        for w in set(words):
+            if w not in cache:
+                cache[w] = digest(w)
         parts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
         counts.append(len(words))
     n = np.array(counts, np.int64)
