@@ -275,14 +275,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(node: np.ndarray, comp: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, percent: int
-               ) -> tuple[list[int], list[int]]:
+               ) -> tuple[list[int], list[int], np.ndarray]:
     """Links of similarity ``percent`` or more that, with the components known before
-    (``comp``), join all linked sets of one block."""
+    (``comp``), join all linked sets of one block; and of each its component's
+    first node. ``node`` is ascending."""
     _, ids = np.unique(hashes, return_inverse=True)
     mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
     size = np.diff(bounds)
     src, dst = [], []
     rest = np.ones(len(node), bool)
+    root = node.copy()
     for first in range(len(node)):
         if not rest[first]:
             continue
@@ -290,6 +292,7 @@ def _confirmed(node: np.ndarray, comp: np.ndarray, hashes: np.ndarray, bounds: n
         todo = [first]
         while todo:
             x = todo.pop()
+            root[x] = node[first]
             # sizes too different cannot be linked, sets of x's own component need not be
             own = comp == comp[x]
             at = np.flatnonzero(rest & ~own & (100 * size >= percent * size[x]) & (100 * size[x] >= percent * size))
@@ -306,11 +309,13 @@ def _confirmed(node: np.ndarray, comp: np.ndarray, hashes: np.ndarray, bounds: n
                 hit = np.r_[known, good]
             rest[hit] = False
             todo.extend(hit.tolist())
-    return src, dst
+    return src, dst, root
 
 
-def _block_links(members: DataFrame, by: list[str], shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) inside every group ``by`` of ``members`` (node, comp, _text)."""
+def _block_results(members: DataFrame, by: list[str], shingle: int, percent: int, linked: bool) -> DataFrame:
+    """What each group ``by`` of ``members`` (node, comp, _text) confirms: (a, b),
+    links if ``linked``, else every node that is not the first of its component in
+    the group, and that first node."""
     bounded_batches(members.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +329,10 @@ def _block_links(members: DataFrame, by: list[str], shingle: int, percent: int)
                 part = t.slice(s, e - s)
                 texts = part["_text"].to_pylist()
                 hashes, bounds = shingle_sets([texts[i] for i in at.tolist()], shingle)
-                a, b = _confirmed(node, part["comp"].to_numpy()[at], hashes, bounds, percent)
-                if a:
+                a, b, root = _confirmed(node, part["comp"].to_numpy()[at], hashes, bounds, percent)
+                if not linked:
+                    a, b = node[root != node], root[root != node]
+                if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return (members.select(*by, "node", "comp", "_text").repartition(*by).sortWithinPartitions(*by, "node")
@@ -339,12 +346,11 @@ def _blocks(members: DataFrame, turn: int) -> DataFrame:
     return members.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("nb")).cast("int"))
 
 
-def _recomposed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with comp, the component of their links and former comps."""
-    known = members.where("comp <> node").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-    found = written(components(links.unionByName(known)), "minhash-found")
-    return written(members.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-                   .drop("root"), "minhash-members")
+def _recomposed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` whose comp is in ``found`` (a, b) as a take b for it."""
+    found = written(found, "minhash-found")
+    return written(members.join(found, F.col("comp") == F.col("a"), "left").withColumn("comp", F.coalesce("b", "comp"))
+                   .drop("a", "b"), "minhash-members")
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -364,7 +370,8 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: i
                       "minhash-members")
     if members.count() > wanted.count():            # rows that agree in id and text
         members = written(members.dropDuplicates(["node"]), "minhash-members")
-    members = _recomposed(members, _block_links(members, ["cluster", "block"], shingle, percent))
+    # a set lies in one block, so a block's components need no more than a name each
+    members = _recomposed(members, _block_results(members, ["cluster", "block"], shingle, percent, False))
     small = members.where("blocks = 1").select("node", "comp")
     large = members.where("blocks > 1").drop("block")
     # rounds over one representative of each component, while they shrink
@@ -373,7 +380,7 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: i
         turn += 1
         heads = written(_blocks(large.where("node = comp"), turn), "minhash-heads")
         now, most = heads.agg(F.count(F.lit(1)), F.max("nb")).first()
-        large = _recomposed(large, _block_links(heads, ["cluster", "block"], shingle, percent))
+        large = _recomposed(large, _block_results(heads, ["cluster", "block"], shingle, percent, False))
         if most == 1 or (before is not None and 2 * now > before):
             break
         before = now
@@ -390,8 +397,11 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: i
              .withColumn("i", F.explode(F.expr("CASE WHEN array_contains(outside, block) "
                                                "THEN sequence(0, nb - 1) ELSE outside END")))
              .withColumn("lo", F.least("i", "block")).withColumn("hi", F.greatest("i", "block")))
-    large = _recomposed(large, _block_links(pairs, ["cluster", "lo", "hi"], shingle, percent))
-    return small.unionByName(large.select("node", "comp"))
+    more = _block_results(pairs, ["cluster", "lo", "hi"], shingle, percent, True)
+    known = large.where("comp <> node").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+    joined = components(more.unionByName(known)).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    large = large.withColumn("comp", F.col("node"))
+    return small.unionByName(_recomposed(large, joined).select("node", "comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
