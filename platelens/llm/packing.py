@@ -56,9 +56,11 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
 
 
 def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-         max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+         max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET,
+         ids: Column | None = None) -> DataFrame:
     """One row per window of every document: id, part, first_token, n_tokens,
-    bucket_length, batch_id, slot.
+    bucket_length, batch_id, slot, and with ``ids``, the documents' token ids (an
+    array of ``length`` of them), those of the window.
 
     ``length`` is any integer column of ``docs`` (default: words of the text; null
     counts as 0). A document of n tokens has ceil(n / max_length) windows, at
@@ -70,10 +72,13 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
     size = length if length is not None else word_count(F.col(f"`{text_col}`"))
     sizes = written(docs.select(F.col(f"`{id_col}`").alias("_id"),
                                 F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("_n"),
-                                F.monotonically_increasing_id().alias("_row")), "lengths")
+                                F.monotonically_increasing_id().alias("_row"),
+                                *([] if ids is None else [ids.alias("_ids")])), "lengths")
+    cut = [] if ids is None else [F.slice("_ids", F.col("part").cast("int") * max_length + 1, F.lit(max_length)).alias("ids")]
     last = F.greatest(F.ceil(F.col("_n") / max_length) - 1, F.lit(0))
-    windows = (sizes.select("_id", "_n", "_row", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
-               .withColumn("n_tokens", F.least(F.col("_n") - F.col("part") * max_length, F.lit(max_length))))
+    windows = (sizes.select(*sizes.columns, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+               .select("_id", "_row", "part", F.least(F.col("_n") - F.col("part") * max_length, F.lit(max_length)).alias("n_tokens"),
+                       *cut))
     # at most max_length + 1 rows
     hist = sorted(map(tuple, windows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()))
     lengths, counts = (np.array(x, np.int64) for x in (zip(*hist) if hist else ((), ())))
@@ -97,4 +102,4 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
         of_bucket(bounds).cast("long").alias("bucket_length"),
         F.concat_ws("-", (F.col("_b") - 1).cast("string"), F.col("_shard").cast("string"),
                     F.floor(F.col("_at") / of_bucket(room)).cast("string")).alias("batch_id"),
-        (F.col("_at") % of_bucket(room)).cast("long").alias("slot")))
+        (F.col("_at") % of_bucket(room)).cast("long").alias("slot"), *["ids"] * bool(cut)))

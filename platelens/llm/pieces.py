@@ -20,7 +20,7 @@ all executors see. No shuffle: words are encoded where their texts are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -35,6 +35,7 @@ from .common import bounded_batches
 MARK = "▁"
 CACHE = 300_000          # marked words that a worker keeps with their ids
 _LONG = 64               # characters of a word from which on prefixes keep no ids of their own
+_AT_ONCE = 20_000        # words that the library encodes in one call
 _SPAN = 8 << 20          # bytes of text whose words are sorted together
 _UNKNOWN, _START = -1, -2    # a character that no piece has, which becomes its bytes; a word's start
 
@@ -65,6 +66,70 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _rules(model: bytes) -> tuple[bool, bool, bool]:
+    """(unigram, a mark before the text, white space trimmed) of a model file."""
+    unigram = prefix = trim = True
+    for field, value in _fields(model):
+        if field == 2:
+            for f, v in _fields(value):
+                if f == 3:
+                    unigram = v == 1
+                    if v not in (1, 2):
+                        raise ValueError("only unigram and BPE models are served")
+        elif field == 3:
+            for f, v in _fields(value):
+                if f == 2 and v:
+                    raise ValueError("models with a normalisation table are not served")
+                prefix = bool(v) if f == 3 else prefix
+                trim = bool(v) if f == 4 else trim
+    return unigram, prefix, trim
+
+
+def _word_pattern(vocab: Iterable[str]) -> re.Pattern:
+    """Marked words: no piece goes on over a mark, nor over white space that none has."""
+    vocab = list(vocab)
+    alphabet = set("".join(vocab))
+    crossing = any(MARK in p.lstrip(MARK) for p in vocab)
+    ends = "" if crossing else "".join(c for c in "\n\t\r" if c not in alphabet)
+    return (re.compile(r"(?s).+") if crossing else
+            re.compile(f"{MARK}+[^{MARK}{ends}]*|[^{MARK}{ends}]+" + (f"|[{ends}]" if ends else "")))
+
+
+def _normal(text: str, prefix: bool, trim: bool) -> str:
+    if trim:
+        text = re.sub(" +", " ", text).strip(" ")
+    return (MARK if prefix and text else "") + text.replace(" ", MARK)
+
+
+class Counts:
+    """Numbers of ids of texts, without the ids: the library encodes the distinct
+    marked words of some texts, and a text's number is the sum of its words'. Keeps
+    nothing from call to call."""
+
+    #: Merged into the model's normaliser (field 3): no mark in front, white space as it
+    #: is, so that a marked word is encoded as it stands.
+    AS_GIVEN = bytes([0x1A, 4, 0x18, 0, 0x20, 0])
+
+    def __init__(self, model: bytes):
+        _, self.prefix, self.trim = _rules(model)
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model + self.AS_GIVEN)
+        lib = self.lib
+        kinds = [lib.is_byte(i) for i in range(lib.get_piece_size())]
+        if sum(kinds) < 256:
+            raise ValueError("only models with byte fallback are served")
+        self.words = _word_pattern(lib.id_to_piece(i) for i, byte in enumerate(kinds)
+                                   if not (byte or lib.is_control(i) or lib.is_unknown(i)))
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        split = [self.words.findall(_normal(t, self.prefix, self.trim)) if t else [] for t in texts]
+        words = list(set(chain.from_iterable(split)))
+        known: dict[str, int] = {}
+        for at in range(0, len(words), _AT_ONCE):
+            part = words[at:at + _AT_ONCE]
+            known.update(zip(part, map(len, self.lib.encode(part, num_threads=1))))
+        return [sum(map(known.__getitem__, ws)) for ws in split]
+
+
 class Pieces:
     """A SentencePiece model: its vocabulary, kind and white-space rules.
 
@@ -88,29 +153,11 @@ class Pieces:
             else:
                 self.vocab[p] = i
                 self.raw.append(p.replace(MARK, " ").encode())
-        self.unigram, self.prefix, self.trim = True, True, True
-        for field, value in _fields(model):
-            if field == 2:
-                for f, v in _fields(value):
-                    if f == 3:
-                        self.unigram = v == 1
-                        if v not in (1, 2):
-                            raise ValueError("only unigram and BPE models are served")
-            elif field == 3:
-                for f, v in _fields(value):
-                    if f == 2 and v:
-                        raise ValueError("models with a normalisation table are not served")
-                    self.prefix = bool(v) if f == 3 else self.prefix
-                    self.trim = bool(v) if f == 4 else self.trim
+        self.unigram, self.prefix, self.trim = _rules(model)
         if len(self.byte_ids) < 256:
             raise ValueError("only models with byte fallback are served")
         self.value = {p: self.score[i] for p, i in self.vocab.items()}
-        alphabet = set("".join(self.vocab))
-        # no piece goes on over a mark, nor over these characters
-        crossing = any(MARK in p.lstrip(MARK) for p in self.vocab)
-        ends = "" if crossing else "".join(c for c in "\n\t\r" if c not in alphabet)
-        self.words = (re.compile(r"(?s).+") if crossing else
-                      re.compile(f"{MARK}+[^{MARK}{ends}]*|[^{MARK}{ends}]+" + (f"|[{ends}]" if ends else "")))
+        self.words = _word_pattern(self.vocab)
         # trie of reversed pieces: character -> (children, id or -1)
         self.ends: dict[str, tuple[dict, int]] = {}
         for p, i in self.vocab.items():
@@ -122,9 +169,7 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
 
     def normal(self, text: str) -> str:
-        if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        return _normal(text, self.prefix, self.trim)
 
     # ---- forward states -------------------------------------------------
 
@@ -241,18 +286,6 @@ class Pieces:
         get = known.__getitem__
         return [np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in split]
 
-    def lengths(self, texts: list[str | None], known: dict[str, int]) -> list[int]:
-        """Number of ids of each text; ``known`` is a cache of words' numbers that
-        the call fills."""
-        split = [self.words.findall(self.normal(t)) if t else [] for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(known)
-        if len(known) + len(fresh) > CACHE:       # go on with the words of these texts
-            kept = {w: known[w] for w in set(chain.from_iterable(split)).difference(fresh)}
-            known.clear()
-            known.update(kept)
-        known.update((w, len(x)) for w, x in self.encode_words(list(fresh)).items())
-        return [sum(map(known.__getitem__, ws)) for ws in split]
-
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, without the space that
         encoding puts in front; bytes that are not UTF-8 become U+FFFD."""
@@ -268,9 +301,10 @@ def loaded(model_path: str) -> tuple[Pieces, dict[str, tuple[int, ...]]]:
 
 
 @lru_cache(maxsize=1)
-def known_lengths(model_path: str) -> dict[str, int]:
-    """A worker's cache of words' numbers of ids, kept from task to task."""
-    return {}
+def counts(model_path: str) -> Counts:
+    """The model for counting, kept by a worker from task to task."""
+    with open(model_path, "rb") as f:
+        return Counts(f.read())
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,13 +351,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def counted(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens as in ``encode``, without the ids."""
+    """One row per input row: id, n_tokens as in ``encode``, without the ids, which
+    the sentencepiece library counts word by word (the forward pass of ``encode``
+    takes several times as long)."""
     bounded_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = loaded(model_path)[0], known_lengths(model_path)
+        model = counts(model_path)
         for b in gathered(batches):
-            n = model.lengths(b.column(1).to_pylist(), known)
+            n = model.lengths(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["_id", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]

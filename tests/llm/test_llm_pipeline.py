@@ -9,14 +9,14 @@ import __spark_entry__ as E
 import corpus_pipeline
 from conftest import SF001
 from llm_cases import docs, no_docs, rows
-from platelens.llm import exact_dedup, packing, queries, simhash
+from platelens.llm import exact_dedup, packing, pieces, queries, simhash
 from platelens.llm.common import table
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF001, t + '.parquet')}')")
     rel = con.sql(E.oracle_sql()[name])
     df = E.queries()[name](spark, SF001)
@@ -26,10 +26,11 @@ def test_query_against_sql(spark, name):
 
 def test_all_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op2_simhash", "op7_quality_rules", "op8_secret_scan", "op9_sentencepiece"])
+@pytest.mark.parametrize("name", ["op2_simhash", "op7_quality_rules", "op8_secret_scan", "op9_sentencepiece",
+                                  "op11_periodic_runs", "op12_resampling", "op13_minhash"])
 def test_one_row_per_document(spark, name):
     got = E.queries()[name](spark, SF001)
     assert got.select("doc_id").exceptAll(table(spark, SF001, "documents").select("doc_id")).count() == 0
@@ -59,9 +60,12 @@ def test_pipeline_stages(spark):
         else:
             assert rows(d.drop("text", "n_chars")) == rows(before.drop("text", "n_chars"))
             assert d.where("n_chars <> length(text)").count() == 0
-    want = packing.pack(d).select("doc_id", "part", "n_tokens")
-    got = corpus_pipeline.run(spark, SF001)
-    assert rows(got.select("doc_id", "part", "n_tokens")) == rows(want)
+    want = {r["doc_id"]: r["ids"] for r in pieces.encode(d, queries.PIECE_MODEL).collect()}
+    got = {}
+    for r in corpus_pipeline.run(spark, SF001).orderBy("doc_id", "part").collect():
+        assert len(r["ids"]) == r["n_tokens"] <= r["bucket_length"] <= packing.MAX_LENGTH
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == want                               # every token of the masked texts, in order
     assert seen == sorted(seen, reverse=True) and seen[1] < seen[0]
     assert corpus_pipeline.ORACLE_SQL is None
 
@@ -73,4 +77,4 @@ def test_stages_take_edge_tables(spark, make):
         d = stage(spark, d, SF001)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         d.collect()
-    packing.pack(d).collect()
+    corpus_pipeline.STAGES[-1][1](spark, d, SF001).collect()

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from llm_cases import DOCS, docs, no_docs, rows
+from llm_cases import DOCS, LONG, docs, no_docs, rows
 from platelens.llm import packing, pieces, queries, repetition, secret_scan
 from platelens.llm.queries import PIECE_MODEL
 
@@ -230,6 +230,22 @@ def test_packing_by_tokens(spark):
     assert _packed_whole(queries.op6_packing(spark, SF001)) == tokens
 
 
+def test_counts_equal_the_ids(spark):
+    texts = ["  a  b\n\n c▁d ▁ x\ty\r\nz ", "▁▁", "\n", " ", "水火 \u0000 é", "a\nb c\n d", None, "", LONG, "x" * 5000, *_texts()]
+    model = _model_bytes()
+    assert pieces.Counts(model).lengths(texts) == [len(x) for x in pieces.Pieces(model).encode(texts)]
+
+
+def test_windows_carry_their_ids(spark):
+    whole = {r["doc_id"]: r["ids"] for r in pieces.encode(docs(spark).where("doc_id <> 2"), PIECE_MODEL).collect()}
+    got = packing.pack(pieces.encode(docs(spark).where("doc_id <> 2"), PIECE_MODEL), F.col("n_tokens"), max_length=50, ids=F.col("ids"))
+    parts = {}
+    for r in got.orderBy("doc_id", "part").collect():
+        assert len(r["ids"]) == r["n_tokens"] <= 50 and r["first_token"] == 50 * r["part"]
+        parts.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert parts == whole
+
+
 @pytest.mark.parametrize("shard_rows", [50_000, 2])
 def test_packing_keeps_every_token_within_the_budget(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(packing, "SHARD_ROWS", shard_rows)
