@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platelens.llm import exact_dedup, packing, quality, secret_scan, simhash
+from platelens.llm import exact_dedup, packing, pieces, quality, secret_scan, simhash
 from platelens.llm.common import table, written
+from platelens.llm.queries import PIECE_MODEL
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The windows of all documents in token-budget batches."""
-    return packing.pack(docs)
+    """The windows of all documents in token-budget batches, each with its token ids."""
+    return packing.pack(pieces.encode(docs, PIECE_MODEL), F.col("n_tokens"), ids=F.col("ids"))
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("simhash", near_stage),
