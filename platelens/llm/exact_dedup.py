@@ -119,7 +119,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                   .mapInArrow(_chunked, _RAW.format(id=kind)), "recipes")
     parts = (raw.select("_row", F.posexplode("_chunks").alias("_pos", "_c"))
              .select("_row", "_pos", "_c.*"))
-    ids = parts.groupBy("d", "c", "n").agg(F.min(F.struct("_row", "_pos")).alias("chunk"))
+    # written, so that both sides of the join are plain shuffles and AQE splits a hot chunk
+    ids = written(parts.groupBy("d", "c", "n").agg(F.min(F.struct("_row", "_pos")).alias("chunk")), "chunks")
     lists = (parts.join(ids, ["d", "c", "n"])
              .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "chunk"))).alias("l"))
              .select("_row", F.col("l.chunk").alias("recipe")))
@@ -143,8 +144,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     per_row = written(recipes(docs, id_col, text_col), "recipe-rows")
-    groups = per_row.groupBy("recipe").agg(
-        F.max(F.struct("_id", "_row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(per_row.groupBy("recipe").agg(      # as for chunks: the copies of one text are split
+        F.max(F.struct("_id", "_row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return per_row.join(groups, "recipe")
 
 
