@@ -47,7 +47,7 @@ _KEPT = [keep for keep in combinations(range(WIDTH), WIDTH - ERRORS)]
 _SPAN = 4 << 20           # bytes of text hashed at a time
 _PAIRWISE = 12            # groups up to this size are compared pair by pair, all at once
 _BLOCK = 1 << 13          # signatures of a key that one task compares at a time
-_SETS, _SHINGLES = 256, 4 << 20   # sets of a cluster, and their shingles, that one task compares at a time
+_SETS, _SHINGLES = 1024, 4 << 20   # sets of a cluster, and their shingles, that one task compares at a time
 _ROWS_AT_ONCE = 4096
 _LOW = np.uint64(0x1111111111111111)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -314,8 +314,8 @@ def _confirmed(node: np.ndarray, comp: np.ndarray, hashes: np.ndarray, bounds: n
 
 def _block_results(members: DataFrame, by: list[str], shingle: int, percent: int, linked: bool) -> DataFrame:
     """What each group ``by`` of ``members`` (node, comp, _text) confirms: (a, b),
-    links if ``linked``, else every node that is not the first of its component in
-    the group, and that first node."""
+    linked components known before if ``linked``, else every node that is not the
+    first of its component in the group, and that first node."""
     bounded_batches(members.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,10 @@ def _block_results(members: DataFrame, by: list[str], shingle: int, percent: int
                 texts = part["_text"].to_pylist()
                 hashes, bounds = shingle_sets([texts[i] for i in at.tolist()], shingle)
                 a, b, root = _confirmed(node, part["comp"].to_numpy()[at], hashes, bounds, percent)
-                if not linked:
+                if linked:
+                    comp = dict(zip(node.tolist(), part["comp"].to_numpy()[at].tolist()))
+                    a, b = zip(*{(comp[x], comp[y]) for x, y in zip(a, b)}) if a else ((), ())
+                else:
                     a, b = node[root != node], root[root != node]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -397,11 +400,11 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: i
              .withColumn("i", F.explode(F.expr("CASE WHEN array_contains(outside, block) "
                                                "THEN sequence(0, nb - 1) ELSE outside END")))
              .withColumn("lo", F.least("i", "block")).withColumn("hi", F.greatest("i", "block")))
-    more = _block_results(pairs, ["cluster", "lo", "hi"], shingle, percent, True)
-    known = large.where("comp <> node").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-    joined = components(more.unionByName(known)).select(F.col("node").alias("a"), F.col("root").alias("b"))
-    large = large.withColumn("comp", F.col("node"))
-    return small.unionByName(_recomposed(large, joined).select("node", "comp"))
+    more = written(_block_results(pairs, ["cluster", "lo", "hi"], shingle, percent, True), "minhash-more")
+    if not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        large = _recomposed(large, joined)
+    return small.unionByName(large.select("node", "comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,

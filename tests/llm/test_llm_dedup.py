@@ -181,3 +181,42 @@ def test_tree_links_join_what_all_owner_links_join():
         tree = [(int(a), int(b)) for x, y in zip(src, dst) for a, b in zip(x, y)]
         assert set(tree) <= set(every) | {(b, a) for a, b in every} and len(tree) < len(fp)
         assert grouped(tree) == grouped(every)
+
+
+@pytest.fixture()
+def eager_to_split(spark):
+    """Skew joins at test sizes, and no broadcasts instead."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16", "spark.sql.files.openCostInBytes": "64m"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _ran(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_one_text_are_split(spark, eager_to_split):
+    from pyspark.sql import functions as F
+    text = F.when(F.col("id") % 10 > 0, F.lit("one text for nearly all of them")).otherwise(F.concat(F.lit("text "), F.col("id")))
+    d = spark.range(20000).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(8)
+    out = exact_dedup.dedup(d)
+    assert "skew=true" in _ran(out)
+    assert out.where("kept").count() == 2001 and out.where("group_size = 18000").count() == 18000
+
+
+def test_a_hub_is_split(spark, eager_to_split):
+    from pyspark.sql import functions as F
+
+    from platelens.llm import components
+    e = components.written(spark.range(1, 20000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(
+        spark.range(20000, 30000).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"))).repartition(8), "edges")
+    assert "skew=true" in _ran(components._large_star(e))
+    assert "skew=true" in _ran(components._small_star(e.where("b < 20000")))
