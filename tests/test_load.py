@@ -317,3 +317,20 @@ def test_one_of_several_creates_an_entry_and_a_failed_append_gives_its_ids_back(
     with tables.reserved_ids(spark, name, 2) as first:
         assert first == 4
     tables.drop_table(spark, name)
+
+
+def test_table_loads_and_fits_leave_no_scratch(spark, tmp_dir):
+    from platelens.operators.kmeans import classify
+    from platelens.plans.jobs import load_menu_table
+    from platelens.session import scratch_path
+    top = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+    os.makedirs(top, exist_ok=True)
+    before = set(os.listdir(top))
+    p = os.path.join(tmp_dir, "left", "x.csv")
+    _write(p, _menu_csv([_row("A", f'"x {i}\ny"', cal=str(i)) for i in range(30)]))
+    name = "menu_left"
+    tables.reset_table(spark, name, os.path.join(tmp_dir, "left-table"))
+    assert load_menu_table(spark, p, name, multiline="split") == 30
+    assert classify(spark.table(name)).iterations > 0
+    assert set(os.listdir(top)) == before
+    tables.drop_table(spark, name)
