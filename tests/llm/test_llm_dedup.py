@@ -210,13 +210,3 @@ def test_copies_of_one_text_are_split(spark, eager_to_split):
     out = exact_dedup.dedup(d)
     assert "skew=true" in _ran(out)
     assert out.where("kept").count() == 2001 and out.where("group_size = 18000").count() == 18000
-
-
-def test_a_hub_is_split(spark, eager_to_split):
-    from pyspark.sql import functions as F
-
-    from platelens.llm import components
-    e = components.written(spark.range(1, 20000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(
-        spark.range(20000, 30000).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"))).repartition(8), "edges")
-    assert "skew=true" in _ran(components._large_star(e))
-    assert "skew=true" in _ran(components._small_star(e.where("b < 20000")))
